@@ -34,7 +34,7 @@ CANDIDATE = (
 _PAIR = r"(?s)^[A-Za-z_\-]{2,40}[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 #: Words that count as dictionary words inside a candidate.
 DICTIONARY = "the and with from that this for are was not you key name test user data file image page http https www com org net html example sample version release build error value string number date time und der die das ist les des que une est los las con para por"
-_TELLING = r"(?i)(pass|pwd|secret|token|key|auth|bearer|credential|login)[^A-Za-z0-9]{0,4}\w{0,3}[\s\"'=:]*$"
+_TELLING = r"(?i)(pass|pwd|secret|token|key|auth|bearer|credential|login)[^A-Za-z0-9]{0,4}\w{0,6}[\s\"'=:]*$"
 _HASHED = r"(?i)(sha-?\d*|md5|commit|checksum|digest|revision|rev|uuid|etag|build|version|hash|card|phone|tel|iban|order|isbn|id)[^A-Za-z0-9]{0,4}[\s\"'=:]*$"
 _PREFIX = r"^(AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[abp]-|AIza|eyJ|-----BEGIN)"
 _PLACEHOLDER = r"(?i)(example|sample|dummy|test|placeholder|change_?me|your[_-]|xxxx|0000000|12345678|abcdef123)"
