@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, secrets, toxicity
+from . import decontaminate, neardup, packing, secrets, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (secrets, toxicity, neardup, decontaminate):
+for _module in (secrets, toxicity, neardup, packing, decontaminate):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
