@@ -89,7 +89,7 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 

@@ -5,9 +5,9 @@ A text is lower-cased (A-Z) and split into words at \\x20 and \\x09-\\x0D; its s
 100 * intersection >= threshold * union. Equal sets share one representative, so thousands of copies add no pairs.
 
 Candidates are found in rounds. First each bucket's members meet the bucket's smallest document; the links that hold
-give components. A bucket whose members are then in one component can add nothing and is done. In the others the members
-of different components meet, again without pairs inside a component. So the work follows the number of documents, not the square of a
-group, and no link between components is left out.
+give components. A bucket whose members are then in one component can add nothing and is done. In the others every two
+members meet block by block, as matrices of whole sets, and only links that join components come out. So no group is
+expanded into pairs of rows, and no link between components is left out.
 
 Defined cases: null text counts as empty; rows with the same doc_id are one document when components are formed (a null doc_id
 too), each row keeping its own n_shingles; a document without shingles is its own component; an empty table gives no rows.
@@ -31,6 +31,8 @@ HASHES = 280
 WORDS = 5
 #: Chance that banding misses a pair exactly at the threshold, at most.
 MISS = 1e-6
+#: Documents and shingles in one block of a unit of open buckets, and documents in a unit before its buckets stand alone.
+BLOCK_DOCS, BLOCK_SHINGLES, UNIT_DOCS = 1024, 500_000, 16_384
 #: Standard errors by which a signature's estimate may fall short before a pair is dropped unseen.
 MARGIN = 6
 
@@ -127,6 +129,69 @@ def _pair_slices(batch: pa.RecordBatch):
         yield from slices(x, "text_v")
 
 
+def _cross_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
+    """Links between documents of one open bucket that are in different components so far.
+
+    rest: bucket, doc_id, c (component so far), u (the bucket's leader). Documents that open buckets tie together form a
+    unit (a very large unit is left as its buckets); a unit's documents are dealt into blocks of a bounded size, and every
+    two blocks meet in one task, as matrices. No row is made for a pair, and only links that join components come out."""
+    unit = components(rest.where("doc_id <> u").select("u", F.col("doc_id").alias("v")))
+    named = rest.join(unit.select(F.col("node").alias("doc_id"), F.col("component").alias("unit")), "doc_id")
+    sized = named.select("unit", "doc_id").distinct().groupBy("unit").agg(F.count("*").alias("members"))
+    named = named.join(sized, "unit")
+    whole = named.where(F.col("members") <= UNIT_DOCS).select(F.lit(0).cast("byte").alias("kind"), "unit", "doc_id", "c").distinct()
+    parts = named.where(F.col("members") > UNIT_DOCS).select(F.lit(1).cast("byte").alias("kind"), F.col("bucket").alias("unit"), "doc_id", "c")
+    rows = materialize(whole.unionByName(parts).join(reps.select("doc_id", "n"), "doc_id"), "units")
+    blocks = rows.groupBy("kind", "unit").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = rows.join(blocks, ["kind", "unit"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    tiles = dealt.select("kind", "unit", "doc_id", "c", "own", other).select("kind", "unit", "doc_id", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    texts = docs.select(id_or_sentinel(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return tiles.join(texts, "doc_id").groupBy("kind", "unit", "i", "j").applyInArrow(_tile(percent, k), "u long, v long")
+
+
+def _tile(percent: int, k: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids, comp, own = (column(table, c).to_numpy() for c in ("doc_id", "c", "own"))
+        i, j = column(table, "i")[0].as_py(), column(table, "j")[0].as_py()
+        sets = [shingles(words(x), k) for x in column(table, "text").chunks]
+        size = np.concatenate([np.diff(at) for _, at in sets])
+        value = np.concatenate([v for v, _ in sets])
+        member = np.repeat(np.arange(len(size)), size)
+        _, col, times = np.unique(value, return_inverse=True, return_counts=True)
+        shared = times[col] > 1
+        member, col = member[shared], np.unique(col[shared], return_inverse=True)[1]
+        order = np.argsort(col, kind="stable")
+        member, col = member[order], col[order]
+        one, two = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        both = np.zeros((len(one), len(two)), np.float32)
+        for low in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+            a, b = np.searchsorted(col, [low, low + 4096])
+            x = np.zeros((len(size), min(4096, int(col[-1]) + 1 - low)), np.float32)
+            x[member[a:b], col[a:b] - low] = 1
+            both += x[one] @ x[two].T
+        link = 100 * both >= percent * (size[one][:, None] + size[two][None, :] - both)
+        link &= comp[one][:, None] != comp[two][None, :]
+        p, q = np.nonzero(link)
+        root: dict[int, int] = {}
+
+        def find(z):
+            while root.setdefault(z, z) != z:
+                root[z] = z = root[root[z]]
+            return z
+
+        u, v = [], []
+        for s, t in zip(one[p].tolist(), two[q].tolist()):
+            a, b = find(int(comp[s])), find(int(comp[t]))
+            if a != b:
+                root[a] = b
+                u.append(ids[s])
+                v.append(ids[t])
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
 def groups(docs: DataFrame, percent: int = 80, hashes: int = HASHES, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     threshold = percent / 100
@@ -138,19 +203,16 @@ def groups(docs: DataFrame, percent: int = 80, hashes: int = HASHES, k: int = WO
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
 
     leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u <> last").select("bucket", "u")
-    first = buckets.join(leaders, "bucket").where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()
-    first = materialize(first, "pairs")
-    check = lambda pairs: _verified(materialize(_likely(pairs, reps, threshold), "likely"), docs, percent, k, id_col, text_col)
-    links = materialize(check(first), "links")
+    pairs = buckets.join(leaders, "bucket").where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()
+    likely = materialize(_likely(materialize(pairs, "pairs"), reps, threshold), "likely")
+    links = materialize(_verified(likely, docs, percent, k, id_col, text_col), "links")
     label = components(links)
 
     named = buckets.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     named = materialize(named.join(leaders, "bucket", "left_semi"), "named")
     open_ = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("bucket")
-    rest = materialize(named.join(open_, "bucket"), "open")
-    other = rest.select("bucket", F.col("doc_id").alias("v"), F.col("c").alias("d"))
-    second = rest.join(other, "bucket").where("doc_id < v and c <> d").select(F.col("doc_id").alias("u"), "v").distinct().join(first, ["u", "v"], "left_anti")
-    found = materialize(check(second), "links")
+    rest = materialize(named.join(open_, "bucket").join(leaders, "bucket"), "open")
+    found = materialize(_cross_links(rest, reps, docs, percent, k, id_col, text_col), "links")
     more = members.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
     ties = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     label = components(links.unionByName(found).unionByName(more).unionByName(ties.join(more.where("u <> v").select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi")))
