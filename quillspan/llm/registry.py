@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, packing, secrets, toxicity
+from . import archives, chat, decontaminate, fingerprints, neardup, packing, secrets, token_files, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (secrets, toxicity, neardup, packing, decontaminate):
+for _module in (secrets, fingerprints, token_files, archives, toxicity, neardup, packing, decontaminate, chat):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
