@@ -16,7 +16,7 @@ KEEP = 800_000
 _LEADING = re.compile(r"[ \t\n\r\f\v]?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])")
 _SPACED = re.compile(r"[^ \t\n\r\f\v]+")
 #: White space beyond ASCII, next to which the rule above could split a run of white space otherwise than the library.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Characters of which the classes are plain: ASCII and Latin letters (of U+0080-U+00BF some are letters, some numbers; the
 #: dotted capital I becomes two characters). Texts of these alone are split just as the vocabulary's own pattern does.
 _L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
