@@ -1,6 +1,382 @@
-"""All queries of the engine by name, and the SQL they must agree with."""
+"""All queries of the engine by name, and the SQL they must agree with. Every query reads its whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from ..operators import quotes, relational, retrieve, segment
+from ..sources import publish
+from ..sources.readers import table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+TERMS = ["thand", "erin", "tion", "heer"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+_BM25 = f"""
+t AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+l AS (SELECT doc_id, len(w) AS dl FROM t), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) WHERE term IN ({', '.join(f"'{x}'" for x in TERMS)}) GROUP BY 1, 2),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+b AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+      FROM p JOIN f USING (term) JOIN l USING (doc_id), s GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 30)"""
+
+
+@query(f"WITH {_BM25} SELECT doc_id, score FROM b")
+def bm25_topk(spark, d):
+    return retrieve.bm25_scan(docs(spark, d), "doc_id", t.ascii_tokens("text"), TERMS)
+
+
+@query(f"WITH {_BM25} SELECT doc_id, score FROM b")
+def bm25_index_topk(spark, d):
+    return retrieve.bm25_search(retrieve.bm25_index(docs(spark, d), "doc_id", t.ascii_tokens("text")), "doc_id", TERMS)
+
+
+@query(f"WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(w) AS term FROM t) GROUP BY 1")
+def doc_freq(spark, d):
+    index = retrieve.bm25_index(docs(spark, d), "doc_id", t.ascii_tokens("text"))
+    return index["postings"].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"SELECT doc_id, CAST(len({_WORDS}) AS BIGINT) AS dl FROM documents")
+def doc_len(spark, d):
+    return docs(spark, d).select("doc_id", F.size(t.ascii_tokens("text")).cast("long").alias("dl"))
+
+
+def _first_vector(spark, d) -> list:
+    return table(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()[0]
+
+
+_DENSE = """q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1),
+d AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 30)"""
+
+
+@query(f"WITH {_DENSE} SELECT vec_id, score FROM d")
+def dense_topk(spark, d):
+    return retrieve.dense_topk(table(spark, d, "embeddings"), "vec_id", "embedding", _first_vector(spark, d))
+
+
+@query("WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM embeddings, q WHERE vec_id <> 7 ORDER BY score DESC, vec_id LIMIT 5")
+def dense_similar(spark, d):
+    return retrieve.similar_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", 7)
+
+
+@query(
+    f"""WITH {_DENSE}, {_BM25},
+dr AS (SELECT vec_id AS id, score, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS r FROM d),
+lr AS (SELECT doc_id AS id, score, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM b)
+SELECT id, coalesce(dr.score, 0.0) AS dense_score, coalesce(lr.score, 0.0) AS lexical_score, round(coalesce(1.0 / (60 + dr.r), 0) + coalesce(1.0 / (60 + lr.r), 0), 9) AS rrf_score
+FROM dr FULL JOIN lr USING (id) ORDER BY rrf_score DESC, dr.r NULLS LAST, lr.r LIMIT 8"""
+)
+def rrf_hybrid(spark, d):
+    dense = retrieve.ranked(dense_topk(spark, d).withColumnRenamed("vec_id", "id"), "id")
+    lexical = retrieve.ranked(bm25_topk(spark, d).withColumnRenamed("doc_id", "id"), "id")
+    return retrieve.fuse(dense, lexical, "id").drop("dense_rank", "lexical_rank")
+
+
+@query(
+    "WITH q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT label, round(list_dot_product(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM embeddings, q) "
+    "SELECT label, round(least(1.0, greatest(0.0, (max(score) - 0.3) / 0.5)), 3) AS confidence, CAST(greatest(8, least(100, round((max(score) - 0.30) / 0.45 * 100))) AS INT) AS bar FROM s GROUP BY label"
+)
+def confidence(spark, d):
+    q = F.array(*[F.lit(float(x)) for x in _first_vector(spark, d)])
+    best = table(spark, d, "embeddings").select("label", F.round(retrieve.dot("embedding", q), 6).alias("score")).groupBy("label").agg(F.max("score").alias("m"))
+    return best.select("label", t.confidence(F.col("m")).alias("confidence"), t.relevance_pct(F.col("m")).alias("bar"))
+
+
+@query("SELECT 'source' AS facet, source AS value, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY lang")
+def facet_sets(spark, d):
+    return retrieve.facets(docs(spark, d), ["source", "lang"])
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, source LIMIT 3")
+def facets_top(spark, d):
+    return docs(spark, d).groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(3)
+
+
+@query("SELECT source, count(*) AS n, count(toxic) AS translated, round(count(toxic) / greatest(1, count(*)), 6) AS share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def volume_stats(spark, d):
+    x = docs(spark, d).select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return publish.statistics(x, "source", F.col("toxic").isNotNull())
+
+
+@query("SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS following FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def neighbours_lag_lead(spark, d):
+    return relational.neighbours(table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY n_chars, doc_id LIMIT 20")
+def untranslated_queue(spark, d):
+    return publish.queue(docs(spark, d).select("doc_id", "n_chars"), table(spark, d, "labels").select("doc_id"), "doc_id", F.col("n_chars"), 20)
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def translated_semi(spark, d):
+    return docs(spark, d).select("doc_id", "source").join(table(spark, d, "labels"), "doc_id", "left_semi")
+
+
+@query(
+    "WITH n AS (SELECT doc_id, 1 AS quality, CAST(0 AS INT) AS toxic FROM documents WHERE lang = 'fr') "
+    "SELECT doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.quality ELSE l.quality END AS quality, CASE WHEN n.doc_id IS NOT NULL THEN n.toxic ELSE l.toxic END AS toxic, "
+    "CASE WHEN n.doc_id IS NULL THEN 'kept' WHEN l.doc_id IS NULL THEN 'inserted' ELSE 'replaced' END AS op FROM labels l FULL JOIN n USING (doc_id)"
+)
+def upsert_merge(spark, d):
+    new = docs(spark, d).where("lang = 'fr'").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    return relational.upsert(table(spark, d, "labels").select("doc_id", "quality", "toxic"), new, "doc_id")
+
+
+_BANDS = "(1, 0, 100000, 'all', 0), (1, 0, 1000, 'short', 1), (1, 500, 1500, 'middle', 2), (1, 900, 1100, 'narrow', 3), (1, 1000, 1200, 'tie', 4)"
+
+
+@query(f"WITH r(vol, lo, hi, title, ord) AS (VALUES {_BANDS}), m AS (SELECT doc_id, n_chars, title, row_number() OVER (PARTITION BY doc_id ORDER BY hi - lo, ord) AS k FROM documents LEFT JOIN r ON n_chars BETWEEN lo AND hi) SELECT doc_id, n_chars, coalesce(title, '') AS title FROM m WHERE k = 1")
+def treatise_range_join(spark, d):
+    bands = spark.sql(f"SELECT * FROM VALUES {_BANDS} AS r(vol, lo, hi, title, ord)")
+    facts = docs(spark, d).select("doc_id", "n_chars", F.lit(1).alias("vol"))
+    return relational.narrowest_range(facts, F.broadcast(bands), ["vol"], "n_chars", ["doc_id"]).select("doc_id", "n_chars", "title")
+
+
+@query("WITH p AS (SELECT user_id, ts AS pts, max(event_id) AS purchase FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT e.event_id, p.purchase FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.pts")
+def asof_lookup(spark, d):
+    e = table(spark, d, "events")
+    p = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("purchase"))
+    return relational.as_of(e.select("user_id", "event_id", "ts"), p, ["user_id"], "ts", "ts", ["purchase"]).select("event_id", "purchase")
+
+
+@query(
+    "SELECT event_id, coalesce(first_value(tag IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), "
+    "last_value(tag IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS page FROM (SELECT *, CASE WHEN event_type = 'purchase' THEN event_id END AS tag FROM events)"
+)
+def page_backfill(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    tag = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    ahead = F.first(tag, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back = F.last(tag, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return table(spark, d, "events").select("event_id", F.coalesce(ahead, back, F.lit(0)).alias("page"))
+
+
+@query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), '') AS heading FROM conversations")
+def heading_forward_fill(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.last(F.when(F.col("role") == "system", F.col("text")), ignorenulls=True).over(w), F.lit("")).alias("heading"))
+
+
+_LINES = "SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS seq, unnest(string_split(text, chr(10))) AS value FROM documents"
+
+
+@query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(sum(length(value)) AS BIGINT) AS chars FROM ({_LINES}) WHERE value <> '' GROUP BY 1")
+def logical_lines(spark, d):
+    lines = segment.split_lines(docs(spark, d).select("doc_id", "text"), ["doc_id"]).where("value <> ''")
+    made = segment.logical_lines(lines.select("doc_id", "seq", F.concat(F.lit("# "), "value").alias("value")), ["doc_id"])
+    return made.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("raw")).alias("chars"))
+
+
+@query(
+    "WITH m AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS rec FROM conversations), "
+    "g AS (SELECT conv_id, rec, min(turn) AS first_seq, string_agg(CASE WHEN role <> 'assistant' THEN text END, chr(10) ORDER BY turn) AS q, string_agg(CASE WHEN role = 'assistant' THEN text END, chr(10) ORDER BY turn) AS a FROM m WHERE rec > 0 GROUP BY 1, 2) "
+    "SELECT conv_id, first_seq, length(trim(q)) AS q_chars, length(trim(a)) AS a_chars FROM g WHERE a IS NOT NULL AND length(trim(a)) >= 2"
+)
+def qa_segments(spark, d):
+    rows = table(spark, d, "conversations")
+    made = segment.qa_records(rows, ["conv_id"], "turn", F.col("role") == "user", F.col("role") == "assistant", F.lit(False))
+    return made.select("conv_id", "first_seq", F.length("question").cast("long").alias("q_chars"), F.length("answer").cast("long").alias("a_chars"))
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS i, trim(value) AS v FROM ({_LINES}) WHERE trim(value) <> '' AND length(trim(value)) <= 1800),
+f AS (SELECT doc_id, i, length(v) AS n, 0 AS c FROM l WHERE i = 1
+      UNION ALL SELECT l.doc_id, l.i, CASE WHEN f.n + length(l.v) > 1200 AND f.n >= 200 THEN length(l.v) ELSE f.n + length(l.v) END, CASE WHEN f.n + length(l.v) > 1200 AND f.n >= 200 THEN f.c + 1 ELSE f.c END
+      FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1)
+SELECT f.doc_id, CAST(f.c AS INT) AS chunk, string_agg(l.v, chr(10) ORDER BY f.i) AS text FROM f JOIN l USING (doc_id, i) GROUP BY 1, 2"""
+)
+def chunk_greedy(spark, d):
+    lines = segment.split_lines(docs(spark, d).select("doc_id", "text"), ["doc_id"])
+    v = F.trim("value")
+    paras = lines.where((v != "") & (F.length(v) <= 1800)).select("doc_id", "seq", v.alias("text"), F.array(F.lit("")).alias("heading_path"))
+    return segment.chunks(paras, ["doc_id"]).select("doc_id", "chunk", "text")
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^.?!؟\n]+[.?!؟]?')) AS INT) AS n FROM documents")
+def sentence_split(spark, d):
+    return docs(spark, d).select("doc_id", F.size(t.sentences("text")).alias("n"))
+
+
+@query(
+    "WITH s AS (SELECT doc_id, source, trim(x) AS line, i FROM (SELECT doc_id, source, unnest(range(0, len(z))) AS i, unnest(z) AS x FROM (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[^.?!؟\n]+[.?!؟]?') AS z FROM documents))), "
+    "g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s WHERE length(line) BETWEEN 45 AND 130 AND regexp_matches(line, '[.?!؟]$') AND NOT regexp_matches(line, '[{}]') AND length(regexp_replace(line, '[^\\p{L}]', '', 'g')) / length(line) >= 0.55) "
+    "SELECT doc_id, source, line FROM g WHERE k = 1"
+)
+def line_sample(spark, d):
+    s = docs(spark, d).select("doc_id", "source", F.posexplode(t.sentences("text")).alias("i", "x")).withColumn("line", F.trim("x"))
+    return relational.first_of_each(s.where(t.good_line("line")), ["doc_id"], ["i"]).select("doc_id", "source", "line")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 1000 THEN substring(text, 1, 1000) ELSE text END AS head, CASE WHEN length(text) > 1000 THEN substring(text, 1001) ELSE '' END AS tail, CASE WHEN length(text) > 1000 THEN 1 ELSE 0 END AS more FROM documents")
+def split_core_rest(spark, d):
+    core, rest = publish.split_core_rest(docs(spark, d).select("doc_id", "text"), "doc_id", {"text": 1000})
+    return core.join(rest.withColumnRenamed("text", "tail"), "doc_id", "left").select("doc_id", F.col("text").alias("head"), F.coalesce("tail", F.lit("")).alias("tail"), "more")
+
+
+@query("SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
+def contains_match(spark, d):
+    """Which documents hold a whole item: shingles find the candidates, so no document meets every item."""
+    b, x = table(spark, d, "benchmark"), docs(spark, d)
+    words = lambda df: df.withColumn("w", F.split(F.trim("text"), r"\s+"))
+    inner = lambda df: df.select("*").withColumn("w", F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 2)))
+    item = inner(words(b)).where(F.size("w") >= 6).select("item_id", F.array_join(F.slice("w", 1, 6), " ").alias("gram"), F.col("text").alias("item"))
+    grams = words(x).where(F.size("w") >= 6).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, F.lit(6)), " ")))).alias("gram"))
+    pairs = grams.join(item, "gram").select("doc_id", "item_id", "item").distinct()
+    return pairs.join(x.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+
+
+_GRAMS = "SELECT {k}, i, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 4)) AS i FROM (SELECT {k}, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM {t}) WHERE len(w) >= 6)"
+
+
+@query(f"WITH a AS ({_GRAMS.format(k='doc_id', t='documents')}), b AS ({_GRAMS.format(k='item_id', t='benchmark')}) SELECT doc_id, item_id, count(*) AS grams, CAST(min(a.i) - 1 AS INT) AS first_word FROM a JOIN b USING (g) GROUP BY 1, 2")
+def ngram_match(spark, d):
+    left = docs(spark, d).select("doc_id", t.ascii_tokens("text").alias("w"))
+    right = table(spark, d, "benchmark").select("item_id", t.ascii_tokens("text").alias("w"))
+    pairs = relational.shingle_join(left, right, 6, "w", "w", "doc_id", "item_id")
+    return pairs.groupBy(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id")).agg(F.count("*").alias("grams"), F.min("left_pos").alias("first_word"))
+
+
+@query("WITH h AS (SELECT doc_id, item_id, strpos(d.text, b.text) AS pos FROM documents d, benchmark b WHERE contains(d.text, b.text)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, item_id) - 1 AS ref FROM h) SELECT doc_id, item_id, ref FROM r")
+def order_preserving_distinct(spark, d):
+    """Each document's items numbered by where they first occur."""
+    hits = contains_match(spark, d).join(docs(spark, d).select("doc_id", F.col("text").alias("x")), "doc_id").join(table(spark, d, "benchmark").withColumnRenamed("text", "y"), "item_id").select("doc_id", "item_id", F.position("y", "x").alias("pos"))
+    return hits.select("doc_id", "item_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "item_id")) - 1).cast("long").alias("ref"))
+
+
+@query(
+    "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS round FROM documents), c AS (SELECT round, sum(count(*)) OVER (ORDER BY round) AS total FROM r GROUP BY round), "
+    "m AS (SELECT min(round) AS last FROM c WHERE total >= 600) SELECT doc_id, source, CAST(round AS INT) AS round FROM r, m WHERE last IS NULL OR round <= last"
+)
+def round_robin_sample(spark, d):
+    return relational.round_robin(docs(spark, d).select("doc_id", "source"), "source", ["doc_id"], 600)
+
+
+@query("SELECT doc_id, substring(sha256('stub:' || coalesce(text, '')), 1, 16) AS key FROM documents")
+def cache_key(spark, d):
+    return docs(spark, d).select("doc_id", t.cache_key("stub", "text").alias("key"))
+
+
+@query("SELECT doc_id, translate(CAST(n_chars AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩') AS digits FROM documents")
+def digits(spark, d):
+    return docs(spark, d).select("doc_id", t.arabic_digits(F.col("n_chars")).alias("digits"))
+
+
+@query("SELECT page_id, sha256(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM pages")
+def escape_html(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(t.escape_html("html"), 256).alias("escaped"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[—–]', ', ', 'g'), '(?:,\\s*){2,}', ', ', 'g'), '\\s+,', ',', 'g'), ' {2,}', ' ', 'g') AS clean FROM documents")
+def dash_clean(spark, d):
+    return docs(spark, d).select("doc_id", t.clean_dashes("text").alias("clean"))
+
+
+@query("WITH n AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS x FROM documents), c AS (SELECT *, length(substring(x, 1, 155)) - strpos(reverse(substring(x, 1, 155)), ' ') AS cut FROM n) SELECT doc_id, CASE WHEN length(x) <= 155 THEN x WHEN strpos(substring(x, 1, 155), ' ') > 0 AND cut > 93 THEN rtrim(substring(x, 1, cut)) || '…' ELSE rtrim(substring(x, 1, 155)) || '…' END AS snippet FROM c")
+def snippet(spark, d):
+    return docs(spark, d).select("doc_id", t.snippet("text").alias("snippet"))
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1")
+def json_props(spark, d):
+    return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query(f"WITH {_BM25}, k AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS n, doc_id FROM b ORDER BY n LIMIT 5) SELECT string_agg('[S' || n || '] (Vol. ' || d.doc_id || ' · p. 1)' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context FROM k JOIN documents d USING (doc_id)")
+def rag_context(spark, d):
+    from .. import models
+
+    top = retrieve.ranked(bm25_topk(spark, d), "doc_id").where("rank < 5")
+    one = F.lit(1)
+    hits = docs(spark, d).select("doc_id", "text").join(F.broadcast(top), "doc_id")
+    return models.context(hits, "rank", t.cite_en(F.col("doc_id"), one, one), "text")
+
+
+@query("SELECT doc_id, CAST(floor((i - 1) / 8) AS INT) AS batch, count(*) AS sentences FROM (SELECT doc_id, unnest(range(1, len(z) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.?!؟\n]+[.?!؟]?') AS z FROM documents)) GROUP BY 1, 2")
+def batches_of_eight(spark, d):
+    cut = docs(spark, d).select("doc_id", F.posexplode(segment.batches_of(t.sentences("text"))).alias("batch", "b"))
+    return cut.select("doc_id", "batch", F.size("b").cast("long").alias("sentences")).where("sentences > 0")
+
+
+@query("SELECT source, doc_id, CAST(coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM documents")
+def running_starts(spark, d):
+    return relational.running_starts(docs(spark, d).select("source", "doc_id", "n_chars"), ["source"], "doc_id", F.col("n_chars")).select("source", "doc_id", "start")
+
+
+@query("SELECT doc_id, replace(replace(text, 'ther', 'THER'), 'THERe', 'there') AS text FROM documents WHERE contains(text, 'ther')")
+def corrections_fold(spark, d):
+    fixes = F.array(F.struct(F.lit("ther").alias("find"), F.lit("THER").alias("with")), F.struct(F.lit("THERe").alias("find"), F.lit("there").alias("with")))
+    return docs(spark, d).where(F.contains("text", F.lit("ther"))).select("doc_id", F.aggregate(fixes, F.col("text"), lambda x, r: F.replace(x, r["find"], r["with"])).alias("text"))
+
+
+@query("SELECT doc_id, CAST((length(text) - length(replace(text, 'the ', ''))) / 4 AS INT) AS n, CAST(length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS INT) AS letters FROM documents")
+def occurrence_count(spark, d):
+    return docs(spark, d).select("doc_id", t.occurrences("text", "the ").alias("n"), F.regexp_count("text", F.lit(r"\p{L}")).alias("letters"))
+
+
+@query("SELECT vec_id, label, round(list_dot_product(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM embeddings, (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 3")
+def dense_topk_per_label(spark, d):
+    q = F.array(*[F.lit(float(x)) for x in _first_vector(spark, d)])
+    scored = table(spark, d, "embeddings").select("vec_id", "label", F.round(retrieve.dot("embedding", q), 6).alias("score"))
+    return relational.top_per_group(scored, ["label"], [F.desc("score"), "vec_id"], 3).drop("rank")
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def tumbling_events(spark, d):
+    x = table(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return x.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+def _records(spark, d):
+    """documents as records: the first line is the heading, the rest the answer."""
+    x = docs(spark, d)
+    return x.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("hi"), F.lit("").alias("q"), F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)").alias("a"), "source", "text")
+
+
+@query()
+def lexical_search(spark, d):
+    return retrieve.lexical_search(_records(spark, d), "thand erin tion")
+
+
+@query(
+    f"""WITH b AS (SELECT doc_id AS id, source, list_distinct(list_filter({_WORDS}, lambda x: length(x) > 2)) AS bag FROM documents),
+e AS (SELECT id, source, len(bag) AS size, unnest(bag) AS word FROM b), o AS (SELECT unnest(bag) AS word FROM b WHERE id = 3), n AS (SELECT count(*) AS n FROM b),
+f AS (SELECT word, ln(n / count(*)) AS w FROM e JOIN o USING (word), n GROUP BY word, n HAVING count(*) <= 0.2 * n),
+s AS (SELECT id, round(sum(w) / sqrt(size) * CASE WHEN source = (SELECT source FROM b WHERE id = 3) THEN 1.35 ELSE 1 END, 6) AS score FROM e JOIN f USING (word) WHERE id <> 3 GROUP BY id, source, size ORDER BY score DESC, id LIMIT 6)
+SELECT id, score, CAST(greatest(8, round(100 * score / max(score) OVER ())) AS INT) AS pct FROM s"""
+)
+def lexical_similar(spark, d):
+    return retrieve.similar_by_words(_records(spark, d), "id", t.ascii_tokens("text"), F.col("source"), 3)
+
+
+@query()
+def quotation_cascade(spark, d):
+    """Benchmark items as the reference text; every document's sentences are looked up in it in four readings."""
+    verses = table(spark, d, "benchmark").select(F.lit(1).cast("long").alias("chapter"), F.col("item_id").alias("verse"), "text")
+    index = quotes.build_index(verses, quotes.plain_readings)
+    rows = docs(spark, d).select("doc_id", F.posexplode(t.sentences("text")).alias("pos", "quote"))
+    return quotes.identify(rows, index, read=quotes.plain_readings).where("found IS NOT NULL").select("doc_id", "pos", "found.verse_start", "found.verse_end", "found.reading")
+
+
+@query()
+def paragraph_tiling(spark, d):
+    return docs(spark, d).select("doc_id", F.explode(segment.tiling(F.coalesce("text", F.lit("")))).alias("r")).select("doc_id", F.col("r")[0].alias("start"), F.col("r")[1].alias("end"))
