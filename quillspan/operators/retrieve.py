@@ -39,14 +39,15 @@ def bm25_search(index: dict[str, DataFrame], key: str, query: list[str], k: int
 
 
 def bm25_scan(docs: DataFrame, key: str, words: Column, query: list[str], k: int = SETTINGS.top_lexical) -> DataFrame:
-    """bm25_search without an index, for a query that runs once: one pass for the counts, one for the scores, no shuffle of documents."""
+    """bm25_search without an index, for a query that runs once: texts are read once, and only counts are shuffled; the statistics and the scores share that shuffle."""
     terms = list(dict.fromkeys(query))
     same = lambda q: lambda x: x == F.lit(q)
-    tf = docs.select(key, words.alias("w")).select(key, F.size("w").alias("dl"), *[F.size(F.filter("w", same(q))).alias(f"tf{i}") for i, q in enumerate(terms)])
-    stats = F.broadcast(tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))]))
+    tf = docs.select(key, words.alias("w")).select(key, F.size("w").alias("dl"), *[F.size(F.filter("w", same(q))).alias(f"tf{i}") for i, q in enumerate(terms)]).repartition(F.col(key), F.col("dl"))
+    # The count uses the key, so both branches need the same columns and Spark plans the shuffle once.
+    stats = F.broadcast(tf.agg((F.count(key) + F.count_if(F.col(key).isNull())).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))]))
     score = sum((_score(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n"), F.col("dl"), F.col("avgdl")) for i in range(len(terms))), F.lit(0.0))
-    some = " + ".join(f"tf{i}" for i in range(len(terms))) or "0"
-    return tf.where(f"{some} > 0").crossJoin(stats).select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(k).where("score > 0")
+    # No filter on the counts here: it would be pushed below the shuffle and count the words a second time.
+    return tf.crossJoin(stats).select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(k).where("score > 0")
 
 
 def dense_topk(vectors: DataFrame, key: str, vector: str, query: list[float], k: int = SETTINGS.top_dense) -> DataFrame:
@@ -176,7 +177,10 @@ def lexical_search(records: DataFrame, query: str, key: str = "id", fields: tupl
     df = {f: count[f"d{i}"] for i, f in enumerate(flat)}
     forms = [[own[0]] + [f for f in own[1:] if 0 < df[f] <= max(max(4 * df[own[0]], 0.02 * n), 0.08 * n)] for own in forms]
     any_of = [has(own[0]) if len(own) == 1 else F.greatest(*[has(f) for f in own]) for own in forms]
-    union = rows.agg(*[F.count_if(a).alias(f"t{i}") for i, a in enumerate(any_of)]).first()
+    if all(len(own) == 1 for own in forms):
+        union = [df[own[0]] for own in forms]
+    else:
+        union = rows.agg(*[F.count_if(a).alias(f"t{i}") for i, a in enumerate(any_of)]).first()
     idf = [math.log(1 + (n - union[i] + 0.5) / (union[i] + 0.5)) for i in range(len(terms))]
     total = sum(idf) or 1.0
     need = len(terms) if len(terms) <= 2 else math.ceil(0.7 * len(terms))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import quotes, relational, retrieve, segment
 from ..sources import publish
-from ..sources.readers import table
+from ..sources.readers import spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
