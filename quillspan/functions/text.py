@@ -106,7 +106,7 @@ def excerpt(x, limit: int) -> Column:
     last = F.length(head) - F.locate(" ", F.reverse(head))
     cut = F.when((F.locate(" ", head) > 0) & (last >= limit * 0.6), last).otherwise(F.lit(limit))
     s = F.left(t, cut.cast("int"))
-    opens = F.length(F.replace(s, F.lit("}"), F.lit(""))) < F.length(F.replace(s, F.lit("{"), F.lit("")))
+    opens = F.length(F.replace(s, F.lit("{"), F.lit(""))) < F.length(F.replace(s, F.lit("}"), F.lit("")))
     closed = F.when(opens, F.left(s, (F.length(s) - F.locate("{", F.reverse(s))).cast("int"))).otherwise(s)
     return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(closed, r"(?U)\s+$", ""), F.lit(" …")))
 

@@ -14,7 +14,7 @@ REFERENCE = r"^\d+:\d+(-\d+)?$"
 
 def load(spark, folder: str) -> DataFrame:
     """(file, id, entry) of all *.json files of a folder. Broken JSON and an id in two files are errors."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", SCHEMA, {"mode": "FAILFAST"}).alias("m"))
+    rows = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", SCHEMA, {"mode": "FAILFAST"}).alias("m"))
     entries = rows.select("file", F.explode("m").alias("id", "entry"))
     if twice := entries.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(5).collect():
         raise ValueError(f"corrected in more than one file: {[r['id'] for r in twice]}")

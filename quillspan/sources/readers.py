@@ -14,7 +14,7 @@ VERSES = "array<struct<id:int,name:string,transliteration:string,verses:array<st
 
 def marked_text(spark: SparkSession, path: str, header_end: str = HEADER_END) -> DataFrame:
     """(file, seq, value): the lines behind the first header end, or all lines without one."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     at = F.locate(header_end, F.col("value"))
     body = F.when(at > 0, F.expr(f"substring(value, locate('{header_end}', value) + {len(header_end)})")).otherwise(F.col("value"))
     return whole.select("file", F.posexplode(F.split(body, "\r?\n")).alias("seq", "value"))
@@ -27,13 +27,13 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 def whole_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file of one JSON value of any type, as the column value."""
-    return spark.read.option("wholetext", True).text(path).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("value"))
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("value"))
 
 
 def tolerant_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """whole_json that gives no rows where a file is missing or broken."""
     try:
-        rows = spark.read.option("wholetext", True).option("ignoreMissingFiles", True).text(path)
+        rows = spark.read.option("ignoreMissingFiles", True).text(path, wholetext=True)
     except Exception as e:  # a path that does not exist
         if "PATH_NOT_FOUND" not in str(e):
             raise
