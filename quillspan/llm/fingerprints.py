@@ -60,7 +60,9 @@ def bins(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         least[doc[ok], empty[ok]] = least[doc[ok], donor[ok]]
         doc, empty = doc[~ok], empty[~ok]
     # A minimum that fills many bins must not meet another by chance in all of them at once: the bits depend on the bin too.
-    return (mix(least + mix(np.arange(BINS, dtype=np.uint64))) & np.uint64((1 << BITS) - 1)).astype(np.uint8), n > 0
+    low = (mix(least + mix(np.arange(BINS, dtype=np.uint64))) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    low[n == 0] = 0
+    return low, n > 0
 
 
 def packed(low: np.ndarray, has: np.ndarray) -> list[str]:

@@ -17,6 +17,7 @@ Columns other than doc_id and text are not looked at.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -225,9 +226,12 @@ def groups(docs: DataFrame, percent: int = 80, hashes: int = HASHES, k: int = WO
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; of rows that repeat its doc_id one stays. The columns stay."""
-    kept = groups(docs, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest doc_id of each group; rows that repeat both its doc_id and text are kept once.
+
+    Rows with one doc_id (null too) but different texts all stay where their doc_id does. The columns stay."""
+    own = f"kept_{uuid.uuid4().hex}"
+    kept = groups(docs, percent).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op7_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,10 +218,14 @@ def train(spark: SparkSession, findings: list[tuple[str, str, int]] | DataFrame
     return Forest.fit(np.array([r["x"] for r in rows], float), np.array([r["is_secret"] for r in rows], float))
 
 
+def _path(docs: DataFrame, path_col: str) -> Column:
+    return F.col(path_col).cast("string") if path_col in docs.columns else F.lit("")
+
+
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """One row for each candidate: doc_id, pos (0 for a text's first), value_sha256, n_chars, score and is_secret (score of 0.5 or more)."""
     text = F.col(text_col).cast("string")
-    found = docs.where(text.rlike(CANDIDATE)).select(F.col(id_col).alias("doc_id"), F.posexplode(candidates(text, F.col(path_col).cast("string"))).alias("pos", "c"))
+    found = docs.where(text.rlike(CANDIDATE)).select(F.col(id_col).alias("doc_id"), F.posexplode(candidates(text, _path(docs, path_col))).alias("pos", "c"))
     scored = found.select("doc_id", "pos", F.sha2("c.value", 256).alias("value_sha256"), F.length("c.value").alias("n_chars"), F.round(forest.column(F.col("c.x")), 6).alias("score"))
     return scored.withColumn("is_secret", F.col("score") >= 0.5)
 
@@ -229,7 +233,7 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str = "source") -> DataFrame:
     """docs with every secret's value replaced by MARK, and n_chars (where there is one) counted anew. All rows and columns stay."""
     text = F.col(text_col)
-    cands = F.transform(candidates(text, F.col(path_col).cast("string")), lambda c: F.struct(c["found"].alias("found"), c["value"].alias("value"), forest.column(c["x"]).alias("score")))
+    cands = F.transform(candidates(text, _path(docs, path_col)), lambda c: F.struct(c["found"].alias("found"), c["value"].alias("value"), forest.column(c["x"]).alias("score")))
     said = F.transform(cands, lambda c: F.when(c["score"] >= 0.5, F.concat(F.left(c["found"], F.length(c["found"]) - F.length(c["value"])), F.lit(MARK))).otherwise(c["found"]))
     whole = F.array_join(F.zip_with(F.split(text, CANDIDATE, -1), said, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     new = F.when(text.rlike(CANDIDATE), whole).otherwise(text)
