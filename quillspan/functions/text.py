@@ -144,7 +144,10 @@ def word_count(x) -> Column:
 def lookup_phrase(x, n: int = 12) -> Column:
     """The first n words, URL-encoded; null under three words."""
     w = tokens(x)
-    return F.when(F.size(w) >= 3, F.replace(F.url_encode(F.array_join(F.slice(w, 1, n), " ")), F.lit("+"), F.lit("%20")))
+    coded = F.url_encode(F.array_join(F.slice(w, 1, n), " "))
+    for form, rfc in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):  # from form encoding to that of addresses
+        coded = F.replace(coded, F.lit(form), F.lit(rfc))
+    return F.when(F.size(w) >= 3, coded)
 
 
 def occurrences(x, find) -> Column:

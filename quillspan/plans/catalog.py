@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -380,3 +381,55 @@ def quotation_cascade(spark, d):
 @query()
 def paragraph_tiling(spark, d):
     return docs(spark, d).select("doc_id", F.explode(segment.tiling(F.coalesce("text", F.lit("")))).alias("r")).select("doc_id", F.col("r")[0].alias("start"), F.col("r")[1].alias("end"))
+
+
+@query()
+def longest_run(spark, d):
+    """The longest run of each sentence that stands word for word in the benchmark items."""
+    verses = table(spark, d, "benchmark").select(F.lit(1).cast("long").alias("chapter"), F.col("item_id").alias("verse"), "text")
+    known = spark.sparkContext.broadcast(quotes.build_index(verses, quotes.plain_readings))
+
+    @F.pandas_udf("struct<first:int,last:int,verse:long>")
+    def run(r: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in r:
+            hit = known.value.longest_run(x.split())
+            out.append((hit[0], hit[1], known.value.refs[hit[2]][1]) if hit else (None,) * 3)
+        return pd.DataFrame(out, columns=["first", "last", "verse"])
+
+    rows = docs(spark, d).select("doc_id", F.posexplode(t.sentences("text")).alias("pos", "quote"))
+    return rows.select("doc_id", "pos", run(quotes.plain_readings(F.col("quote"))[0]).alias("run")).where("run.first IS NOT NULL").select("doc_id", "pos", "run.*")
+
+
+@query("SELECT place, count(*) AS n FROM (SELECT c_nationkey AS place FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1")
+def place_visits(spark, d):
+    from ..operators import small
+
+    pairs = table(spark, d, "customer").select(F.col("c_nationkey").alias("a"), F.lit(None).cast("int").alias("b")).unionByName(table(spark, d, "supplier").select(F.lit(None).cast("int").alias("a"), F.col("s_nationkey").alias("b")))
+    return small.visits(pairs).where("place IS NOT NULL")
+
+
+@query("SELECT doc_id, url_encode(array_to_string(list_slice(regexp_extract_all(text, '\\S+'), 1, 12), ' ')) AS phrase FROM documents WHERE len(regexp_extract_all(text, '\\S+')) >= 3")
+def lookup_links(spark, d):
+    return docs(spark, d).select("doc_id", t.lookup_phrase("text").alias("phrase")).where("phrase IS NOT NULL")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 130 THEN rtrim(substring(text, 1, 130), ' ' || chr(10)) || '…' ELSE text END AS tip FROM documents")
+def tooltips(spark, d):
+    return docs(spark, d).select("doc_id", publish.trim_tooltip("text").alias("tip"))
+
+
+@query("SELECT page_id, '<url><loc>https://site.example/' || page_id || '</loc></url>' AS value FROM pages")
+def sitemap(spark, d):
+    p = table(spark, d, "pages").select("page_id")
+    return publish.sitemap_entries(p.withColumn("k", F.col("page_id")), "https://site.example", "k").withColumn("page_id", F.regexp_extract("value", r"/(\d+)</loc>", 1).cast("long"))
+
+
+@query("SELECT doc_id, toxic, quality FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS k FROM labels) WHERE (toxic = 1 AND k <= 40) OR (toxic = 0 AND k <= 60)")
+def stratified_sample(spark, d):
+    return relational.stratified(table(spark, d, "labels").select("doc_id", "toxic", "quality"), F.col("toxic") == 1, 100, ["doc_id"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 30")
+def result_page(spark, d):
+    return relational.page(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 3)
