@@ -12,7 +12,7 @@ import os
 import re
 
 #: Pieces whose ids a worker keeps.
-KEEP = 800_000
+KEEP = 500_000
 _LEADING = re.compile(r"[ \t\n\r\f\v]?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])")
 _SPACED = re.compile(r"[^ \t\n\r\f\v]+")
 #: White space beyond ASCII, next to which the rule above could split a run of white space otherwise than the library.
