@@ -20,13 +20,14 @@ from ..cluster import ship
 CHUNK_BYTES = 1 << 20
 #: Stands for a null identifier where an operator needs a number.
 NULL_ID = -(1 << 63)
-#: Rows of an Arrow batch, low because single texts may have megabytes.
-ARROW_ROWS = 1000
+#: Rows of an Arrow batch, and bytes after which it ends sooner, because single texts may have megabytes.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
