@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, column, id_or_sentinel, materialize, read_table, slices
+from .common import NULL_ID, column, heavy_join, id_or_sentinel, materialize, read_table, slices
 from .components import components
 from .words import constants, shingles, words
 
@@ -36,6 +36,8 @@ MISS = 1e-6
 BLOCK_DOCS, BLOCK_SHINGLES, UNIT_DOCS = 1024, 500_000, 16_384
 #: Standard errors by which a signature's estimate may fall short before a pair is dropped unseen.
 MARGIN = 6
+#: Pairs of one document that one task gets its text for.
+PAIRS = 4096
 
 
 def bands_for(threshold: float, hashes: int = HASHES, miss: float = MISS) -> tuple[int, int]:
@@ -100,7 +102,9 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
             yield x.filter(pa.array(estimate >= least)).select(["u", "v"])
 
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("low").alias(f"low_{c}"))
-    sized = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("n_u", "n_v") >= F.lit(threshold) * F.greatest("n_u", "n_v"))
+    links = pairs.groupBy("u").agg(F.count("*").alias("links"))
+    one = heavy_join(pairs, links.join(side("u"), "u"), ["u"], "links", pairs.count())
+    sized = one.join(side("v"), "v").where(F.least("n_u", "n_v") >= F.lit(threshold) * F.greatest("n_u", "n_v"))
     return sized.select("u", "v", "low_u", "low_v").mapInArrow(run, "u long, v long")
 
 
@@ -120,7 +124,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, id_col: s
                 yield x.filter(pa.array(ok)).select(["u", "v"])
 
     texts = docs.select(id_or_sentinel(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    one = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
+    # A leader of very many pairs is dealt over several tasks, each with its text.
+    parts = pairs.groupBy("u").agg(F.count("*").alias("links")).withColumn("parts", F.ceil(F.col("links") / PAIRS))
+    dealt = heavy_join(pairs, parts, ["u"], "links", pairs.count()).select("u", "v", F.pmod(F.xxhash64("v"), "parts").alias("part"))
+    spread = parts.join(texts, F.col("u") == F.col("id")).select("u", F.col("text").alias("text_u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    one = dealt.join(spread, ["u", "part"])
     two = one.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
     return two.mapInArrow(run, "u long, v long").distinct()
 
@@ -138,13 +146,13 @@ def _cross_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, percent: int
     two blocks meet in one task, as matrices. No row is made for a pair, and only links that join components come out."""
     unit = components(rest.where("doc_id <> u").select("u", F.col("doc_id").alias("v")))
     named = rest.join(unit.select(F.col("node").alias("doc_id"), F.col("component").alias("unit")), "doc_id")
-    sized = named.select("unit", "doc_id").distinct().groupBy("unit").agg(F.count("*").alias("members"))
-    named = named.join(sized, "unit")
+    sized = named.groupBy("unit", "doc_id").agg(F.count("*").alias("n")).groupBy("unit").agg(F.count("*").alias("members"), F.sum("n").alias("rows"))
+    named = heavy_join(named, sized, ["unit"], "rows", rest.count())
     whole = named.where(F.col("members") <= UNIT_DOCS).select(F.lit(0).cast("byte").alias("kind"), "unit", "doc_id", "c").distinct()
     parts = named.where(F.col("members") > UNIT_DOCS).select(F.lit(1).cast("byte").alias("kind"), F.col("bucket").alias("unit"), "doc_id", "c")
     rows = materialize(whole.unionByName(parts).join(reps.select("doc_id", "n"), "doc_id"), "units")
-    blocks = rows.groupBy("kind", "unit").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    dealt = rows.join(blocks, ["kind", "unit"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    blocks = rows.groupBy("kind", "unit").agg(F.count("*").alias("rows"), F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = heavy_join(rows, blocks, ["kind", "unit"], "rows", rows.count()).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     tiles = dealt.select("kind", "unit", "doc_id", "c", "own", other).select("kind", "unit", "doc_id", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     texts = docs.select(id_or_sentinel(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -197,28 +205,32 @@ def groups(docs: DataFrame, percent: int = 80, hashes: int = HASHES, k: int = WO
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     threshold = percent / 100
     all_rows = materialize(signatures(docs, threshold, hashes, k, id_col, text_col), "signatures")
-    sets = all_rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    total = all_rows.count()
+    sets = all_rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # A document that has rows with different texts ties their sets together.
-    members = materialize(all_rows.where("n > 0").select("doc_id", "set_key").join(sets, "set_key").select("doc_id", "rep").distinct(), "members")
+    members = materialize(heavy_join(all_rows.where("n > 0").select("doc_id", "set_key"), sets, ["set_key"], "copies", total).select("doc_id", "rep").distinct(), "members")
     reps = materialize(all_rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_key"]), "reps")
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
 
-    leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u <> last").select("bucket", "u")
-    pairs = buckets.join(leaders, "bucket").where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()
+    leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("u <> last").select("bucket", "u", "size")
+    led = heavy_join(buckets, leaders, ["bucket"], "size", reps.count() * bands_for(threshold, hashes)[0])
+    pairs = led.where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()
     likely = materialize(_likely(materialize(pairs, "pairs"), reps, threshold), "likely")
     links = materialize(_verified(likely, docs, percent, k, id_col, text_col), "links")
     label = components(links)
 
-    named = buckets.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    named = materialize(named.join(leaders, "bucket", "left_semi"), "named")
-    open_ = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("bucket")
-    rest = materialize(named.join(open_, "bucket").join(leaders, "bucket"), "open")
+    named = led.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", "u", F.coalesce("component", "doc_id").alias("c"))
+    named = materialize(named, "named")
+    open_ = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("bucket", "size")
+    rest = materialize(heavy_join(named, open_, ["bucket"], "size", named.count()).select("bucket", "doc_id", "c", "u"), "open")
     found = materialize(_cross_links(rest, reps, docs, percent, k, id_col, text_col), "links")
     more = members.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
     ties = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     label = components(links.unionByName(found).unionByName(more).unionByName(ties.join(more.where("u <> v").select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi")))
 
-    by_rep = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
+    copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
+    placed = copies.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "copies", F.coalesce("component", "rep").alias("c"))
+    by_rep = heavy_join(members, placed, ["rep"], "copies", total)
     of = by_rep.groupBy("doc_id").agg(F.min("c").alias("c"))
     out = all_rows.select("doc_id", "n").join(of, "doc_id", "left").select("doc_id", "n", F.coalesce("c", "doc_id").alias("c"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
