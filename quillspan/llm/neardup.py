@@ -124,11 +124,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, id_col: s
                 yield x.filter(pa.array(ok)).select(["u", "v"])
 
     texts = docs.select(id_or_sentinel(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # A leader of very many pairs is dealt over several tasks, each with its text.
+    own = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
+    # The pairs of a leader that has very many are dealt over several tasks, each with its text.
     parts = pairs.groupBy("u").agg(F.count("*").alias("links")).withColumn("parts", F.ceil(F.col("links") / PAIRS))
-    dealt = heavy_join(pairs, parts, ["u"], "links", pairs.count()).select("u", "v", F.pmod(F.xxhash64("v"), "parts").alias("part"))
-    spread = parts.join(texts, F.col("u") == F.col("id")).select("u", F.col("text").alias("text_u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    one = dealt.join(spread, ["u", "part"])
+    dealt = materialize(heavy_join(pairs, parts, ["u"], "links", pairs.count()).select("u", "v", "parts"), "dealt")
+    one = dealt.where("parts = 1").select("u", "v").join(own, "u")
+    many = parts.where("parts > 1").join(own, "u").select("u", "text_u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    shared = dealt.where("parts > 1").select("u", "v", F.pmod(F.xxhash64("v"), "parts").alias("part")).join(many, ["u", "part"])
+    one = one.unionByName(shared.select("u", "text_u", "v"))
     two = one.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
     return two.mapInArrow(run, "u long, v long").distinct()
 
@@ -213,7 +216,7 @@ def groups(docs: DataFrame, percent: int = 80, hashes: int = HASHES, k: int = WO
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
 
     leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("u <> last").select("bucket", "u", "size")
-    led = heavy_join(buckets, leaders, ["bucket"], "size", reps.count() * bands_for(threshold, hashes)[0])
+    led = materialize(heavy_join(buckets, leaders, ["bucket"], "size", reps.count() * bands_for(threshold, hashes)[0]).select("bucket", "doc_id", "u"), "led")
     pairs = led.where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()
     likely = materialize(_likely(materialize(pairs, "pairs"), reps, threshold), "likely")
     links = materialize(_verified(likely, docs, percent, k, id_col, text_col), "links")
