@@ -20,8 +20,6 @@ from ..cluster import ship
 CHUNK_BYTES = 1 << 20
 #: Stands for a null identifier where an operator needs a number.
 NULL_ID = -(1 << 63)
-#: Keys that a join may treat as heavy, at most.
-HEAVY = 1000
 #: Rows of an Arrow batch, and bytes after which it ends sooner, because single texts may have megabytes.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
@@ -75,19 +73,6 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def heavy_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """rows joined with groups (one row for each key, size: how many of the total rows have it), where a key may hold most rows.
-
-    Keys with more than total / HEAVY rows are HEAVY at most, so broadcasting them has a fixed bound and their rows stay where
-    they are; all others meet by a shuffle. A row of either side without a partner is left out. No key may be null."""
-    heavy = F.col(size) > total // HEAVY + 1
-    hot = groups.where(heavy)
-    names = hot.select(*[F.col(k).alias(f"heavy_{k}") for k in keys])
-    few = rows.join(F.broadcast(hot), keys)
-    other = rows.join(F.broadcast(names), [F.col(k) == F.col(f"heavy_{k}") for k in keys], "left_anti")
-    return few.unionByName(other.join(groups.where(~heavy), keys))
-
-
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
