@@ -8,13 +8,21 @@ import re
 import numpy as np
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|canvas|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|select|canvas)(?=[\s/>])([^>]*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
+#: Elements left out up to their end tag. The first two hold raw text, to the end of the page without one, as in browsers;
+#: the others are ordinary nodes if they are empty (/>), never end or hold a start tag of their kind.
+_CODE = {t: re.compile(rf"<(/){t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style")}
+_ENDS = _CODE | {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.I) for t in "noscript template iframe textarea select canvas".split()}
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Left out where they show no text.
+_DRAWN = frozenset(("svg", "object"))
+#: Tags without a node: a formula belongs to the text around it and is judged with it.
+_MATH = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mmultiscripts mstyle mpadded menclose mfenced semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr object svg g defs symbol use path circle ellipse line polygon polyline rect tspan".split())
 HIDDEN = frozenset("head title button option input".split())
 #: What a start tag ends when it is open: its own kind of item, up to the list or table it is in.
 _CLOSES = {t: ({"p"}, frozenset()) for t in "address article aside blockquote center details div dl fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
@@ -64,17 +72,32 @@ def _groups(attributes: str) -> tuple[int, ...]:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; text nodes have the tag #text and their raw text. Comments and raw elements are left out."""
+    """The tree of a page; text nodes have the tag #text and their raw text. Comments and the elements of _ENDS are left out."""
     root = now = Node("#root", None)
     at = 0
-    for m in _TOKEN.finditer(page):
+    unended: set[str] = set()
+    drawn = formula = False
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
-            _put(now, page[at : m.start()])
-        at = m.end()
-        if not m[3]:
+            _put(now, page[at : m.start()], formula)
+        at, formula = m.end(), False
+        if m[1]:
+            tag, attributes = m[1].lower(), m[2]
+            if tag in _CODE or (tag not in unended and not attributes.rstrip().endswith("/")):
+                end = _ENDS[tag].search(page, at)
+                if tag in _CODE or (end and end[1]):
+                    at = end.end() if end else len(page)
+                    continue
+                if not end:
+                    unended.add(tag)
+        elif m[4]:
+            tag, attributes = m[4].lower(), m[5]
+            if tag in _MATH:
+                formula = True
+                continue
+        else:
             continue
-        tag = m[3].lower()
-        if m[2]:
+        if m[3]:
             n = now
             while n is not root and n.tag != tag and (n.tag not in _SCOPE or tag in _SCOPE):
                 n = n.parent
@@ -92,17 +115,32 @@ def parse(page: str) -> Node:
                 n = n.parent
             if last is not None:
                 now = last.parent
-        node = Node(tag, now, _groups(m[4]) if m[4] else ())
+        node = Node(tag, now, _groups(attributes) if attributes else ())
         now.children.append(node)
-        if tag not in VOID and not (m[4] or "").rstrip().endswith("/"):
+        drawn = drawn or tag in _DRAWN
+        if tag not in VOID and not (attributes or "").rstrip().endswith("/"):
             now = node
     if at < len(page):
-        _put(now, page[at:])
+        _put(now, page[at:], formula)
+    if drawn:
+        _prune(root)
     return root
 
 
-def _put(parent: Node, text: str) -> None:
-    if text.strip():
+def _prune(root: Node) -> None:
+    nodes = ordered(root)
+    says: set[int] = set()
+    for n in reversed(nodes):
+        if n.parent is not None and (n.tag == "#text" or (id(n) in says and n.tag not in HIDDEN)):
+            says.add(id(n.parent))
+    for n in nodes:
+        n.children = [c for c in n.children if c.tag not in _DRAWN or id(c) in says]
+
+
+def _put(parent: Node, text: str, join: bool) -> None:
+    if join and parent.children and parent.children[-1].tag == "#text":
+        parent.children[-1].text += html.unescape(text)
+    elif text.strip():
         node = Node("#text", parent)
         node.text = html.unescape(text)
         parent.children.append(node)

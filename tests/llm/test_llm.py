@@ -253,6 +253,25 @@ def test_html_tree():
     assert tags == ["#root", "p", "#text", "p", "#text", "ul", "li", "#text", "li", "#text", "td", "#text", "br", "#text"]
 
 
+def test_main_text_behind_and_inside_embedded_elements():
+    model = main_text.train()
+    first, last = "First paragraph of some length, with more words to read.", "Third paragraph ends the article for today."
+    page = lambda lead="", mid="": f'<html><body><nav><a href=/a>Menu</a></nav>{lead}<article class=post><h1>The title</h1><p>{first}</p>{mid}<p>{last}</p></article></body></html>'
+    want = f"The title\n\n{first}\n\n{last}"
+    leads = ['<svg class="i"/>', "<svg><path d=x /><title>Icon</title></svg>", "<svg-icon></svg-icon>", "<select-box></select-box>", "<template-x></template-x>", "<math/>", "<iframe src=x />", "<canvas>", "<form><select><option>a</form>"]
+    got = main_text.extract([page(x) for x in leads] + [page(x) + "<select><option>b</select>" for x in leads], model)
+    assert got == [want] * len(got)
+    sum_ = "<p>The well known sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is shown in this sentence of the text.</p>"
+    inner = "<object data=x><p>The words of this object are as long as others, and they end here.</p></object>"
+    drawn = "<p>Icons <svg><path d=x /></svg> part no <svg/>sentence of this long article in two.</p>"
+    got = main_text.extract([page(mid=x) for x in (sum_, inner, drawn)], model)
+    said = ["The well known sum x+1 is shown in this sentence of the text.", "The words of this object are as long as others, and they end here.", "Icons part no sentence of this long article in two."]
+    assert got == [f"The title\n\n{first}\n\n{x}\n\n{last}" for x in said]
+    tags = [n.tag for n in ordered(parse("a<select><option>b</select><svg><text>c</text></svg><script>d</scripts></script ><style>e"))]
+    assert tags == ["#root", "#text", "svg", "text", "#text"]
+    assert len(ordered(parse("<select>" * 20_000 + "<svg/>" * 20_000))) == 20_001
+
+
 # --- 6
 
 
