@@ -177,3 +177,21 @@ def test_streams(spark, tmp_path):
     assert sorted((r["event_type"], r["n"], r["total"]) for r in got) == [("a", 2, 3.0), ("b", 1, 1.0)]
     assert events.run_once(events.sessions(made()), "sessions_t", str(tmp_path / "c2")).count() == 3
     assert events.run_once(events.sliding(made()), "sliding_t", str(tmp_path / "c3")).count() > 0
+
+
+def test_contains_match_finds_short_items(spark, tmp_path):
+    import duckdb
+
+    from quillspan.plans.catalog import ORACLE_SQL, QUERIES
+
+    texts = ["one two three four five six seven eight nine ten", "undone two threefold", "", None, "no such words", "one two three four five six sevens"]
+    items = ["one", "one two", "one two three", "two three four five", "one two three four five six seven", "one two three four five six seven eight", "one two three four five six seven eight nine", "", None, "absent"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name, cols in (("contains_match", ["doc_id", "item_id"]), ("order_preserving_distinct", ["doc_id", "item_id", "ref"])):
+        want = c.sql(f"SELECT {', '.join(cols)} FROM ({ORACLE_SQL[name]})").fetchall()
+        got = QUERIES[name](spark, str(tmp_path)).select(*cols).collect()
+        assert sorted(map(tuple, got)) == sorted(want) and len(want) > 15
