@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives, in DataFrame functions alone.
 
 Candidates are key-value pairs with a telling key, private key blocks, and runs of 16 or more token characters with a
-digit. The forest sees a candidate's length, its character transitions and mix, how much of it dictionary words cover, the
+digit or of 15 with a known prefix. The forest sees a candidate's length, its character transitions and mix, how much of it dictionary words cover, the
 document's path (source) and the neighbouring words. It is trained on the driver from labelled findings; scoring and
 redaction are SQL expressions over each row's own candidates, so nothing is shuffled and no row leaves the JVM.
 
@@ -25,18 +25,22 @@ FINDINGS = 6000
 MARK = "[SECRET]"
 
 _RUN = "A-Za-z0-9+/_=.\\-"
-_KEYS = "passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth"
+_KEYS = "passw(?:or)?d|passwd|pwd|(?:secret|private)[_-]?key|secret|token|api[_-]?key|access[_-]?key|auth"
+_KNOWN = "AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[abp]-|AIza|eyJ"
+_BEGIN, _END = (rf"-----{x}[A-Z ]{{0,40}}PRIVATE KEY-----" for x in ("BEGIN", "END"))
+# A key block runs to its END line, or without one as far as it looks like one. A value behind a key runs to its closing
+# quote; without quotes to white space, or to the quote of a string around it, but for closing punctuation.
 CANDIDATE = (
-    rf"-----BEGIN[A-Z ]{{0,40}}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END[A-Z ]{{0,40}}PRIVATE KEY-----)?"
-    rf"|(?i:{_KEYS})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_.=~!@^\-]{{5,}}[A-Za-z0-9+/_=]"
-    rf"|(?<![{_RUN}])(?=[A-Za-z+/_=.\-]*+[0-9])[{_RUN}]{{15,}}[A-Za-z0-9+/_=]"
+    rf"{_BEGIN}(?:(?>(?s:.*?)(?=-----(?:BEGIN|END))){_END}|(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]*+){{0,4}}+[A-Za-z0-9+/=\s]*+)"
+    rf"|(?i:{_KEYS})[\"']?\s{{0,3}}[=:]\s{{0,3}}(?:\"[^\"\r\n]{{6,}}+(?=\")|'[^'\r\n]{{6,}}+(?=')|[\"']?[^\s\"']\S{{5,}}?(?=[\"'.,;:)\]}}>]{{0,3}}+(?:\s|\z)|[\"'][,;:)\]}}>]))"
+    rf"|(?<![{_RUN}])(?:(?:{_KNOWN})[{_RUN}]{{11,}}|(?=[A-Za-z+/_=.\-]*+[0-9])[{_RUN}]{{15,}})[A-Za-z0-9+/_=]"
 )
 _PAIR = r"(?s)^[A-Za-z_\-]{2,40}[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 #: Words that count as dictionary words inside a candidate.
 DICTIONARY = "the and with from that this for are was not you key name test user data file image page http https www com org net html example sample version release build error value string number date time und der die das ist les des que une est los las con para por"
 _TELLING = r"(?i)(pass|pwd|secret|token|key|auth|bearer|credential|login)[^A-Za-z0-9]{0,4}\w{0,6}[\s\"'=:]*$"
 _HASHED = r"(?i)(sha-?\d*|md5|commit|checksum|digest|revision|rev|uuid|etag|build|version|hash|card|phone|tel|iban|order|isbn|id)[^A-Za-z0-9]{0,4}[\s\"'=:]*$"
-_PREFIX = r"^(AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[abp]-|AIza|eyJ|-----BEGIN)"
+_PREFIX = rf"^({_KNOWN}|-----BEGIN)"
 _PLACEHOLDER = r"(?i)(example|sample|dummy|test|placeholder|change_?me|your[_-]|xxxx|0000000|12345678|abcdef123)"
 
 
@@ -176,6 +180,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
     true = [
         lambda: assign(some(hexa, r.choice([16, 18, 20, 32, 40, 64]))),
         lambda: assign(some(mixed, r.randint(12, 48))),
+        lambda: assign(some(mixed, 3) + some("@#$%&*!", r.randint(1, 3)) + some(mixed + "@#$%&*!", r.randint(3, 12)) + some(mixed, 1)),
         lambda: r.choice(["AKIA", "ASIA"]) + some(upper, 16),
         lambda: r.choice(["ghp_", "gho_", "sk_live_", "xoxb-", "AIza"]) + some(mixed, r.randint(24, 40)),
         lambda: "Authorization: Bearer " + "eyJ" + some(mixed, 30) + "." + some(mixed, 40) + "." + some(mixed, 30),
@@ -210,7 +215,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
 
 
 def train(spark: SparkSession, findings: list[tuple[str, str, int]] | DataFrame | None = None) -> Forest:
-    """A forest from labelled findings (text around one candidate, path, is_secret)."""
+    """A forest from labelled findings (text around one candidate, path, is_secret). A text without a candidate has no features and is left out."""
     if not isinstance(findings, DataFrame):
         findings = spark.createDataFrame(findings or labelled_findings(), "text string, path string, is_secret int")
     cand = F.element_at(candidates(F.col("text"), F.col("path")), 1)
