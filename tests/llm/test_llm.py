@@ -325,6 +325,20 @@ def test_toxicity(spark):
     assert all(x["predicted"] == 0 for x in none) and toxicity.scores(docs_frame(spark, []), lab).count() == 0
 
 
+def test_toxicity_counts_all_training_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 60)
+    rows = [(i, f"plain{i % 7} words{i % 11} " + ("grubbane" if i % 10 == 3 else "quiet") + (" snotter" if i % 200 == 3 else "")) for i in range(2000)]
+    lab = spark.createDataFrame([(i, int(i % 10 == 3)) for i in range(0, 2000) if i % 2], "doc_id long, toxic int")
+    df = docs_frame(spark, rows)
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    for word in ("grubbane", "quiet", "snotter"):
+        f = int(toxicity.features(pa.array([word]))[0][0])
+        got, n = toxicity._frequencies(df.where(~toxicity.held_out(F.col("doc_id"))).repartition(5))
+        assert n == len(train) and got[f] == sum(word in t for t in train)
+    model = toxicity.train(df, lab)
+    assert model.weight[int(toxicity.features(pa.array(["snotter"]))[0][0])] != 0
+
+
 # --- 7
 
 
