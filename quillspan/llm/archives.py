@@ -8,7 +8,7 @@ declared type, and block and payload digests.
 Records with equal payloads of at least REVISIT_BYTES bytes: that of the largest page_id is the response, the others revisit it.
 
 Defined cases: null html is an empty payload; a null url becomes urn:page:<page_id>; rows that repeat the response's page_id
-and payload are responses too; a null page_id sorts below all others; an empty table gives no archives and no rows; other columns are
+and payload are responses too, with one record id, as their records are the same; a null page_id sorts below all others; an empty table gives no archives and no rows; other columns are
 not looked at. Archives are named anew in every attempt and known through a manifest, so lost executors leave no half-read file.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, filesystem, materialize, partitions, prepare, read_table, scratch_path, slices
+from .common import column, filesystem, lookup, materialize, partitions, prepare, read_table, scratch_path, slices
 from .ordering import real_id
 
 REVISIT_BYTES = 1000
@@ -176,13 +176,16 @@ def bare_digest(field: str) -> str:
 
 
 def _roles(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and first, the page_id whose record is the response (null: this one is)."""
+    """page_id, url, html and first, the page_id and url whose record is the response (null: this one is).
+
+    Only pages that may be revisits meet their copies; digests of very many copies do so by a bounded broadcast."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     low = F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    rows = pages.select(low.alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("bytes"))
-    last = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    other = F.col("last").isNotNull() & (F.col("bytes") >= REVISIT_BYTES) & (F.col("last.page_id") != F.col("page_id"))
-    return rows.join(last, "digest", "left").select("page_id", "url", "html", F.when(other, F.col("last")).alias("first"))
+    rows = pages.select(low.alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= REVISIT_BYTES, F.sha1(F.col("html").cast("binary"))))
+    last = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n")).where("n > 1")
+    placed = lookup(rows, materialize(last, "copies"), ["digest"], "n", pages.count(), "page_id", "left")
+    return placed.select("page_id", "url", "html", F.when(F.col("last.page_id") != F.col("page_id"), F.col("last")).alias("first"))
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -251,8 +254,9 @@ def read(manifest: DataFrame) -> DataFrame:
     kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers string, record_id string, target_uri string, warc_date string"
     files = manifest.select("file").repartition(partitions(manifest.sparkSession), "file")
     rows = materialize(files.mapInArrow(run, kind), "records")
-    target = rows.where("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("refers_to")).withColumnRenamed("record_id", "refers")
-    out = rows.join(target, "refers", "left")
+    used = rows.where("refers IS NOT NULL").groupBy("refers").agg(F.count("*").alias("n"))
+    target = rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers")).agg(F.max("page_id").alias("refers_to"))
+    out = lookup(rows, materialize(used.join(target, "refers"), "referred"), ["refers"], "n", rows.count(), "page_id", "left")
     return out.select(real_id("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "target_uri", "warc_date")
 
 

@@ -20,6 +20,8 @@ from ..cluster import ship
 CHUNK_BYTES = 1 << 20
 #: Stands for a null identifier where an operator needs a number.
 NULL_ID = -(1 << 63)
+#: Keys that a join may treat as heavy, at most, and the parts that rows without a partner by shuffle are dealt into.
+HEAVY, SALTS = 1000, 1 << 20
 #: Rows of an Arrow batch, and bytes after which it ends sooner, because single texts may have megabytes.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
@@ -73,6 +75,37 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes the scratch tables that frames were read from, when nothing will read them any more."""
+    for df in frames:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, spread, how: str = "inner") -> DataFrame:
+    """rows joined ("inner" or "left") with groups, which has one row for each key and in `size` how many of the total rows have it.
+
+    Keys of more than total / HEAVY rows are HEAVY at most, so broadcasting them has a fixed bound, and no such key meets in one
+    task. Rows of other keys are shuffled by key; heavy ones and those with a null key are dealt by the hash of `spread`. rows is
+    read once, groups twice. The two sides have no column in common but the keys."""
+    values = [c for c in groups.columns if c not in keys and c != size]
+    heavy = F.col(size) > total // HEAVY + 1
+    own = F.struct(*values) if values else F.struct(F.lit(1).alias("_1"))
+    hot = F.broadcast(groups.where(heavy).select(*keys, own.alias("_hot")))
+    marked = rows.join(hot, keys, "left")
+    shuffled = F.col("_hot").isNull()
+    for k in keys:
+        shuffled &= F.col(k).isNotNull()
+    marked = marked.withColumn("_salt", F.when(shuffled, -1).otherwise(F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")))
+    rest = groups.where(~heavy).select(*keys, own.alias("_own"), F.lit(-1).alias("_salt"))
+    both = marked.join(rest, [*keys, "_salt"], "left").withColumn("_own", F.coalesce("_hot", "_own"))
+    if how == "inner":
+        both = both.where("_own IS NOT NULL")
+    return both.select(*rows.columns, *[F.col(f"_own.{v}").alias(v) for v in values])
+
+
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

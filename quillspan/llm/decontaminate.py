@@ -19,18 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, read_table, slices
+from .common import column, lookup, materialize, read_table, slices
 from .words import ALNUM, Words, windows, words
 
 N = 10
-#: Windows in one broadcast block (about 100 MB). A larger benchmark is scanned in several blocks, one after another.
+#: (window, item) pairs in one broadcast block (about 100 MB).
 BLOCK_WINDOWS = 500_000
-#: Block passes chained before the hits so far are only carried along; there is no bound on the number of blocks.
-_HITS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("i", T.StringType())]))
+_SPANS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
+_HITS = [T.StructField("hits", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
 
 
 def item_windows(benchmark: DataFrame, n: int = N, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(h, size, words, items) for each distinct window of the benchmark."""
+    """(h, size, words, item) for each distinct window of each item."""
 
     def scan(batches):
         for whole in batches:
@@ -49,48 +49,56 @@ def item_windows(benchmark: DataFrame, n: int = N, id_col: str = "item_id", text
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.string())], ["h", "size", "words", "item"])
 
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, "h long, size int, words binary, item string").groupBy("h", "size", "words").agg(F.collect_set("item").alias("items"))
+    return rows.mapInArrow(scan, "h long, size int, words binary, item string").distinct()
 
 
 class Index:
-    """One block of windows: sorted hashes for each window length, and the words and items behind each hash."""
-
-    def __init__(self, rows):
-        self.by: dict[int, dict[int, list]] = {}
-        for r in rows:
-            self.by.setdefault(r["size"], {}).setdefault(r["h"], []).append((bytes(r["words"]), list(r["items"])))
-        self.hashes = {size: np.sort(np.fromiter(d, np.int64, len(d))) for size, d in self.by.items()}
-
-    def hits(self, w: Words) -> list[list[tuple[int, int, str]]]:
-        """For each text (first word, word behind the last, item) of each verified occurrence."""
-        out: list[list] = [[] for _ in w.count]
-        for size, known in self.hashes.items():
+    """One block of windows as flat arrays: for each window length the sorted hashes, and the words and items behind them."""
+
+    def __init__(self, table: pa.Table):
+        t = table.combine_chunks().sort_by([("size", "ascending"), ("h", "ascending")])
+        flat = lambda c: t.column(c).combine_chunks().cast(pa.large_binary())
+        size = t.column("size").to_numpy()
+        h = t.column("h").to_numpy()
+        self.words, self.items = flat("words"), flat("item")
+        lengths, at = np.unique(size, return_index=True)
+        self.by = {int(n): (int(a), h[a:b]) for n, a, b in zip(lengths, at, np.append(at[1:], len(h)))}
+
+    def hits(self, w: Words) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+        """For each text the (first word, word behind the last) of its verified occurrences, and the items they are of."""
+        spans: list[list] = [[] for _ in w.count]
+        items: list[set] = [set() for _ in w.count]
+        for size, (base, known) in self.by.items():
             h = windows(w.hash, size).view(np.int64)
             if not len(h):
                 continue
             at = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
             text = np.searchsorted(w.first, at, side="right") - 1
             whole = at + size <= w.first[text + 1]
-            for a, t in zip(at[whole].tolist(), text[whole].tolist()):
+            at, text = at[whole], text[whole]
+            low, high = (np.searchsorted(known, h[at], side=s) for s in ("left", "right"))
+            for a, t, i, j in zip(at.tolist(), text.tolist(), low.tolist(), high.tolist()):
                 seen = w.lowered(a, a + size)
-                for said, items in self.by[size][int(h[a])]:
-                    if said == seen:
-                        first = int(w.first[t])
-                        out[t] += [(a - first, a - first + size, i) for i in items]
-        return out
+                own = [base + x for x in range(i, j) if self.words[base + x].as_py() == seen]
+                if own:
+                    first = int(w.first[t])
+                    spans[t].append((a - first, a - first + size))
+                    items[t].update(self.items[x].as_py().decode() for x in own)
+        return spans, items
 
 
-def blocks(windows_df: DataFrame, block: int = BLOCK_WINDOWS) -> list:
-    """The benchmark's windows as broadcast blocks of a bounded size, split by hash."""
-    spark, count = windows_df.sparkSession, windows_df.count()
-    parts = max(1, -(-count // block))
-    split = [windows_df] if parts == 1 else [windows_df.where(F.pmod(F.col("h"), F.lit(parts)) == p) for p in range(parts)]
-    return [spark.sparkContext.broadcast(Index(p.collect())) for p in split]
+def blocks(windows_df: DataFrame, block: int = BLOCK_WINDOWS):
+    """The benchmark's windows as broadcast blocks of a bounded size, one after another: each is released before the next is read."""
+    rows = materialize(windows_df, "windows")
+    spark, parts = rows.sparkSession, max(1, -(-rows.count() // block))
+    for p in range(parts):
+        part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("h", "item"), F.lit(parts)) == p)
+        yield parts, spark.sparkContext.broadcast(Index(part.toArrow()))
 
 
 def _joined(hits: list) -> tuple[int, list[tuple[int, int]]]:
     runs: list[list[int]] = []
-    for s, e, _ in sorted(hits, key=lambda x: x[:2]):
+    for s, e in sorted(hits):
         if runs and s <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], e)
         else:
@@ -99,43 +107,67 @@ def _joined(hits: list) -> tuple[int, list[tuple[int, int]]]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text", keep: list[str] | None = None, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row for each document: the columns named in keep, n_words, n_hit, n_items, items_sha256, contaminated, and spans (character runs with hits)."""
+    """One row for each document: the columns named in keep, n_words, n_hit, n_items, items_sha256, contaminated, and spans (character runs with hits).
+
+    A benchmark of one block is scanned in one pass. Of a larger one each block's hits are written, by the digest of the text
+    that has them, before the next block is broadcast; a last pass joins them to the documents."""
     keep = keep or ["doc_id"]
-    parts = blocks(item_windows(benchmark, n), block)
-    out = docs.select(F.struct(*[F.col(c) for c in keep]).alias("k"), F.col(text_col).cast("string").alias("text"))
-    key_type = out.schema["k"].dataType
-    more = [T.StructField("k", key_type), T.StructField("text", T.StringType()), T.StructField("hits", _HITS)]
+    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("k"), F.col(text_col).cast("string").alias("text"))
+    key_type = rows.schema["k"].dataType
     result = T.StructType([T.StructField("k", key_type), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
-    for i, part in enumerate(parts):
-        out = out.mapInArrow(_pass(part, i == 0, i == len(parts) - 1), result if i == len(parts) - 1 else T.StructType(more))
-    return out.select("k.*", *[f for f in result.names if f != "k"])
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")
+    found, parts = [], 1
+    for parts, part in blocks(item_windows(benchmark, n), block):
+        if parts == 1:
+            rows = rows.mapInArrow(_closing(part), result)
+            break
+        hits = rows.select(digest, "text").mapInArrow(_opening(part), T.StructType([T.StructField("digest", T.StringType()), *_HITS]))
+        found.append(materialize(hits, "hits"))
+        part.destroy()
+    if parts > 1:
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
+        sums = every.dropDuplicates(["digest", "hits", "items"]).groupBy("digest").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        counted = materialize(rows.select(digest).groupBy("digest").agg(F.count("*").alias("n")).join(sums, "digest"), "hits")
+        rows = lookup(rows.select("k", "text", digest), counted, ["digest"], "n", rows.count(), F.to_json("k"), "left").drop("digest").mapInArrow(_closing(None), result)
+    return rows.select("k.*", *[f for f in result.names if f != "k"])
+
+
+def _opening(part):
+    hit_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                spans, items = part.value.hits(words(column(batch, "text"), ALNUM))
+                own = [t for t, h in enumerate(spans) if h]
+                said = [[{"s": s, "e": e} for s, e in spans[t]] for t in own]
+                yield pa.RecordBatch.from_arrays([column(batch, "digest").take(pa.array(own, pa.int64())), pa.array(said, hit_type), pa.array([sorted(items[t]) for t in own], pa.list_(pa.string()))], ["digest", "hits", "items"])
+
+    return run
 
 
-def _pass(part, opening: bool, closing: bool):
-    hit_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("i", pa.string())]))
+def _closing(part):
+    """part: the only block, or None where each row brings its hits and items."""
 
     def run(batches):
-        index = part.value
         for whole in batches:
             for batch in slices(whole, "text"):
-                text = column(batch, "text")
-                w = words(text, ALNUM)
-                hits = index.hits(w)
-                if not opening:
-                    for own, old in zip(hits, column(batch, "hits").to_pylist()):
-                        own += [(x["s"], x["e"], x["i"]) for x in old]
-                if not closing:
-                    yield pa.RecordBatch.from_arrays([column(batch, "k"), text, pa.array([[dict(zip("sei", x)) for x in h] for h in hits], hit_type)], ["k", "text", "hits"])
-                    continue
-                n_hit, n_items, digest, spans = [], [], [], []
+                w = words(column(batch, "text"), ALNUM)
+                if part is not None:
+                    hits, named = part.value.hits(w)
+                else:
+                    hits = [[(x["s"], x["e"]) for x in h or []] for h in column(batch, "hits").to_pylist()]
+                    named = [i or [] for i in column(batch, "items").to_pylist()]
+                n_hit, digest, spans = [], [], []
                 for t, h in enumerate(hits):
                     total, runs = _joined(h)
-                    items = sorted({i for _, _, i in h})
                     n_hit.append(total)
-                    n_items.append(len(items))
-                    digest.append(hashlib.sha256(",".join(items).encode()).hexdigest())
+                    digest.append(hashlib.sha256(",".join(sorted(named[t])).encode()).hexdigest())
                     spans.append(_characters(w, t, runs))
-                yield pa.RecordBatch.from_arrays([column(batch, "k"), pa.array(w.count, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pc.greater(pa.array(n_hit, pa.int64()), 0), pa.array(spans, pa.list_(pa.list_(pa.int64())))], ["k", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+                n_items = pa.array(list(map(len, named)), pa.int64())
+                yield pa.RecordBatch.from_arrays([column(batch, "k"), pa.array(w.count, pa.int64()), pa.array(n_hit, pa.int64()), n_items, pa.array(digest), pc.greater(pa.array(n_hit, pa.int64()), 0), pa.array(spans, pa.list_(pa.list_(pa.int64())))], ["k", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
     return run
 

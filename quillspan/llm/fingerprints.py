@@ -7,7 +7,7 @@ adds: (m - 2**-BITS) / (1 - 2**-BITS), not below 0.
 
 Defined cases: null counts as empty; a text without words has the empty fingerprint, which is like itself alone; equal doc_ids
 are ordered by text; a null doc_id comes last in descending order; one document alone is its own next; an empty table gives
-no rows; other columns are not looked at.
+no rows; other columns are not looked at. A worker holds the bins of ROWS rows at most, however short their texts are.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .ordering import ranged, real_id
 from .words import mix, shingles, words
 
 BINS, BITS, WORDS = 512, 4, 5
+#: Rows whose bins are held at once (about 10 kB each with all that is computed from them).
+ROWS = 512
 _order: np.ndarray | None = None
 
 
@@ -108,50 +110,53 @@ def _with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return dealt.repartition(partitions(docs.sparkSession), "range").sortWithinPartitions("range", "look", F.desc("doc_id"), F.desc("text"))
 
 
+def _flush(rows):
+    """Yields the rows that are followed by another of their range; the last row is left for the next call."""
+    texts = [r[3] for r in rows]
+    mine = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i][0] == rows[i + 1][0]]
+    if not mine:
+        return None
+    own = bins(pa.array(texts, pa.large_string()))
+    new = [edited(texts[i], texts[i + 1]) for i in mine]
+    other = bins(pa.array(new, pa.large_string()))
+    take = lambda x, i: (x[0][i], x[1][i])
+    here, after = take(own, np.array(mine)), take(own, np.array(mine) + 1)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([rows[i][2] for i in mine], pa.int64()),
+            pa.array([len(texts[i]) for i in mine], pa.int64()),
+            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new]),
+            pa.array(packed(*here)),
+            pa.array(packed(*other)),
+            pa.array(likeness(here, other)),
+            pa.array(likeness(here, after)),
+        ],
+        ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    )
+
+
+def prints_of(batches):
+    """Arrow batches of fingerprints() from batches of (range, look, doc_id, text), in order."""
+    rows, size = [], 0
+    for b in batches:
+        for row in zip(*[column(b, c).to_pylist() for c in ("range", "look", "doc_id", "text")]):
+            if row[1] and rows and rows[-1][1] and rows[-1][0] == row[0]:
+                continue  # further rows with the head's doc_id
+            rows.append((*row[:3], row[3] or ""))
+            size += len(rows[-1][3])
+            if size >= CHUNK_BYTES or len(rows) > ROWS:
+                if (out := _flush(rows)) is not None:
+                    yield out
+                rows, size = rows[-1:], 0
+    if (out := _flush(rows)) is not None:
+        yield out
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint, its edited text's, and their likeness and the next document's (descending doc_id)."""
 
-    def flush(rows):
-        """Yields the rows that are followed by another of their range; the last row is left for the next call."""
-        texts = [r[3] for r in rows]
-        mine = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i][0] == rows[i + 1][0]]
-        if not mine:
-            return None
-        own = bins(pa.array(texts, pa.large_string()))
-        new = [edited(texts[i], texts[i + 1]) for i in mine]
-        other = bins(pa.array(new, pa.large_string()))
-        take = lambda x, i: (x[0][i], x[1][i])
-        here, after = take(own, np.array(mine)), take(own, np.array(mine) + 1)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([rows[i][2] for i in mine], pa.int64()),
-                pa.array([len(texts[i]) for i in mine], pa.int64()),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new]),
-                pa.array(packed(*here)),
-                pa.array(packed(*other)),
-                pa.array(likeness(here, other)),
-                pa.array(likeness(here, after)),
-            ],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
-
-    def run(batches):
-        rows, size = [], 0
-        for b in batches:
-            for row in zip(*[column(b, c).to_pylist() for c in ("range", "look", "doc_id", "text")]):
-                if row[1] and rows and rows[-1][1] and rows[-1][0] == row[0]:
-                    continue  # further rows with the head's doc_id
-                rows.append((*row[:3], row[3] or ""))
-                size += len(rows[-1][3])
-                if size >= CHUNK_BYTES:
-                    if (out := flush(rows)) is not None:
-                        yield out
-                    rows, size = rows[-1:], 0
-        if (out := flush(rows)) is not None:
-            yield out
-
     kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _with_next(docs, id_col, text_col).mapInArrow(run, kind).withColumn("doc_id", real_id("doc_id"))
+    return _with_next(docs, id_col, text_col).mapInArrow(prints_of, kind).withColumn("doc_id", real_id("doc_id"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 
 import numpy as np
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|select|canvas)(?=[\s/>])([^>]*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|select|canvas)(?=[\s/>])([^>]*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>=]+|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<[!?][^>]*>",
     re.S | re.I,
 )
 #: Elements left out up to their end tag. The first two hold raw text, to the end of the page without one, as in browsers;
@@ -27,6 +28,8 @@ HIDDEN = frozenset("head title button option input".split())
 #: What a start tag ends when it is open: its own kind of item, up to the list or table it is in.
 _CLOSES = {t: ({"p"}, frozenset()) for t in "address article aside blockquote center details div dl fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
 _CLOSES |= {"li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Elements of which a bare one around a single other element says nothing of its own.
+_PLAIN = frozenset("div span section center body html".split())
 _SCOPE = frozenset("table td th caption button body html".split())
 
 KINDS = [
@@ -55,7 +58,7 @@ NAMES = [*[f"is_{k}" for k, _ in KINDS], *[f"own_{k}" for k, _ in TOKENS], *[f"a
 
 
 class Node:
-    __slots__ = ("above", "children", "groups", "kind", "link", "parent", "stops", "tag", "tags", "text", "words", "length", "paragraphs", "items")
+    __slots__ = ("above", "alone", "among", "beyond", "children", "depth", "groups", "items", "kind", "length", "link", "paragraphs", "parent", "stops", "tag", "tags", "text", "words", "wraps")
 
     def __init__(self, tag: str, parent: Node | None, groups=()):
         self.tag, self.parent, self.groups, self.children = tag, parent, groups, []
@@ -77,7 +80,10 @@ def parse(page: str) -> Node:
     at = 0
     unended: set[str] = set()
     drawn = formula = False
-    while m := _TOKEN.search(page, at):
+    edge = page.rfind(">") + 1  # behind it no tag ends, and a comment would be open
+    if (opened := page.rfind("<!--")) >= 0 and page.find("-->", opened) < 0:
+        edge = len(page)
+    while m := _TOKEN.search(page, at, max(at, edge)):
         if m.start() > at:
             _put(now, page[at : m.start()], formula)
         at, formula = m.end(), False
@@ -185,33 +191,31 @@ def features(nodes: list[Node]) -> np.ndarray:
                 n.link = n.length
             n.paragraphs += n.tag == "p"
             n.items += n.tag == "li"
-    kinds, groups = len(KINDS), len(TOKENS)
-    x = np.zeros((len(nodes), len(NAMES)), np.float32)
-    place = {id(n): i for i, n in enumerate(nodes)}
     total = max(1, nodes[0].length)
-    rest = kinds + 2 * groups
-    for i, n in enumerate(nodes):
-        row, p = x[i], n.parent
-        if n.kind >= 0:
-            row[n.kind] = 1
-        for g in n.groups:
-            row[kinds + g] = 1
-        if p is None:
-            n.above = (0, 0, 0, 0, 0)
-            continue
-        up = x[place[id(p)]]
-        row[kinds + groups : rest] = np.maximum(up[kinds : kinds + groups], up[kinds + groups : rest])
-        a = p.above
-        t = p.tag
-        n.above = (a[0] or t == "nav", a[1] or t in ("header", "footer"), a[2] or t == "aside", a[3] or t == "form", a[4] or t in ("article", "main"))
-        own = [c for c in p.children if c.tag != "#space"] if p.children else []
-        size = n.length
-        row[rest:] = (up[rest] + 1, len(n.children), 0, len(own), np.log1p(size), size / total, size / max(1, p.length), n.link / max(1, size), n.tags / max(1, size), n.paragraphs, n.stops, size / max(1, n.words), n.items, *n.above, 0, 0)
+    own_groups, above_groups, numbers = [], [], []
     for n in nodes:
+        p = n.parent
         own = [c for c in n.children if c.tag != "#space"]
+        n.wraps = len(own) == 1 and own[0].tag != "#text" and n.tag in _PLAIN and not n.groups
+        mask = 0
+        for g in n.groups:
+            mask |= 1 << g
+        size, length = n.length, max(1, n.length)
+        if p is None:
+            n.above, n.alone, n.depth, n.beyond = (0, 0, 0, 0, 0), False, 0, 0
+            numbers.append((0.0,) * 20)
+        else:
+            a, t = p.above, p.tag
+            n.above = (a[0] or t == "nav", a[1] or t in ("header", "footer"), a[2] or t == "aside", a[3] or t == "form", a[4] or t in ("article", "main"))
+            n.depth = p.depth + (not p.wraps)
+            place, siblings, paragraphs, longest = n.among
+            numbers.append((n.depth, len(n.children), place, siblings, math.log1p(size), size / total, size / max(1, p.length), n.link / length, n.tags / length, n.paragraphs, n.stops, size / max(1, n.words), n.items, *n.above, paragraphs, longest))
+        own_groups.append(mask)
+        above_groups.append(n.beyond)
         if own:
-            p_count, longest = sum(c.tag == "p" for c in own), max(c.length for c in own)
+            last, paragraphs, longest = max(1, len(own) - 1), sum(c.tag == "p" for c in own), math.log1p(max(c.length for c in own))
             for k, c in enumerate(own):
-                row = x[place[id(c)]]
-                row[rest + 2], row[-2], row[-1] = k / max(1, len(own) - 1), p_count, np.log1p(longest)
-    return x
+                c.alone, c.among, c.beyond = len(own) == 1, (k / last, len(own), paragraphs, longest), n.beyond | mask
+    kind = np.array([n.kind for n in nodes])[:, None] == np.arange(len(KINDS))
+    bits = 1 << np.arange(len(TOKENS))
+    return np.concatenate((kind, np.array(own_groups)[:, None] & bits > 0, np.array(above_groups)[:, None] & bits > 0, np.array(numbers)), axis=1, dtype=np.float32)

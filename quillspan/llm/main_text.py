@@ -13,6 +13,7 @@ repeated; an empty table gives no rows; columns other than page_id, url and html
 
 from __future__ import annotations
 
+import functools
 import random
 
 import numpy as np
@@ -25,7 +26,7 @@ from .boosting import Boosted
 from .common import column, prepare, read_table, slices
 from .html_nodes import HIDDEN, INLINE, features, ordered, parse
 
-TRAINING_PAGES = 400
+TRAINING_PAGES = 600
 
 
 # --- labelled pages
@@ -83,12 +84,12 @@ class _Maker:
         one = lambda: self.tag(r.choice(["div", "li", "article", "p"]), self.tag(r.choice(["b", "span", "p"]), self.word()) + self.tag("p", self.prose(1, 3)), r.choice(["comment", "reply", None]))
         return self.tag(r.choice(["section", "div", "ol", "ul"]), self.tag("h2", self.words(1, 2)) + "".join(one() for _ in range(r.randint(1, 6))), r.choice(["comments", "comment-list", "discussion", "replies", "reader-comments", "disqus"]))
 
-    def article(self) -> str:
+    def article(self, bare: bool = False) -> str:
         r, m = self.r, self.MARK
         mark = lambda s: m + s
         title = self.words(2, 9).capitalize()
-        parts = [self.tag("h1", mark(title))] if r.random() < 0.85 else []
-        kind = r.random()
+        parts = [self.tag("h1", mark(title))] if r.random() < 0.9 else []
+        kind, name = r.random(), self.word()
         for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14])):
             k = r.random()
             if k < 0.72:
@@ -97,15 +98,17 @@ class _Maker:
                     inner += f' <a href="/{self.word()}">{mark(self.words(1, 3))}</a> {mark(self.words(1, 6))}.'
                 if r.random() < 0.15:
                     inner = f"<b>{inner}" if r.random() < 0.5 else f"<em>{inner}</em>"
-                parts.append(f"<p>{inner}<br>" if r.random() < 0.2 else (self.tag("div", inner) if kind < 0.12 else self.tag("p", inner)))
+                parts.append(f"<p>{inner}<br>" if r.random() < 0.2 else (self.tag("div", inner, r.choice([None, name])) if kind < 0.25 else self.tag("p", inner)))
             elif k < 0.8:
                 parts.append(self.tag(r.choice(["h2", "h3"]), mark(self.words(1, 6))))
             elif k < 0.86:
                 parts.append(self.tag(r.choice(["ul", "ol"]), "".join(self.tag("li", mark(self.words(2, 12))) for _ in range(r.randint(2, 5)))))
             elif k < 0.9:
                 parts.append(self.tag("blockquote", mark(self.prose(1, 2))))
-            elif k < 0.93:
-                parts.append(self.tag("table", "".join(self.tag("tr", self.tag("td", mark(self.word())) * 1 + self.tag("td", mark(self.words(1, 3)))) for _ in range(3))))
+            elif k < 0.94:
+                cells = lambda tag, n: self.tag("tr", "".join(self.tag(tag, mark(self.words(1, r.choice([1, 3, 12])))) for _ in range(n)))
+                width = r.randint(1, 4)
+                parts.append(self.tag("table", cells("th", width) * (r.random() < 0.5) + "".join(cells("td", width) for _ in range(r.randint(1, 5)))))
             else:
                 parts.append(self.boilerplate(r.choice(["advert", "advert", "side", "notice", "form"])))
         if len(parts) == 0:
@@ -113,19 +116,35 @@ class _Maker:
         if r.random() < 0.1:
             parts.append(self.boilerplate("talk"))
         body = "".join(parts)
+        if bare:
+            return body
         shape = r.random()
         if shape < 0.5:
             return self.tag("article", body, r.choice([None, None, "post", "article"]))
         if shape < 0.65:
             return self.tag("main", body if r.random() < 0.5 else self.tag("article", body))
-        return self.tag(r.choice(["div", "div", "section", "td"]).replace("td", "div"), body, r.choice(["content", "post-body", "entry-content", "article", "main-content", "story", "text", "article-body"]))
+        return self.tag(r.choice(["div", "div", "section"]), body, r.choice([self.word(), self.word(), None, "content", "post-body", "entry-content", "article", "main-content", "story", "text", "article-body"]))
 
     def page(self) -> str:
         r = self.r
+        shape = r.random()
+        if shape < 0.02:
+            return self.MARK + self.prose()
+        if shape < 0.06:
+            return self.tag(r.choice(["p", "div", "body"]), self.MARK + self.prose())
         before = [self.boilerplate(k) for k in ("nav", "header", "advert", "notice", "side", "form") if r.random() < 0.45]
         after = [self.boilerplate(k) for k in ("talk", "side", "advert", "nav", "notice", "form") if r.random() < 0.35] + ([self.boilerplate("footer")] if r.random() < 0.85 else [])
         r.shuffle(before)
-        inner = "".join(before) + self.article() + "".join(after)
+        if shape < 0.2:  # nothing around the text but a little of the page's furniture, or nothing at all
+            before, after = before[: r.randint(0, 2)], after[len(after) - r.randint(0, min(1, len(after))) :]
+        article = self.article(bare=shape < 0.34)
+        if 0.3 < shape < 0.4:
+            deep = r.choice([1, 1, 2, 3, 12])
+            article = "<div>" * deep + article + "</div>" * deep
+        elif 0.2 < shape < 0.25:  # laid out by a table
+            rows = [*before, article, *after]
+            return "<html><body><table>" + "".join(f"<tr><td>{x}</td></tr>" for x in rows) + "</table></body></html>"
+        inner = "".join(before) + article + "".join(after)
         if r.random() < 0.3:
             inner = self.tag("div", inner, r.choice(["page", "wrapper", "container", "layout"]))
         return f'<!DOCTYPE html><html><head><title>{self.words(2, 5)}</title><script>var t="</p>";</script></head><body>{inner}' + r.choice(["</body></html>", ""])
@@ -147,6 +166,12 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 3):
         yield nodes, np.array([label[id(x)] for x in nodes])
 
 
+@functools.cache
+def default_model() -> Boosted:
+    """The model from the pages built by rule, trained once for each driver process."""
+    return train()
+
+
 def train(pages=None) -> Boosted:
     """The model from labelled pages, an iterable of (nodes, labels)."""
     x, y = zip(*[(features(nodes), labels) for nodes, labels in (pages or labelled_pages())])
@@ -157,9 +182,17 @@ def train(pages=None) -> Boosted:
 
 
 def decode(nodes, odds: np.ndarray) -> np.ndarray:
-    """The likeliest consistent labelling: a node is kept only if its parent is, and the root always is."""
+    """The likeliest consistent labelling: a node is kept only if its parent is, and the root always is.
+
+    An only child holds main text just where its parent does, so such a chain has one vote, the mean of its nodes'."""
     place = {id(n): i for i, n in enumerate(nodes)}
-    yes, no = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
+    top = np.arange(len(nodes))
+    for i, n in enumerate(nodes):
+        if n.parent is not None and n.alone and n.parent.parent is not None:
+            top[i] = top[place[id(n.parent)]]
+    mean = np.bincount(top, odds, len(nodes)) / np.maximum(1, np.bincount(top, minlength=len(nodes)))
+    yes, no = -np.logaddexp(0, -mean), -np.logaddexp(0, mean)
+    yes[top != np.arange(len(nodes))] = no[top != np.arange(len(nodes))] = 0
     # without: the best score of the subtree if its top is left out; within: if it is kept
     within, without = yes.copy(), no.copy()
     for i in range(len(nodes) - 1, 0, -1):
@@ -171,7 +204,7 @@ def decode(nodes, odds: np.ndarray) -> np.ndarray:
         if n.parent is None:
             keep[i] = True
         elif keep[place[id(n.parent)]] and n.tag not in HIDDEN:
-            keep[i] = within[i] > without[i]
+            keep[i] = top[i] != i or within[i] > without[i]
     return keep
 
 
@@ -213,7 +246,7 @@ def main_texts(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     spark = pages.sparkSession
     prepare(spark)
-    known = spark.sparkContext.broadcast(model or train())
+    known = spark.sparkContext.broadcast(model or default_model())
 
     def run(batches):
         for whole in batches:

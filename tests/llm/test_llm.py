@@ -164,6 +164,16 @@ def test_fingerprints_against_brute_force(spark):
     assert all((x == y).all() for x, y in zip(fingerprints.unpacked(fingerprints.packed(*low)), low))
 
 
+def test_fingerprints_of_short_texts_in_bounded_windows(monkeypatch):
+    sizes = []
+    real = fingerprints.bins
+    monkeypatch.setattr(fingerprints, "bins", lambda arr: sizes.append(len(arr)) or real(arr))
+    n = 100_000
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array([0] * (b - a), pa.int32()), pa.array([0] * (b - a), pa.int32()), pa.array(range(a, b), pa.int64()), pa.array(["word" if i % 3 else None if i % 2 else "" for i in range(a, b)])], ["range", "look", "doc_id", "text"])
+    out = sum(b.num_rows for b in fingerprints.prints_of(batch(a, a + 1000) for a in range(0, n, 1000)))
+    assert out == n - 1 and max(sizes) <= fingerprints.ROWS + 1
+
+
 # --- 3
 
 
@@ -295,6 +305,58 @@ def test_main_text_behind_and_inside_embedded_elements():
     assert len(ordered(parse("<select>" * 20_000 + "<svg/>" * 20_000))) == 20_001
 
 
+def _shapes(r):
+    """Pages of other makes than the training pages: (page, heading, paragraphs)."""
+    words = lambda a, b: " ".join("".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(r.randint(a, b)))
+    says = lambda a, b: " ".join(words(5, 18).capitalize() + "." for _ in range(r.randint(a, b)))
+    block = lambda tag, ps: "".join(f"<{tag}>{p}</{tag.split()[0]}>" for p in ps)
+    frames = [
+        lambda h, ps: f"<html><body><h1>{h}</h1>{block('p', ps)}</body></html>",
+        lambda h, ps: f"<body><div id=top><a href=/>{words(1, 2)}</a> <a href=/a>{words(1, 2)}</a></div><h1>{h}</h1>{block('p', ps)}<div id=bottom>&copy; {words(2, 4)}</div>",
+        lambda h, ps: f"<body><table><tr><td class=menu><a href=/>{words(1, 2)}</a><br><a href=/q>{words(1, 2)}</a></td><td><h2>{h}</h2>{block('p', ps)}</td></tr></table></body>",
+        lambda h, ps: f"<body><div class=c12><div class=x9><div class=jk><h1>{h}</h1>{block('div class=par', ps)}</div></div><div class=sidebar><h3>{words(1, 2)}</h3><ul>{block('li', [f'<a href=/z>{words(2, 5)}</a>'] * 5)}</ul></div></div></body>",
+        lambda h, ps: f"<body><header><nav><a href=/>{words(1, 1)}</a></nav></header><main><h1>{h}</h1>{block('p', ps)}</main><footer>{words(3, 6)}</footer></body>",
+        lambda h, ps: f"<body><div role=main><h1>{h}</h1><ul>{block('li', ps)}</ul></div><div class=cookie-banner><p>{says(1, 2)}</p><button>OK</button></div></body>",
+    ]
+    for k in range(180):
+        h, ps = words(2, 7).capitalize(), [says(1, 5) for _ in range(r.randint(1, 8))]
+        yield frames[k % len(frames)](h, ps), h, ps
+
+
+def test_main_text_of_other_shapes():
+    model = main_text.default_model()
+    assert main_text.default_model() is model
+    found = total = extra = 0
+    for page, heading, paragraphs in _shapes(random.Random(77)):
+        got = main_text.extract([page], model)[0].split("\n\n")
+        total += len(paragraphs)
+        found += sum(p in got for p in paragraphs)
+        extra += len(set(got) - set(paragraphs) - {heading, ""})
+    assert found / total > 0.97 and extra == 0
+    one = lambda page: main_text.extract([page], model)[0]
+    assert one("<p title=it's>Hello world is good.</p><p>Don't stop. more of it.</p>") == "Hello world is good.\n\nDon't stop. more of it."
+    assert one("Just plain text without any tags. It has two sentences.") == "Just plain text without any tags. It has two sentences."
+    assert one("<div>" * 3000 + "A sentence inside very many boxes, as some generators make them." + "</div>" * 3000).startswith("A sentence")
+    table = "<article><h1>Title of it</h1><p>First paragraph of some length, with words.</p><table><tr><td>one</td><td>two three</td></tr></table><p>Last paragraph here, it ends.</p></article>"
+    assert one(table) == "Title of it\n\nFirst paragraph of some length, with words.\n\none\n\ntwo three\n\nLast paragraph here, it ends."
+
+
+def test_main_text_takes_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        nodes = ordered(parse("<article>" + "<p>some words here.</p>" * n + "</article>"))
+        began = time.process_time()
+        main_text.features(nodes)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.2
+    for odd in ('<b ="' * 20_000 + ">", "<b<b" * 20_000, "<!--" * 50_000 + ">", "<a href='" * 20_000):
+        began = time.process_time()
+        parse(odd)
+        assert time.process_time() - began < 5
+
+
 # --- 6
 
 
