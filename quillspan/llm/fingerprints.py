@@ -12,6 +12,7 @@ no rows; other columns are not looked at. A worker holds the bins of ROWS rows a
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -26,16 +27,16 @@ from .words import mix, shingles, words
 BINS, BITS, WORDS = 512, 4, 5
 #: Rows whose bins are held at once (about 10 kB each with all that is computed from them).
 ROWS = 512
-_order: np.ndarray | None = None
+#: Full bins up to which a text's empty ones are filled one text at a time; with more, a few rounds over all texts do.
+FEW = 48
 
 
-def _orders() -> np.ndarray:
-    """For each bin the order in which it asks the bins for a minimum."""
-    global _order
-    if _order is None:
-        rng = np.random.default_rng(2017)
-        _order = np.stack([rng.permutation(BINS) for _ in range(BINS)]).astype(np.int64)
-    return _order
+@functools.cache
+def _orders() -> tuple[np.ndarray, np.ndarray]:
+    """For each bin the order in which it asks the bins for a minimum, and at which place it asks each."""
+    rng = np.random.default_rng(2017)
+    order = np.stack([rng.permutation(BINS) for _ in range(BINS)]).astype(np.int64)
+    return order, np.argsort(order, axis=1).astype(np.int16)
 
 
 def bins(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +53,12 @@ def bins(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     least[slot[first]] = np.minimum.reduceat(mix(value), first)
     full[slot[first]] = True
     full, least = full.reshape(-1, BINS), least.reshape(-1, BINS)
-    doc, empty = np.nonzero(~full & (n > 0)[:, None])
-    order = _orders()
+    order, place = _orders()
+    count = full.sum(axis=1)
+    for i in np.flatnonzero((count > 0) & (count <= FEW)).tolist():
+        donors, empty = np.flatnonzero(full[i]), np.flatnonzero(~full[i])
+        least[i, empty] = least[i, donors[place[np.ix_(empty, donors)].argmin(axis=1)]]
+    doc, empty = np.nonzero(~full & (count > FEW)[:, None])
     for turn in range(BINS):
         if not len(doc):
             break
@@ -154,7 +159,6 @@ def prints_of(batches):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint, its edited text's, and their likeness and the next document's (descending doc_id)."""
-
     kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return _with_next(docs, id_col, text_col).mapInArrow(prints_of, kind).withColumn("doc_id", real_id("doc_id"))
 
