@@ -1,8 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts (label 1) and unlabelled texts train a linear scorer with the class-prior-corrected, non-negative
-risk of Kiryo et al.: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). A bounded sample of labelled rows then sets scale and
-offset, so that 0.5 separates the classes. Inputs of a score are a text's distinct words and word beginnings alone.
+risk of Kiryo et al.: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). Which features count and their weights come from that
+risk alone. A departure from pure positive-unlabelled learning: the labels hold confirmed clean rows too, and a bounded sample
+of both then sets two numbers, scale and offset, so that 0.5 separates the classes; the order of scores is untouched. Inputs of a score are a text's distinct words and word beginnings alone.
 
 The class prior and the features' document frequencies come from all rows that are not held out. The samples for the
 gradient steps and the scale are bounded (SAMPLE documents of each kind, those with the smallest hash of doc_id) and never
@@ -73,26 +74,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.offset, -50, 50)))
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> list:
-    """(kind, y, features) rows; kind 0: labelled at random, 1: toxic, 2: unlabelled."""
+def _sample(docs: DataFrame, labels: DataFrame, place: np.ndarray) -> list:
+    """(kind, y, features) rows, one for each document of a kind; kind 0: labelled at random, 1: toxic, 2: unlabelled.
+
+    Only the numbers of the features that the scorer keeps come along: 3 * SAMPLE rows of 2 * FEATURES bytes at most."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     first = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     own = known.join(ids, "doc_id", "left_semi")
     picked = first(own).select("doc_id", "y", F.lit(0).alias("kind")).unionByName(first(own.where("y = 1")).select("doc_id", "y", F.lit(1).alias("kind"))).unionByName(first(ids.join(labels, "doc_id", "left_anti")).select("doc_id", F.lit(-1).alias("y"), F.lit(2).alias("kind")))
+    kept = docs.sparkSession.sparkContext.broadcast(place)
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 which, doc = features(column(batch, "text"))
-                pair = np.unique((doc << BITS) | which)
-                at = np.searchsorted(pair >> BITS, np.arange(batch.num_rows + 1))
-                low = (pair & ((1 << BITS) - 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([column(batch, "kind"), column(batch, "y"), pa.array([low[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["kind", "y", "f"])
+                at = kept.value[which]
+                pair = np.unique((doc[at >= 0] << BITS) | at[at >= 0])
+                cut = np.searchsorted(pair >> BITS, np.arange(batch.num_rows + 1))
+                low = (pair & ((1 << BITS) - 1)).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "kind"), column(batch, "y"), pa.array([low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["doc_id", "kind", "y", "f"])
 
-    # At most 3 * SAMPLE rows of three numbers, so broadcasting them has a fixed bound.
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("kind", "y", "text")
-    return rows.mapInArrow(run, "kind int, y int, f binary").collect()
+    # At most 3 * SAMPLE rows of three numbers, so broadcasting them has a fixed bound. Of rows that repeat a doc_id one stays.
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "kind", "y", "text")
+    return rows.mapInArrow(run, "doc_id string, kind int, y int, f binary").groupBy("doc_id", "kind", "y").agg(F.min("f").alias("f")).collect()
 
 
 def _frequencies(docs: DataFrame, wanted: np.ndarray | None = None) -> tuple[np.ndarray, int]:
@@ -122,23 +127,52 @@ def _frequencies(docs: DataFrame, wanted: np.ndarray | None = None) -> tuple[np.
     return out, int(n[f < 0].sum())
 
 
+def _sparse(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows and columns of the ones in a matrix of a row for each text, and the number of rows."""
+    return np.repeat(np.arange(len(group)), [len(x) for x in group]), np.concatenate(group).astype(np.int64), len(group)
+
+
+def _margin(x: tuple, w: np.ndarray) -> np.ndarray:
+    return np.bincount(x[0], weights=w[x[1]], minlength=x[2])
+
+
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], width: int, prior: float, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias that lower the non-negative risk of positive and unlabelled texts (their feature numbers), by Adam.
+
+    Where the negative part of the risk falls below 0, the step goes up that part's gradient instead."""
+    p, u = _sparse(pos), _sparse(unl)
+    w, bias = np.zeros(width), 0.0
+    first, second = np.zeros(width + 1), np.zeros(width + 1)
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    back = lambda x, dz: np.append(np.bincount(x[1], weights=dz[x[0]], minlength=width), dz.sum())
+    for step in range(1, steps + 1):
+        zp, zu = _margin(p, w) + bias, _margin(u, w) + bias
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        grad_negative = back(u, sig(zu) / u[2]) - prior * back(p, sig(zp) / p[2])
+        grad = prior * back(p, (sig(zp) - 1) / p[2]) + grad_negative if negative >= 0 else -grad_negative
+        grad[:-1] += 1e-5 * w
+        first = 0.9 * first + 0.1 * grad
+        second = 0.999 * second + 0.001 * grad**2
+        move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        w, bias = w - move[:-1], bias - move[-1]
+    return w, bias
+
+
 def train(docs: DataFrame, labels: DataFrame, steps: int = 300) -> Model:
     """The scorer for these documents and labels (doc_id, toxic)."""
-    rows = sorted(_sample(docs, labels), key=lambda r: (r["kind"], r["y"], bytes(r["f"])))
-    sets = {k: [np.frombuffer(r["f"], np.int32) for r in rows if r["kind"] == k] for k in (0, 1, 2)}
-    truth = np.array([r["y"] for r in rows if r["kind"] == 0])
-    pos, unl = sets[1], sets[2] + [f for f, y in zip(sets[0], truth) if y == 0]
-    if not pos or not unl or not len(truth):
-        return Model()
     size = 1 << BITS
     open_ = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     own = docs.where(open_).select("doc_id", "text")
     judged = labels.where(open_).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     prior = judged.where("y IS NOT NULL").join(own.select("doc_id"), "doc_id", "left_semi").agg(F.avg("y")).first()[0]
+    if not prior:
+        return Model()
     prior = float(np.clip(prior, 0.01, 0.9))
     # Ids of toxic rows alone are broadcast: shuffling the texts instead takes 1.9 times the input.
     df_p, n_p = _frequencies(own.join(F.broadcast(judged.where("y = 1").select("doc_id")), "doc_id", "left_semi"))
     df_u, n_u = _frequencies(own.join(F.broadcast(judged.where("y = 1 OR y IS NULL").select("doc_id")), "doc_id", "left_anti"), df_p > 0)
+    if not n_p or not n_u:
+        return Model()
     rate_p, rate_u = df_p / n_p, (df_u + 0.5) / n_u
     chance = (df_p - n_p * rate_u) / np.sqrt(n_p * rate_u)  # standard deviations above what unlabelled texts show
     gain = np.where((df_p >= LEAST_TEXTS) & (rate_p > 2 * rate_u) & (chance > LEAST_CHANCE), np.sqrt(df_p) * np.log((rate_p + 1e-9) / rate_u), 0)
@@ -146,36 +180,20 @@ def train(docs: DataFrame, labels: DataFrame, steps: int = 300) -> Model:
     keep = np.sort(keep[gain[keep] > 0])
     if not len(keep):
         return Model()
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[keep] = np.arange(len(keep))
 
-    def sparse(group):
-        col = place[np.concatenate(group)]
-        row = np.repeat(np.arange(len(group)), [len(x) for x in group])
-        return row[col >= 0], col[col >= 0], len(group)
-
-    p, u = sparse(pos), sparse(unl)
-    w, bias = np.zeros(len(keep)), 0.0
-    first, second = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
-    out = lambda x: np.bincount(x[0], weights=w[x[1]], minlength=x[2]) + bias
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-    def back(x, dz):
-        return np.append(np.bincount(x[1], weights=dz[x[0]], minlength=len(keep)), dz.sum())
+    rows = sorted(_sample(docs, labels, place), key=lambda r: (r["kind"], r["y"], bytes(r["f"])))
+    sets = {k: [np.frombuffer(r["f"], np.uint16) for r in rows if r["kind"] == k] for k in (0, 1, 2)}
+    truth = np.array([r["y"] for r in rows if r["kind"] == 0])
+    pos, unl = sets[1], sets[2] + [f for f, y in zip(sets[0], truth) if y == 0]
+    if not pos or not unl:
+        return Model()
 
-    for step in range(1, steps + 1):
-        zp, zu = out(p), out(u)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        grad_negative = back(u, sig(zu) / u[2]) - prior * back(p, sig(zp) / p[2])
-        grad = prior * back(p, (sig(zp) - 1) / p[2]) + grad_negative if negative >= 0 else -grad_negative
-        grad[:-1] += 1e-5 * w
-        first = 0.9 * first + 0.1 * grad
-        second = 0.999 * second + 0.001 * grad**2
-        move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        w, bias = w - move[:-1], bias - move[-1]
+    w = fit(pos, unl, len(keep), prior, steps)[0]
     model = Model()
     model.weight[keep] = w
-    z = out(sparse(sets[0])) - bias
+    z = _margin(_sparse(sets[0]), w)
     a, b = 1.0, float(-np.median(z))
     for _ in range(500):  # scale and offset by Newton's method on the labelled sample, with a weak prior
         q = sig(a * z + b)

@@ -387,6 +387,30 @@ def test_toxicity(spark):
     assert all(x["predicted"] == 0 for x in none) and toxicity.scores(docs_frame(spark, []), lab).count() == 0
 
 
+def test_pu_risk_against_dense_reference():
+    rng = np.random.default_rng(3)
+    width, prior = 12, 0.2
+    draw = lambda n, p: [np.flatnonzero(rng.random(width) < p).astype(np.uint16) for _ in range(n)]
+    up, flat = np.linspace(0.1, 0.7, width), np.full(width, 0.2)
+    pos, unl = draw(80, up), draw(40, up) + draw(160, flat)
+    dense = lambda sets: np.stack([np.isin(np.arange(width), s) for s in sets]).astype(float)
+    p, u = dense(pos), dense(unl)
+
+    def parts(t):
+        soft = lambda z: np.log1p(np.exp(z))
+        zp, zu = p @ t[:-1] + t[-1], u @ t[:-1] + t[-1]
+        return prior * soft(-zp).mean() + 5e-6 * (t[:-1] ** 2).sum(), soft(zu).mean() - prior * soft(zp).mean()
+
+    t, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
+    for step in range(1, 61):
+        use = (lambda t: sum(parts(t))) if parts(t)[1] >= 0 else (lambda t: 5e-6 * (t[:-1] ** 2).sum() - parts(t)[1])
+        g = np.array([(use(t + d) - use(t - d)) / 2e-6 for d in 1e-6 * np.eye(width + 1)])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        t = t - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    w, bias = toxicity.fit(pos, unl, width, prior, steps=60)
+    assert np.abs(np.append(w, bias) - t).max() < 1e-3
+
+
 def test_toxicity_counts_all_training_rows(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE", 60)
     rows = [(i, f"plain{i % 7} words{i % 11} " + ("grubbane" if i % 10 == 3 else "quiet") + (" snotter" if i % 200 == 3 else "")) for i in range(2000)]
