@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, steps: int = 300) -> Model:
     z = _margin(_sparse(sets[0]), w)
     a, b = 1.0, float(-np.median(z))
     for _ in range(500):  # scale and offset by Newton's method on the labelled sample, with a weak prior
-        q = sig(a * z + b)
+        q = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
         r, h = q - truth, q * (1 - q) + 1e-6
         g = np.array([(r * z).sum() + 0.01 * a, r.sum() + 0.01 * b])
         hess = np.array([[(h * z * z).sum() + 0.01, (h * z).sum()], [(h * z).sum(), h.sum() + 0.01]])
