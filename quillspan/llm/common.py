@@ -22,6 +22,8 @@ CHUNK_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 #: Keys that a join may treat as heavy, at most, and the parts that rows without a partner by shuffle are dealt into.
 HEAVY, SALTS = 1000, 1 << 20
+#: Bits of a bit set of hashed keys, 8 MB however many keys there are.
+SET_BITS = 26
 #: Rows of an Arrow batch, and bytes after which it ends sooner, because single texts may have megabytes.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
@@ -84,6 +86,23 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bit_set(df: DataFrame, hashed) -> np.ndarray:
+    """A bit set of SET_BITS bits that has those of all rows' hashed keys (a long column): a filter that lets no key of df go.
+
+    Its size is fixed; the more keys, the more others pass too, so what passes must meet the keys themselves afterwards."""
+    at = hashed.bitwiseAND(F.lit((1 << SET_BITS) - 1))
+    rows = df.select(at.alias("h")).groupBy(F.shiftright("h", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    out = np.zeros(1 << (SET_BITS - 3), np.uint8)
+    for r in rows:
+        out[r["part"] * 4096 : r["part"] * 4096 + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def in_set(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    at = hashed & ((1 << SET_BITS) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, spread, how: str = "inner") -> DataFrame:
     """rows joined ("inner" or "left") with groups, which has one row for each key and in `size` how many of the total rows have it.
 

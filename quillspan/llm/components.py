@@ -1,11 +1,14 @@
-"""Connected components of an edge table by alternating large-star and small-star, on DataFrames alone."""
+"""Connected components of an edge table by alternating large-star and small-star, on DataFrames alone.
+
+A node of very many edges is met by plain sort-merge joins whose results are dealt anew, so adaptive execution splits its
+partition. Each round's edges are written, and those of the round before deleted."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -34,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(ordered, "edges")
     state = _state(now)
     while state[0]:
-        now = materialize(_small_star(_large_star(now)), "edges")
+        last, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(last)
         before, state = state, _state(now)
         if state == before:
             break
