@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star, on DataFrames alone.
 
-A node of very many edges is met by plain sort-merge joins whose results are dealt anew, so adaptive execution splits its
-partition. Each round's edges are written, and those of the round before deleted."""
+Both joins are on the complement of the node, by which neither side is dealt yet: so both sides are plain shuffles, and
+adaptive execution may split the partition of a node of very many edges. Each round's edges are written, and those of the
+round before deleted."""
 
 from __future__ import annotations
 
@@ -11,17 +12,22 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
+def _met(e: DataFrame, least: DataFrame) -> DataFrame:
+    w = F.bitwise_not("u").alias("w")
+    return e.select("u", "v", w).join(least.select(w, "m"), "w")
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     """Every larger neighbour of u gets an edge to the smallest of u and its neighbours."""
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _met(both, least).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """u and its smaller neighbours all get an edge to the smallest of them. Edges come with u > v."""
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    joined = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined = _met(e, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
