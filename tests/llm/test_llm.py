@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspan.llm import archives, chat, components, decontaminate, fingerprints, main_text, neardup, packing, secrets, token_files, toxicity
+from quillspan.llm import archives, chat, common, components, decontaminate, fingerprints, main_text, neardup, packing, secrets, token_files, toxicity
 from quillspan.llm.common import prepare, scratch_path
 from quillspan.llm.html_nodes import ordered, parse
 from quillspan.llm.tokens import Encoder, vocabulary
@@ -92,7 +92,7 @@ def test_secret_forest_and_redaction(spark):
     prepare(spark)
     forest = secrets.train(spark)
     rows = spark.createDataFrame(secrets.labelled_findings(600, 99), "text string, path string, y int").where(F.col("text").rlike(secrets.CANDIDATE))
-    c = F.element_at(secrets.candidates(F.col("text"), F.col("path")), 1)
+    c = F.element_at(secrets.candidates(F.col("text"), F.col("path"), forest.language), 1)
     got = rows.select("y", c["x"].alias("x"), forest.column(c["x"]).alias("p")).collect()
     p = np.array([r["p"] for r in got])
     assert np.allclose(p, forest.predict(np.array([r["x"] for r in got]))) and ((p >= 0.5) == np.array([r["y"] for r in got])).mean() > 0.97
@@ -124,13 +124,53 @@ def test_secret_candidates_are_whole(spark):
         f"a {block} b": block,
     }
     texts = [*cases, "-----BEGIN PRIVATE KEY-----\nprose " + "- - " * 20_000 + f" and {block} end", "token=" + "a&b" * 50_000]
-    values = {r["text"]: r["v"] for r in docs_frame(spark, enumerate(texts)).select("text", F.transform(secrets.candidates(F.col("text"), F.lit("src")), lambda c: c["value"]).alias("v")).collect()}
+    values = {r["text"]: r["v"] for r in docs_frame(spark, enumerate(texts)).select("text", F.transform(secrets.candidates(F.col("text"), F.lit("src"), forest.language), lambda c: c["value"]).alias("v")).collect()}
     assert {t: values[t] for t in cases} == {t: [v] for t, v in cases.items()}
     assert values[texts[-2]][-1] == block and values[texts[-1]] == ["a&b" * 50_000]
     out = {r["doc_id"]: r["text"] for r in secrets.redact(docs_frame(spark, enumerate(cases)), forest).collect()}
     assert [out[i] for i in (0, 1, 2, 8)] == [t.replace(v, secrets.MARK) for i, (t, v) in enumerate(cases.items()) if i in (0, 1, 2, 8)]
 
 
+def test_secret_candidates_equal_plain_search(spark):
+    import re
+
+    pattern = re.compile(secrets.CANDIDATE.replace(r"\z", r"\Z"), re.A)
+    r = random.Random(12)
+    bits = ["token", "=", ":", " ", "\n", '"', "'", "AKIA", "ghp_", "a", "Bc", "DEF", "9", "x" * 9, "Q" * 8, "k3y", "&", ".", ",", "-----BEGIN KEY PRIVATE KEY-----", "-----END KEY PRIVATE KEY-----", "é"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 60))) for _ in range(400)]
+    got = docs_frame(spark, enumerate(texts)).select("text", F.transform(secrets._parts(F.col("text")), lambda c: c["found"]).alias("f")).collect()
+    assert len(got) == 400 and all(x["f"] == [m[0] for m in pattern.finditer(x["text"])] for x in got)
+    assert sum(len(x["f"]) for x in got) > 100
+
+
+def test_secret_training_cases(spark):
+    prepare(spark)
+    df = docs_frame(spark, [(1, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'), (2, None)])
+    score = lambda forest: [x["score"] for x in secrets.scan(df, forest).collect()]
+    assert score(secrets.train(spark, [])) == [0.0]
+    assert score(secrets.train(spark, [(None, None, 1), ("x", None, 0), ("y token=q7Rt5Zx9Lm2 z", None, None)])) == [0.0]
+    assert score(secrets.train(spark, [("y token=q7Rt5Zx9Lm2 z", None, 1)] * 3)) == [1.0]
+    rows = secrets.labelled_findings(300, 4)
+    one, two = (secrets.train(spark, spark.createDataFrame(x, "text string, path string, is_secret int").repartition(n)) for x, n in ((rows, 3), (rows[::-1], 7)))
+    assert (one.feature == two.feature).all() and np.allclose(one.leaf, two.leaf)
+    language = one.language
+    v = lambda x: spark.range(1).select(language.likelihood(F.lit(x)).alias("l"), language.coverage(F.lit(x)).alias("c")).first()
+    assert v("thisWithFromThat")["c"] == 1.0 and v("x9")["c"] == 0.0 and v("x")["l"] == 0.0
+    assert v("stringlikewords")["l"] > v("qzxjkvwpqzxjkvw")["l"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_planted_secrets_are_found(spark):
+    import re
+
+    from quillspan.llm.common import read_table
+
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    want = [(r["doc_id"], hashlib.sha256(m.encode()).hexdigest()) for r in docs.collect() for m in re.findall(r'token = "([0-9a-f]{40})"', r["text"] or "") + re.findall(r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Z0-9])", r["text"] or "")]
+    found = {(x["doc_id"], x["value_sha256"]) for x in secrets.scan(docs, secrets.train(spark)).where("is_secret").collect()}
+    assert len(want) >= 10 and set(want) <= found
+
+
 # --- 2
 
 
@@ -451,6 +491,9 @@ def brute_components(rows, percent):
 def test_near_duplicates_against_brute_force(spark, percent, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_DOCS", 8)
     monkeypatch.setattr(neardup, "UNIT_DOCS", 30)
+    monkeypatch.setattr(neardup, "PAIRS", 5)
+    if percent == 80:
+        monkeypatch.setattr(common, "HEAVY", 3)  # few keys are heavy; at 85 all are
     r = random.Random(9)
     base = [f"w{r.randrange(10_000)}" for _ in range(120)]
     group = []
