@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import quotes, relational, retrieve, segment
+from ..operators import quotes, relational, retrieve, segment, spans
 from ..sources import publish
 from ..sources.readers import spread, table
 
@@ -393,17 +392,8 @@ def longest_run(spark, d):
     """The longest run of each sentence that stands word for word in the benchmark items."""
     verses = table(spark, d, "benchmark").select(F.lit(1).cast("long").alias("chapter"), F.col("item_id").alias("verse"), "text")
     known = spark.sparkContext.broadcast(quotes.build_index(verses, quotes.plain_readings))
-
-    @F.pandas_udf("struct<first:int,last:int,verse:long>")
-    def run(r: pd.Series) -> pd.DataFrame:
-        out = []
-        for x in r:
-            hit = known.value.longest_run(x.split())
-            out.append((hit[0], hit[1], known.value.refs[hit[2]][1]) if hit else (None,) * 3)
-        return pd.DataFrame(out, columns=["first", "last", "verse"])
-
     rows = docs(spark, d).select("doc_id", F.posexplode(t.sentences("text")).alias("pos", "quote"))
-    return rows.select("doc_id", "pos", run(quotes.plain_readings(F.col("quote"))[0]).alias("run")).where("run.first IS NOT NULL").select("doc_id", "pos", "run.*")
+    return rows.select("doc_id", "pos", spans.runs("quote", known, quotes.plain_readings).alias("run")).where("run.first IS NOT NULL").select("doc_id", "pos", "run.first", "run.last", "run.verse")
 
 
 @query("SELECT place, count(*) AS n FROM (SELECT c_nationkey AS place FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1")

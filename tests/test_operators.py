@@ -71,46 +71,83 @@ def test_quotation_cascade(spark):
     got = [(f["found"]["chapter"], f["found"]["verse_start"], f["found"]["verse_end"]) if f["found"] else None for f in found]
     assert got[0] == (1, 1, 1) and got[1] == (1, 1, 2) and got[3] is None and got[4] == (1, 2, 2)
     words = "so it says darkness fled before the morning star a righteous keeper tends as known".split()
-    run = index.longest_run(words)
+    read = lambda x: list(spark.range(1).select(quotes.plain_readings(F.lit(x)).alias("r")).first()["r"])
+    run = index.longest_run([read(w) for w in words])
     assert words[run[0] : run[1]] == "darkness fled before the morning star a righteous keeper tends".split()
     verses = spark.createDataFrame(VERSES, "chapter long, verse long, text string")
-    assert quotes.verses_text(verses, "1:1-2").startswith("In the") and quotes.verse_range("2:1") == (2, 1, 1)
-    for bad in ("1:3", "x", "1:2-1"):
+    assert quotes.verse_range("2:1") == (2, 1, 1)
+    asked = spark.createDataFrame([("1:1-2",), ("2:1",), ("9:1",), ("x",), ("1:2-1",), (None,)], "spec string")
+    said = {r["spec"]: r["said"] for r in quotes.asserted(asked, verses).collect()}
+    assert said == {"1:1-2": f"{VERSES[0][2]} {VERSES[1][2]}", "2:1": VERSES[2][2], "9:1": None, "x": None, "1:2-1": None, None: None}
+    assert index.locate(read("waters and darkness fled")) == (0, 1) and index.locate(read("waters")) is None and index.locate(read("waters and light and more")) is None
+    for bad in ("x", "1:2-1"):
         with pytest.raises(ValueError):
-            quotes.verses_text(verses, bad)
+            quotes.verse_range(bad)
 
 
-def test_arabic_readings(spark):
-    both = spark.createDataFrame([("ٱلَّيۡلَ وَٱلنَّهَارَ",), ("الليل والنهار",), ("نِعۡمَتَ ٱللَّهِ",), ("نعمة الله",)], "x string").select(quotes.readings(F.col("x")).alias("r")).collect()
-    assert both[0]["r"][3] == both[1]["r"][3] and both[2]["r"][3] == both[3]["r"][3]
+def _run_brute(index, words):
+    best = None
+    for i in range(len(words)):
+        for e in range(i + quotes.RUN_WORDS, len(words) + 1):
+            if index.locate(quotes.joined(words[i:e])) and (best is None or e - i > best[1] - best[0]):
+                best = (i, e)
+    return best if best and len(quotes.joined(words[slice(*best)])[0]) >= quotes.RUN_CHARS else None
 
 
-def _align_brute(s, flat):
+def test_longest_run_equals_brute_force():
     import itertools
 
-    n, m = len(s), len(s[0])
-    return max((sum(max(s[i][c], flat) for i, c in enumerate(cols)) for cols in itertools.combinations(range(m), n)), default=0)
+    r = random.Random(6)
+    collapse = lambda x: "".join(c for c, _ in itertools.groupby(x))
+    bare = lambda w: "".join(c for c in w if c not in "aeiou")
+    book = [[r.choice(["alpha", "beta", "gamma", "delta", "eps", "to", "a"]) for _ in range(12)] for _ in range(6)]
+    forms = [[" ".join(v) for v in book], ["".join(v) for v in book], [bare("".join(v)) for v in book], [collapse(bare("".join(v))) for v in book]]
+    starts, texts = [], []
+    for k, own in enumerate(forms):
+        at = [0]
+        for x in own[:-1]:
+            at.append(at[-1] + len(x) + (k == 0))
+        starts.append(at)
+        texts.append((" " if k == 0 else "").join(own))
+    index = quotes.Index([(1 + i // 3, i) for i in range(6)], texts, starts, [[], [], [], []])
+    found = 0
+    for _ in range(150):
+        v = [w for b in r.sample(book, 2) for w in b]
+        a = r.randint(0, 10)
+        said = v[a : a + r.randint(4, 14)]
+        if r.random() < 0.5 and said:
+            said[r.randrange(len(said))] = "zeta"
+        words = [[w, w, bare(w), collapse(bare(w))] for w in [*said, *r.choices(v, k=3)]]
+        got = index.longest_run(words)
+        assert (got[:2] if got else None) == _run_brute(index, words)
+        found += got is not None
+    assert found > 20
+
+
+def test_arabic_readings(spark):
+    both = spark.createDataFrame([("ٱلَّيۡلَ وَٱلنَّهَارَ",), ("الليل والنهار",), ("نِعۡمَتَ ٱللَّهِ",), ("نعمة الله",)], "x string").select(quotes.readings(F.col("x")).alias("r")).collect()
+    assert both[0]["r"][3] == both[1]["r"][3] and both[2]["r"][3] == both[3]["r"][3]
 
 
 def test_align_equals_brute_force():
+    import itertools
+
     r = random.Random(4)
-    for _ in range(60):
+    for _ in range(80):
         n = r.randint(1, 4)
-        s = [[r.choice([0, 0.2, 0.5, 0.9]) for _ in range(r.randint(n, 6))] for _ in range(n)]
-        s = [row[: len(s[0])] + [0] * (len(s[0]) - len(row)) for row in s]
-        if len(s[0]) < n:
-            continue
+        m = r.randint(n, 6)
+        s = [[r.choice([0, 0.2, 0.35, 0.5, 0.9]) for _ in range(m)] for _ in range(n)]
         got = quotes.align(s)
-        used = [c for c in got if c is not None]
-        assert used == sorted(set(used))
-        assert abs(sum(s[i][c] if c is not None else 0.35 for i, c in enumerate(got)) - _align_brute(s, 0.35)) < 1e-9
-    assert quotes.align([[0.9], [0.9]]) == [None, None]
+        assert got == sorted(set(got)) and len(got) == n
+        best = max(sum(s[i][c] for i, c in enumerate(cols)) for cols in itertools.combinations(range(m), n))
+        assert abs(sum(s[i][c] for i, c in enumerate(got)) - best) < 1e-9
+    assert quotes.align([[0.9], [0.9]]) == [None, None] and quotes.align([[0.1]]) == [0] and quotes.align([[0.5, 0.5]]) == [0]
 
 
 def test_rebase(spark):
-    spans = F.from_json(F.lit('[{"start":0,"end":4,"ref":1},{"start":10,"end":15,"ref":2},{"start":12,"end":18,"ref":3}]'), "array<struct<start:int,end:int,ref:int>>")
+    spans = F.from_json(F.lit('[{"start":0,"end":4,"ref":1,"kind":0},{"start":10,"end":15,"ref":-1,"kind":0,"runs":[{"start":11,"end":14,"ref":2}]},{"start":12,"end":18,"ref":3,"kind":1},{"start":16,"end":18,"ref":4,"kind":1}]'), f"array<{quotes.SPAN}>")
     got = spark.range(1).select(quotes.rebase(spans, F.lit(8), F.lit(20)).alias("s")).first()["s"]
-    assert [tuple(x) for x in got] == [(2, 7, 2)]
+    assert [(x["start"], x["end"], x["ref"], x["kind"]) for x in got] == [(2, 7, -1, 0), (8, 10, 4, 1)] and [tuple(x) for x in got[0]["runs"]] == [(3, 6, 2)]
 
 
 def _corrections(spark, *files):

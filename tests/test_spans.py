@@ -34,13 +34,22 @@ def test_anchors_grow_over_gaps():
 def test_translated_spans_and_segments(spark):
     refs = [(0, "the light was made upon the waters"), (1, "darkness fled before the morning star"), (2, "a righteous keeper tends the sheep and guards the gate")]
     text = "He {the light was made upon waters} and {someone spoke} , for a righteous keeper tends the sheep always ."
-    df = spark.createDataFrame([(text, [{"ref": k, "text": x} for k, x in refs], [0, 1])], "text string, refs array<struct<ref:int,text:string>>, marks array<int>")
+    df = spark.createDataFrame([(text, [{"ref": k, "text": x} for k, x in refs], [0, -1])], "text string, refs array<struct<ref:int,text:string>>, marks array<int>")
     got = spans.segments(spans.translated_spans(df, "text", "refs", "marks"), "text").first()
     assert [(s["ref"], s["kind"]) for s in got["spans"]] == [(0, 0), (-1, 0), (2, 1)]
     assert text[got["spans"][2]["start"] : got["spans"][2]["end"]] == "a righteous keeper tends the sheep"
     assert [tuple(x) for x in got["segments"]] == [("He ", 0), ("﴿the light was made upon waters﴾", 1), (" and ", 0), ("«someone spoke»", 2), (" , for ", 0), ("﴿a righteous keeper tends the sheep﴾", 1), (" always.", 0)]
 
 
+def test_aligned_marks_and_odd_segments(spark):
+    refs = [{"ref": 0, "text": "the light was made upon the waters"}, {"ref": 1, "text": "darkness fled before the star"}]
+    schema = "text string, refs array<struct<ref:int,text:string>>, marks array<int>"
+    rows = [("{the light was made} {someone spoke}", refs, [0, 1]), ("{darkness fled}", refs, [0, 1]), ("{a} {b}", refs, [0]), (None, refs, []), ("  plain \n words  .", refs, [])]
+    got = spans.segments(spans.translated_spans(spark.createDataFrame(rows, schema), "text", "refs", "marks"), "text").collect()
+    assert [[s["ref"] for s in r["spans"]] for r in got] == [[0, 1], [1], [-1, -1], [], []]
+    assert [[tuple(x) for x in r["segments"]] for r in got] == [[("﴿the light was made﴾", 1), (" ", 0), ("﴿someone spoke﴾", 1)], [("﴿darkness fled﴾", 1)], [("«a»", 2), (" ", 0), ("«b»", 2)], [], [(" plain words.", 0)]]
+
+
 def test_small_operators(spark):
     routes = spark.createDataFrame([("x", "y"), ("y", "z")], "a string, b string")
     assert {r["place"]: r["n"] for r in small.visits(routes).collect()} == {"x": 1, "y": 2, "z": 1}
