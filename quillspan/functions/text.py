@@ -86,6 +86,54 @@ def sentences(x) -> Column:
     return F.regexp_extract_all(_c(x), F.lit(SENTENCE), F.lit(0))
 
 
+def tile_sentences(x) -> Column:
+    """Sentences with the stops and the space behind them; stops that stand alone belong to none."""
+    return F.regexp_extract_all(_c(x), F.lit(r"(?U)[^.!?؟؛]+[.!?؟؛]*\s*"), F.lit(0))
+
+
+def line_sentences(x) -> Column:
+    """Sentences cut behind . ! ? and their Arabic forms and at line ends, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(_c(x), r"(?U)(?<=[.!?؟؛])\s+|\n+"), strip), lambda s: s != "")
+
+
+def words_with_offsets(x) -> Column:
+    """array<struct<word,start,end>> of lower-case ASCII words: each begins where the texts before it end."""
+    low = F.lower(_c(x))
+    gaps = F.split(low, "[a-z0-9]+", -1)
+    found = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
+    empty = F.array().cast("array<struct<word:string,start:int,end:int>>")
+
+    def add(a, p):
+        start = a["at"] + F.length(p["gap"])
+        end = start + F.length(p["word"])
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(p["word"].alias("word"), start.alias("start"), end.alias("end")))).alias("out"))
+
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda a: a["out"])
+
+
+def thousands(x) -> Column:
+    return F.format_number(x, 0)
+
+
+# The forms that count words take in Arabic: one, two, three to ten, more.
+PASSAGES_AR = ("موضعٌ واحد", "موضعان", "مواضع", "موضعاً")
+VOLUMES_AR = ("مجلدٍ واحد", "مجلدين", "مجلدات", "مجلداً")
+
+
+def counted(n: Column, forms: tuple[str, str, str, str] = PASSAGES_AR) -> Column:
+    """A number with its noun: alone for one and two, in the plural from three to ten, else in the singular."""
+    one, two, few, many = forms
+    return F.when(n == 1, one).when(n == 2, two).otherwise(F.concat(arabic_digits(n), F.lit(" "), F.when(n.between(3, 10), few).otherwise(many)))
+
+
+def clean_json_dashes(x) -> Column:
+    """clean_dashes for every string value in a JSON text, however deep; keys and other values stay."""
+    token = r'"(?:[^"\\]|\\.)*"\s*:?|[^"]+'
+    parts = F.regexp_extract_all(_c(x), F.lit(token), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"') & ~p.endswith(":"), clean_dashes(p)).otherwise(p)), "")
+
+
 def collapse_doubled(x) -> Column:
     return F.regexp_replace(_c(x), r"(?s)(.)\1+", "$1")
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cluster import written
 from .config import SETTINGS
 from .functions import text as t
 
@@ -83,15 +84,58 @@ def answer(question: str, hits: DataFrame, order: str, cite, text: str, dense_sc
     return {"question": question, "answer": said, "confidence": best["c"]}
 
 
-def translate(df: DataFrame, cache: DataFrame, key: str, text: str, provider: str = SETTINGS.provider, model=None) -> tuple[DataFrame, DataFrame]:
-    """(rows with translation and engine, new cache): only texts that the cache (key, en, engine) lacks reach the model, each once."""
+def with_pairs(text: str, pairs: list[tuple[str, str]]) -> str:
+    """A request to translate text, with the fixed translations of the verses in it."""
+    fixed = "\n".join(f"{a} => {b}" for a, b in pairs)
+    return f"{fixed}\n\n{text}" if fixed else text
+
+
+def translate(df: DataFrame, cache: DataFrame, key: str, text: str, provider: str = SETTINGS.provider, model=None, pairs: str | None = None, fallback=None) -> tuple[DataFrame, DataFrame]:
+    """(rows with translation and engine, new cache): only texts that the cache (key, en, engine) lacks reach the model, each once.
+
+    pairs: a column array<struct<quote:string,en:string>> of verses whose translation is given. A model that fails gives way to
+    fallback, whose name is then the engine; without one the error stands. What is new is written before it is used twice."""
     model = model or get_model(provider)
     keyed = df.withColumn("_k", t.cache_key(provider, text))
-    missing = keyed.select("_k", text).dropDuplicates(["_k"]).join(cache.select(F.col("key").alias("_k")), "_k", "left_anti")
+    given = F.col(pairs) if pairs else F.array().cast("array<struct<quote:string,en:string>>")
+    missing = keyed.select("_k", F.col(text).alias("x"), given.alias("p")).dropDuplicates(["_k"]).join(cache.select(F.col("key").alias("_k")), "_k", "left_anti")
+
+    def one(x, fixed):
+        request = with_pairs(x, [(r["quote"], r["en"]) for r in fixed])
+        try:
+            return model.complete("Translate.", request), model.name
+        except Exception:
+            if fallback is None:
+                raise
+            return fallback.complete("Translate.", request), fallback.name
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"key": b["_k"], "en": [model.complete("Translate.", x) for x in b[text]], "engine": model.name})
+            done = [one(x, p) for x, p in zip(b["x"], b["p"])]
+            yield pd.DataFrame({"key": b["_k"], "en": [d[0] for d in done], "engine": [d[1] for d in done]})
 
-    full = cache.unionByName(missing.mapInPandas(run, "key string, en string, engine string"))
+    fresh = written(missing.mapInPandas(run, "key string, en string, engine string"), "translations")
+    full = cache.select("key", "en", "engine").unionByName(fresh)
     return keyed.join(full.withColumnRenamed("key", "_k"), "_k", "left").drop("_k"), full
+
+
+def upper_batch(sentences: list[str]) -> list[str]:
+    """A stand-in for a local model that translates batches."""
+    return [s.upper() for s in sentences]
+
+
+def translate_sentences(df: DataFrame, key: str, text: str, batch_model: Callable[[list[str]], list[str]] = upper_batch, size: int = 8) -> DataFrame:
+    """key, en: sentences (cut behind stops and at line ends) in batches of `size`, joined by spaces."""
+
+    def run(batches):
+        for b in batches:
+            done = [" ".join(y for a in range(0, len(s), size) for y in batch_model(list(s[a : a + size]))) for s in b["s"]]
+            yield pd.DataFrame({key: b[key], "en": done})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, t.line_sentences(text).alias("s")).mapInPandas(run, f"`{key}` {kind}, en string")
+
+
+def engine_label(configured: str | None = None) -> str:
+    """Which engine will translate, for people to read."""
+    return configured or "local model (offline)"

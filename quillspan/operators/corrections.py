@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.readers import exists
+from . import quotes
 
 FIELDS = ("qe", "ae", "qa", "aa", "topic", "cat")
 SCHEMA = "map<string,struct<by:string,why:string,replace:array<struct<field:string,find:string,with:string>>,set:map<string,string>,quotations:array<struct<quote:string,is:string,why:string>>>>"
-REFERENCE = r"^\d+:\d+(-\d+)?$"
+#: What a quotation may be said to be.
+REFERENCE, NARRATION = r"^\d{1,3}:\d{1,3}(-\d{1,3})?$", "narration"
 
 
 def load(spark, folder: str) -> DataFrame:
-    """(file, id, entry) of all *.json files of a folder. Broken JSON and an id in two files are errors."""
+    """(file, id, entry) of all *.json files of a folder; none where the folder is missing. Broken JSON and an id in two files are errors."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], f"file string, id string, entry {SCHEMA.removeprefix('map<string,').removesuffix('>')}")
     rows = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", SCHEMA, {"mode": "FAILFAST"}).alias("m"))
     entries = rows.select("file", F.explode("m").alias("id", "entry"))
     if twice := entries.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(5).collect():
@@ -21,8 +26,9 @@ def load(spark, folder: str) -> DataFrame:
     return entries
 
 
-def problems(records: DataFrame, entries: DataFrame, key: str = "id") -> DataFrame:
-    """(id, error) for everything that forbids the corrections; empty where they may be applied."""
+def problems(records: DataFrame, entries: DataFrame, key: str = "id", verses: DataFrame | None = None) -> DataFrame:
+    """(id, error) for everything that forbids the corrections; empty where they may be applied. With verses (chapter, verse,
+    text) a reference must name some."""
     fields = [c for c in FIELDS if c in records.columns]
     text = F.create_map(*[x for c in fields for x in (F.lit(c), F.coalesce(F.col(c), F.lit("")))])
     joined = entries.select(F.col("id").alias("_id"), "entry").join(records.select(F.col(key).alias("_key"), text.alias("_m")), F.col("_id") == F.col("_key"), "left")
@@ -40,13 +46,19 @@ def problems(records: DataFrame, entries: DataFrame, key: str = "id") -> DataFra
     a = folded.select("id", F.explode("s.e").alias("error"))
     b = folded.select("id", F.explode(F.map_keys("entry.set")).alias("f")).where(~F.col("f").isin(fields)).select("id", F.lit("set: field not allowed").alias("error"))
     q = folded.select("id", F.explode("entry.quotations").alias("q"), t.norm_ws(F.concat_ws(" ", F.try_element_at("s.m", F.lit("qa")), F.try_element_at("s.m", F.lit("aa")))).alias("x"))
-    c = q.select("id", F.when(F.col("q.quote").isNull() | F.col("q.is").isNull() | F.col("q.why").isNull(), "quotation: quote, is or why is missing").when(~F.col("q.is").rlike(REFERENCE), "quotation: bad reference").when(~F.contains("x", t.norm_ws("q.quote")), "quotation is not in the text").alias("error")).where("error IS NOT NULL")
-    return unknown.unionByName(a).unionByName(b).unionByName(c)
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    said = F.col("q.is") == NARRATION
+    c = q.select("id", F.when(blank("q.quote") | blank("q.is"), "quotation: quote or is is missing").when(~said & ~F.col("q.is").rlike(REFERENCE), "quotation: bad reference").when(~F.contains("x", t.norm_ws("q.quote")), "quotation is not in the text").alias("error")).where("error IS NOT NULL")
+    found = unknown.unionByName(a).unionByName(b).unionByName(c)
+    if verses is None:
+        return found
+    named = q.where(~said & F.col("q.is").rlike(REFERENCE)).select("id", F.col("q.is").alias("spec"))
+    return found.unionByName(quotes.asserted(named, verses).where("said IS NULL").select("id", F.lit("quotation: no such verse").alias("error")))
 
 
-def apply(records: DataFrame, entries: DataFrame, key: str = "id") -> DataFrame:
+def apply(records: DataFrame, entries: DataFrame, key: str = "id", verses: DataFrame | None = None) -> DataFrame:
     """records with replaces (each sees the one before) and then sets applied. Raises if there is any problem."""
-    if bad := problems(records, entries, key).limit(10).collect():
+    if bad := problems(records, entries, key, verses).limit(10).collect():
         raise ValueError("corrections cannot be applied: " + "; ".join(f"{r['id']}: {r['error']}" for r in bad))
     joined = records.join(entries.select(F.col("id").alias("_id"), "entry"), F.col(key) == F.col("_id"), "left")
 

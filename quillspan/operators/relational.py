@@ -93,12 +93,24 @@ def running_starts(df: DataFrame, group: list[str], order: str, length: Column)
 
 
 def interpolate(points: DataFrame, queries: DataFrame, x: str, y: str) -> DataFrame:
-    """y at the queries' x on the polygon through points (few, ordered by x); constant beyond its ends."""
-    rows = points.orderBy(x).select(x, y).collect()
-    q, value = F.col(x), F.lit(float(rows[0][1]))
-    for (a, fa), (b, fb) in zip(rows, rows[1:]):
-        value = F.when(q >= a, F.lit(float(fa)) + (F.least(q, F.lit(b)) - a) * ((fb - fa) / (b - a))).otherwise(value)
-    return queries.withColumn(y, value)
+    """y at the queries' x on the polygon through points (few, in order of x); constant beyond its ends.
+
+    The points become segments, each from one to the next; the outer two are open. A query meets one segment."""
+    w = Window.orderBy(x)
+    a, b = (F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.struct(F.lead(x).over(w).alias("x"), F.lead(y).over(w).alias("y")))
+    low = F.when(F.lag(x).over(w).isNull(), F.lit(float("-inf"))).otherwise(F.col(x))
+    segments = points.select(a.alias("_a"), b.alias("_b"), low.alias("_low"), F.coalesce(F.lead(x).over(w), F.lit(float("inf"))).alias("_high"))
+    at = F.least(F.greatest(F.col(x), F.col("_a.x")), F.coalesce(F.col("_b.x"), F.col("_a.x")))
+    slope = F.coalesce((F.col("_b.y") - F.col("_a.y")) / F.nullif(F.col("_b.x") - F.col("_a.x"), F.lit(0.0)), F.lit(0.0))
+    met = queries.join(F.broadcast(segments), (F.col(x) >= F.col("_low")) & (F.col(x) < F.col("_high")))
+    return met.withColumn(y, F.col("_a.y") + slope * (at - F.col("_a.x"))).drop("_a", "_b", "_low", "_high")
+
+
+def nearest_point(points: DataFrame, queries: DataFrame, x: str, name: str, key: list[str]) -> DataFrame:
+    """For each query the name of the point (of few) whose x is nearest; of equal ones the first by x."""
+    p = F.broadcast(points.select(F.col(x).alias("_x"), F.col(name).alias("_name")))
+    each = queries.crossJoin(p).groupBy(*key).agg(F.min_by("_name", F.struct(F.abs(F.col(x) - F.col("_x")), F.col("_x"))).alias(name))
+    return each
 
 
 def page(df: DataFrame, order: list, number: int, size: int = 10) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,16 @@ def bm25_index(docs: DataFrame, key: str, words: Column) -> dict[str, DataFrame]
     return {"postings": postings, "lengths": tokens.select(key, F.size("w").cast("long").alias("dl")), "terms": postings.groupBy("term").agg(F.count("*").alias("df"))}
 
 
+def save_index(index: dict[str, DataFrame], folder: str) -> None:
+    """The tables as Parquet, postings and terms in order of terms, so that a query reads the row groups of its terms alone."""
+    for name, df in index.items():
+        (df if name == "lengths" else df.repartitionByRange("term").sortWithinPartitions("term")).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_index(spark, folder: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths", "terms")}
+
+
 def _score(tf, df, n, dl, avgdl) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + F.lit(K1) * (1 - B + B * dl / avgdl))
 
@@ -122,11 +134,25 @@ def expand(term: str, lexicon: dict[str, list[str]] = LEXICON) -> list[str]:
     return list(dict.fromkeys([term] + [f for f in map(fold_word, listed) if f]))
 
 
+# White space and marks that may part the words of a phrase.
+_BETWEEN = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff،,;:]+"
+
+
+def _arabic(form: str) -> bool:
+    return bool(re.search("[؀-ۿ]", form))
+
+
 def _pattern(form: str) -> str:
-    if re.search("[؀-ۿ]", form):
+    """An Arabic form anywhere; a Latin one at word borders (ASCII ones), without its ending and with up to four more letters."""
+    if _arabic(form):
         return re.escape(form)
     cut = re.sub("(ing|ed|es|s)$", "", form)
-    return rf"(?<![a-z0-9_]){re.escape(cut if len(cut) >= 4 else form)}[a-z0-9_]{{0,4}}(?![a-z0-9_])"
+    return rf"\b{re.escape(cut if len(cut) >= 4 else form)}\w{{0,4}}\b"
+
+
+def phrase_pattern(terms: list[str]) -> str:
+    """The terms one after another, with nothing but white space and commas between; Latin ones may go on for four letters."""
+    return _BETWEEN.join(re.escape(x) if _arabic(x) else rf"\b{re.escape(x)}\w{{0,4}}" for x in terms)
 
 
 def smallest_window(positions: list[list[int]]) -> int:
@@ -141,24 +167,54 @@ def smallest_window(positions: list[list[int]]) -> int:
     return best
 
 
-def _field(text: str, forms: list[list[str]], idf: list[float], total: float, field: str) -> tuple[float, float, float]:
-    """(weighted mass, mass / total, proximity) of one field."""
-    where, mass = [], 0.0
-    for own, weight in zip(forms, idf):
-        for k, form in enumerate(own):
-            found = [m.start() for m, _ in zip(re.finditer(form, text), range(MAX_POSITIONS))]
-            if found:
-                where.append((len(own[0]), found))
-                mass += weight * (1.0 if k == 0 else OTHER_FORM)
-                break
-    if not mass:
-        return 0.0, 0.0, 0.0
-    norm = 1 / (1 + math.log(1 + len(text) / K_LEN[field]))
-    return WEIGHT[field] * mass * norm, mass / total, norm
-
-
-def lexical_search(records: DataFrame, query: str, key: str = "id", fields: tuple[str, str, str] = ("hi", "q", "a")) -> DataFrame:
-    """key, score, pct of every candidate, best first (ties by key): candidates hold all of two terms or 70 % of more; mass by
+@dataclass(frozen=True)
+class Scorer:
+    """Scores one record for a query: forms of each term (its own first, then the glossary's), and each term's weight."""
+
+    forms: list[list[str]]
+    idf: list[float]
+
+    def __post_init__(self):
+        made = [(re.compile(_pattern(f[0]), re.A), re.compile("|".join(map(_pattern, f[1:])), re.A) if f[1:] else None) for f in self.forms]
+        terms = [f[0] for f in self.forms]
+        object.__setattr__(self, "patterns", made)
+        object.__setattr__(self, "total", sum(self.idf) or 1.0)
+        object.__setattr__(self, "room", sum(len(x) + 1 for x in terms) + 4)
+        object.__setattr__(self, "phrase", re.compile(phrase_pattern(terms), re.A | re.I) if len(terms) > 1 else None)
+
+    def field(self, text: str, name: str) -> tuple[float, float, float]:
+        """(what the field adds, its share of the query's weight, its proximity)."""
+        mass, places = 0.0, []
+        for (own, other), weight in zip(self.patterns, self.idf):
+            for pattern, worth in ((own, 1.0), (other, OTHER_FORM)):
+                if pattern and (at := [m.start() for m in itertools.islice(pattern.finditer(text), MAX_POSITIONS)]):
+                    places.append(at)
+                    mass += weight * worth
+                    break
+        if not mass:
+            return 0.0, 0.0, 0.0
+        norm = 1 / (1 + math.log(1 + len(text) / K_LEN[name]))
+        return WEIGHT[name] * mass * norm, mass / self.total, self.near(places) * (0.55 * norm if name == "a" else 1.0)
+
+    def near(self, places: list[list[int]]) -> float:
+        if len(self.forms) == 1:
+            return 1.0
+        cover = len(places) / len(self.forms)
+        if len(places) == 1:
+            return 0.12 * cover
+        return min(1.0, self.room / max(smallest_window(places), self.room)) * cover
+
+    def score(self, hi: str, q: str, a: str) -> float:
+        parts = [self.field(x, name) for name, x in (("hi", hi), ("q", q), ("a", a))]
+        raw = sum(p[0] for p in parts) + PROXIMITY * max(p[2] for p in parts) * self.total
+        if self.phrase and any(map(self.phrase.search, (hi, q, a))):
+            raw += PHRASE * self.total
+        subject = max(parts[0][1], parts[1][1])
+        return raw / self.total * (0.4 + 0.6 * subject)
+
+
+def lexical_search(records: DataFrame, query: str, key: str = "id", fields: tuple[str, str, str] = ("hi", "q", "a"), order: tuple[str, ...] = ()) -> DataFrame:
+    """key, score, pct of every candidate, best first (ties by the columns order, such as volume and page, then key): candidates hold all of two terms or 70 % of more; mass by
     field and idf, the tightest window of terms, and the phrase count.
 
     Candidate search and document frequencies are native; scoring runs as an Arrow function over candidates alone."""
@@ -168,7 +224,7 @@ def lexical_search(records: DataFrame, query: str, key: str = "id", fields: tupl
     empty = "`%s` %s, score double, pct int" % (key, records.schema[key].dataType.simpleString())
     if not terms:
         return records.sparkSession.createDataFrame([], empty)
-    rows = records.select(key, *[t.fold_search(F.col(c)).alias(f) for c, f in zip(fields, ("hi", "q", "a"))])
+    rows = records.select(key, *order, *[t.fold_search(F.col(c)).alias(f) for c, f in zip(fields, ("hi", "q", "a"))])
     has = lambda v: F.contains("hi", F.lit(v)) | F.contains("q", F.lit(v)) | F.contains("a", F.lit(v))
     forms = [expand(x) for x in terms]
     flat = list(dict.fromkeys(f for own in forms for f in own))
@@ -185,40 +241,17 @@ def lexical_search(records: DataFrame, query: str, key: str = "id", fields: tupl
     total = sum(idf) or 1.0
     need = len(terms) if len(terms) <= 2 else math.ceil(0.7 * len(terms))
     candidates = rows.where(sum((a.cast("int") for a in any_of), F.lit(0)) >= need)
-    patterns = [[_pattern(f) for f in own] for own in forms]
-    lengths = [len(x) for x in terms]
-    phrase = re.compile(r"[\s،,;:]+".join(re.escape(x) for x in terms)) if len(terms) > 1 else None
-
-    def score(hi: str, q: str, a: str) -> float:
-        raw = subject = near = 0.0
-        for name, text in (("hi", hi), ("q", q), ("a", a)):
-            part, share, norm = _field(text, patterns, idf, total, name)
-            if not part:
-                continue
-            raw += part
-            subject = max(subject, share if name != "a" else 0.0)
-            found = [[m.start() for m, _ in zip(re.finditer(p, text), range(MAX_POSITIONS))] for p in (next((f for f in own if re.search(f, text)), own[0]) for own in patterns)]
-            present = [f for f in found if f]
-            cover = len(present) / len(terms)
-            if len(terms) == 1:
-                p = 1.0
-            elif len(present) == 1:
-                p = 0.12 * cover
-            else:
-                room = sum(size + 1 for size, f in zip(lengths, found) if f) + 4
-                p = min(1.0, room / max(smallest_window(present), room)) * cover
-            near = max(near, p * (0.55 * norm if name == "a" else 1.0))
-        raw += PROXIMITY * near * total
-        if phrase and any(phrase.search(x) for x in (hi, q, a)):
-            raw += PHRASE * total
-        return raw / total * (0.4 + 0.6 * subject)
+    scorer = Scorer(forms, idf)
 
     def run(batches):
         for b in batches:
-            s = [score(*x) for x in zip(b["hi"], b["q"], b["a"])]
-            yield pd.DataFrame({key: b[key], "score": s, "pct": [max(1, int(100 * (1 - math.exp(-v / SCALE)) + 0.5)) for v in s]})
+            s = [scorer.score(*x) for x in zip(b["hi"], b["q"], b["a"])]
+            out = {key: b[key], "score": s, "pct": [max(1, int(100 * (1 - math.exp(-v / SCALE)) + 0.5)) for v in s]}
+            yield pd.DataFrame(out | {c: b[c] for c in order})
 
-    return candidates.mapInPandas(run, empty).select(key, F.round("score", 6).alias("score"), "pct").orderBy(F.desc("score"), key)
+    kind = empty + "".join(f", `{c}` {records.schema[c].dataType.simpleString()}" for c in order)
+    scored = candidates.mapInPandas(run, kind).withColumn("score", F.round("score", 6))
+    return scored.orderBy(F.desc("score"), *order, key).select(key, "score", "pct")
 
 
 def similar_by_words(records: DataFrame, key: str, words: Column, category: Column, seed, k: int = 6) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators.relational import require_complete
 
 
 def split_core_rest(df: DataFrame, key: str, limits: dict[str, int]) -> tuple[DataFrame, DataFrame]:
@@ -31,6 +32,24 @@ def bundle(df: DataFrame, rename: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(a).alias(b) for a, b in rename.items()])
 
 
+def bundle_with_meta(df: DataFrame, rename: dict[str, str], translated: Column, **about: str) -> tuple[DataFrame, DataFrame]:
+    """The bundle's rows, and its header of one row: what it is about, how many records it has and how many are translated."""
+    meta = df.agg(F.count("*").alias("count"), F.count_if(translated).alias("translated"))
+    return bundle(df, rename), meta.select(*[F.lit(v).alias(k) for k, v in about.items()], "count", "translated")
+
+
+def totals(df: DataFrame, group: str, translated: Column) -> DataFrame:
+    """statistics() of every group, and in the row whose group is null of all rows together."""
+    n, done = F.count("*"), F.count_if(translated)
+    return df.rollup(group).agg(n.alias("n"), done.alias("translated"), F.round(done / F.greatest(F.lit(1), n), 6).alias("share"), F.countDistinct(group).alias("groups"), F.grouping(group).alias("total"))
+
+
+def sizes(df: DataFrame, text: str) -> DataFrame:
+    """files, bytes and mean_bytes of a column of texts as they would be written."""
+    size = F.octet_length(F.coalesce(text, F.lit("")))
+    return df.agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.round(F.avg(size), 3).alias("mean_bytes"))
+
+
 def statistics(df: DataFrame, group: str, translated: Column) -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(translated).alias("translated"), F.round(F.count_if(translated) / F.greatest(F.lit(1), F.count("*")), 6).alias("share"))
 
@@ -44,6 +63,41 @@ def sitemap_entries(df: DataFrame, site: str, key: str) -> DataFrame:
     return df.select(F.concat(F.lit(f"<url><loc>{site}/"), F.replace(F.url_encode(F.col(key).cast("string")), F.lit("+"), F.lit("%20")), F.lit("</loc></url>")).alias("value"))
 
 
+def sitemap(df: DataFrame, site: str, key: str) -> DataFrame:
+    """The lines of a sitemap file, in order of `line`: envelope, one entry for each key, envelope."""
+    entries = df.select(F.lit(1).alias("line"), F.col(key).cast("string").alias("key")).select("line", "key", F.concat(F.lit(f"<url><loc>{site}/"), F.replace(F.url_encode("key"), F.lit("+"), F.lit("%20")), F.lit("</loc></url>")).alias("value"))
+    opening = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+    ends = df.sparkSession.createDataFrame([(0, "", opening), (2, "", "</urlset>")], "line int, key string, value string")
+    return ends.unionByName(entries)
+
+
+def robots(site: str) -> str:
+    return f"User-agent: *\nAllow: /\nSitemap: {site}/sitemap.xml\n"
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def json_array(df: DataFrame, order: list[str]) -> DataFrame:
+    """One value: all rows as a JSON array in order. For published tables that fit one file; larger ones go to json_lines."""
+    row = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
+    return df.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["j"]), ","), F.lit("]")).alias("value"))
+
+
+def json_object(df: DataFrame, key: str) -> DataFrame:
+    """One value: a JSON object from each key to its row, in order of keys. As json_array, for tables that fit one file."""
+    rest = F.to_json(F.struct(*[c for c in df.columns if c != key]), {"ignoreNullFields": "false"})
+    name = F.expr(f"substring(to_json(array(cast(`{key}` as string))), 2, length(to_json(array(cast(`{key}` as string)))) - 2)")
+    pair = F.struct(F.col(key).alias("k"), F.concat(name, F.lit(":"), rest).alias("j"))
+    return df.agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda r: r["j"]), ","), F.lit("}")).alias("value"))
+
+
+def write_complete(left: DataFrame, right: DataFrame, on: list[str], path: str) -> None:
+    """Writes the join of both, or nothing at all where a left key lacks a partner."""
+    require_complete(left, right, on).write.mode("overwrite").parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

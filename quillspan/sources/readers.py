@@ -12,6 +12,12 @@ HEADER_END = "#META#Header#End#"
 VERSES = "array<struct<id:int,name:string,transliteration:string,verses:array<struct<id:int,text:string,translation:string>>>>"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def marked_text(spark: SparkSession, path: str, header_end: str = HEADER_END) -> DataFrame:
     """(file, seq, value): the lines behind the first header end, or all lines without one."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
@@ -32,12 +38,9 @@ def whole_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def tolerant_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """whole_json that gives no rows where a file is missing or broken."""
-    try:
-        rows = spark.read.option("ignoreMissingFiles", True).text(path, wholetext=True)
-    except Exception as e:  # a path that does not exist
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not exists(spark, path):
         return spark.createDataFrame([], f"value {schema}")
+    rows = spark.read.option("ignoreMissingFiles", True).text(path, wholetext=True)
     return rows.select(F.from_json("value", schema).alias("value")).where("value IS NOT NULL")
 
 
@@ -52,13 +55,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A table of few files up to this size is dealt out anew after reading.
+#: A table up to this size is dealt out anew after reading: it may be one file with one row group.
 SPREAD_BYTES = 256 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table in fewer files than there are cores, dealt to all cores; larger tables stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+    """A small table dealt to all cores; larger tables stay as they are read. The size is the plan's own estimate, so no file is listed."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
-    return df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
