@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import quotes, relational, retrieve, segment, spans
 from ..sources import publish
-from ..sources.readers import spread, table
+from ..sources.readers import table
+from ..streaming import events
+from .registry import ORACLE_SQL, QUERIES, docs, query
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 TERMS = ["thand", "erin", "tion", "heer"]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents"))
-
-
 _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 _BM25 = f"""
 t AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -164,27 +150,37 @@ def asof_lookup(spark, d):
     "last_value(tag IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS page FROM (SELECT *, CASE WHEN event_type = 'purchase' THEN event_id END AS tag FROM events)"
 )
 def page_backfill(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    tag = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    ahead = F.first(tag, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    back = F.last(tag, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return table(spark, d, "events").select("event_id", F.coalesce(ahead, back, F.lit(0)).alias("page"))
+    """Events as lines of a volume, of which a purchase carries the tag that ends a page."""
+    raw = F.concat(F.lit("line"), F.when(F.col("event_type") == "purchase", F.concat(F.lit(" PageV1P"), F.col("event_id").cast("string"))).otherwise(F.lit("")))
+    return segment.assign_pages(table(spark, d, "events").select("user_id", "event_id", raw.alias("raw")), ["user_id"], "event_id").select("event_id", F.col("page").cast("long").alias("page"))
 
 
-@query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), '') AS heading FROM conversations")
+@query("WITH h AS (SELECT *, last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS heading FROM conversations) SELECT conv_id, turn, coalesce(trim(heading), '') AS heading FROM h WHERE role <> 'system'")
 def heading_forward_fill(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.last(F.when(F.col("role") == "system", F.col("text")), ignorenulls=True).over(w), F.lit("")).alias("heading"))
+    """Conversations as lines, of which a system turn is a heading."""
+    kind = F.when(F.col("role") == "system", "head").otherwise("para")
+    lines = table(spark, d, "conversations").select("conv_id", "turn", kind.alias("kind"), F.lit(1).alias("level"), "text")
+    return segment.heading_path(lines, ["conv_id"], "turn").select("conv_id", "turn", F.coalesce(F.try_element_at("heading_path", F.lit(1)), F.lit("")).alias("heading"))
 
 
 _LINES = "SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS seq, unnest(string_split(text, chr(10))) AS value FROM documents"
 
 
-@query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(sum(length(value)) AS BIGINT) AS chars FROM ({_LINES}) WHERE value <> '' GROUP BY 1")
+# Every line gets one of the five kinds by its length; the SQL joins islands of lines, the query folds the marked-up text.
+_KINDS = "CASE length(value) % 5 WHEN 0 THEN '# ' WHEN 1 THEN '~~' WHEN 2 THEN '### || ' ELSE '' END"
+
+
+@query(
+    f"""WITH k AS (SELECT doc_id, seq, trim({_KINDS} || value) AS v FROM ({_LINES})),
+m AS (SELECT *, v = '' AS blank, starts_with(v, '~~') AS more, starts_with(v, '###') AS head, starts_with(v, '#') AS mark FROM k),
+g AS (SELECT *, sum(CASE WHEN blank OR mark THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS island FROM m),
+b AS (SELECT *, trim(CASE WHEN head THEN substring(v, 7) WHEN mark THEN substring(v, 2) WHEN more THEN substring(v, 3) ELSE v END) AS body FROM g)
+SELECT doc_id, CAST(min(seq) AS INT) AS seq, CASE WHEN arg_min(head, seq) THEN 'head' ELSE 'para' END AS kind, sha256(string_agg(body, ' ' ORDER BY seq)) AS raw FROM b GROUP BY doc_id, island HAVING arg_min(mark, seq)"""
+)
 def logical_lines(spark, d):
-    lines = segment.split_lines(docs(spark, d).select("doc_id", "text"), ["doc_id"]).where("value <> ''")
-    made = segment.logical_lines(lines.select("doc_id", "seq", F.concat(F.lit("# "), "value").alias("value")), ["doc_id"])
-    return made.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("raw")).alias("chars"))
+    lines = segment.split_lines(docs(spark, d).select("doc_id", "text"), ["doc_id"])
+    made = segment.logical_lines(lines.select("doc_id", "seq", F.expr(f"concat({_KINDS}, value)").alias("value")), ["doc_id"])
+    return made.select("doc_id", "seq", "kind", F.sha2("raw", 256).alias("raw"))
 
 
 @query(
@@ -198,15 +194,25 @@ def qa_segments(spark, d):
     return made.select("conv_id", "first_seq", F.length("question").cast("long").alias("q_chars"), F.length("answer").cast("long").alias("a_chars"))
 
 
+# Lines over 1800 characters are split by a second recursion: sentences are joined up to 1200, what is over 1800 is cut.
+# The sentences behind [.!] and white space are found whole, as this SQL has no look-behind.
 @query(
-    f"""WITH RECURSIVE l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS i, trim(value) AS v FROM ({_LINES}) WHERE trim(value) <> '' AND length(trim(value)) <= 1800),
-f AS (SELECT doc_id, i, length(v) AS n, 0 AS c FROM l WHERE i = 1
-      UNION ALL SELECT l.doc_id, l.i, CASE WHEN f.n + length(l.v) > 1200 AND f.n >= 200 THEN length(l.v) ELSE f.n + length(l.v) END, CASE WHEN f.n + length(l.v) > 1200 AND f.n >= 200 THEN f.c + 1 ELSE f.c END
-      FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1)
-SELECT f.doc_id, CAST(f.c AS INT) AS chunk, string_agg(l.v, chr(10) ORDER BY f.i) AS text FROM f JOIN l USING (doc_id, i) GROUP BY 1, 2"""
+    f"""WITH RECURSIVE l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS i, trim(value) AS v FROM ({_LINES}) WHERE trim(value) <> ''),
+s AS (SELECT doc_id, i, k, rtrim(x, ' ' || chr(9) || chr(13)) AS x FROM (SELECT doc_id, i, unnest(range(1, len(z) + 1)) AS k, unnest(z) AS x FROM (SELECT doc_id, i, regexp_extract_all(v, '(?s)(?:[^.!؟]|[.!؟]+[^.!؟\\s])*(?:[.!؟]+(?:\\s+|$)|$)') AS z FROM l WHERE length(v) > 1800)) WHERE x <> ''),
+p AS (SELECT doc_id, i, k, CAST([] AS VARCHAR[]) AS done, CASE WHEN length(x) > 1800 THEN list_transform(range(0, (length(x) - 1) // 1800), lambda j: substring(x, j * 1800 + 1, 1800)) ELSE [] END AS cut, substring(x, ((length(x) - 1) // 1800) * 1800 + 1) AS buf FROM s WHERE k = 1
+      UNION ALL SELECT n.doc_id, n.i, n.k, CASE WHEN n.fits THEN list_concat(n.done, n.cut) ELSE list_append(list_concat(n.done, n.cut), n.buf) END,
+        CASE WHEN length(n.b) > 1800 THEN list_transform(range(0, (length(n.b) - 1) // 1800), lambda j: substring(n.b, j * 1800 + 1, 1800)) ELSE [] END, substring(n.b, ((length(n.b) - 1) // 1800) * 1800 + 1)
+      FROM (SELECT p.doc_id, p.i, s.k, p.done, p.cut, p.buf, length(p.buf) + length(s.x) <= 1200 OR p.buf = '' AS fits, CASE WHEN p.buf = '' THEN s.x WHEN length(p.buf) + length(s.x) <= 1200 THEN p.buf || ' ' || s.x ELSE s.x END AS b FROM p JOIN s ON s.doc_id = p.doc_id AND s.i = p.i AND s.k = p.k + 1) n),
+w AS (SELECT doc_id, i, list_filter(list_append(list_concat(done, cut), buf), lambda z: trim(z) <> '') AS pieces FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY k DESC) = 1),
+f AS (SELECT doc_id, i, length(v) AS n, 0 AS c, length(v) > 1800 AS long FROM l WHERE i = 1
+      UNION ALL SELECT l.doc_id, l.i, CASE WHEN l.v_long OR f.long OR (f.n + l.len > 1200 AND f.n >= 200) THEN l.len ELSE f.n + l.len END, CASE WHEN l.v_long OR f.long OR (f.n + l.len > 1200 AND f.n >= 200) THEN f.c + 1 ELSE f.c END, l.v_long
+      FROM f JOIN (SELECT doc_id, i, length(v) AS len, length(v) > 1800 AS v_long FROM l) l ON l.doc_id = f.doc_id AND l.i = f.i + 1),
+g AS (SELECT f.doc_id, f.c, 0 AS k, string_agg(l.v, chr(10) ORDER BY f.i) AS text FROM f JOIN l USING (doc_id, i) WHERE NOT f.long GROUP BY 1, 2
+      UNION ALL SELECT doc_id, c, unnest(range(0, len(pieces))), trim(unnest(pieces)) FROM f JOIN w USING (doc_id, i) WHERE f.long)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY c, k) - 1 AS INT) AS chunk, text FROM g"""
 )
 def chunk_greedy(spark, d):
-    """Passages of every document from all its lines. The SQL above leaves out lines over 1800 characters, so the two differ in documents that have one."""
+    """Passages of every document from all its lines."""
     lines = segment.split_lines(docs(spark, d).select("doc_id", "text"), ["doc_id"])
     v = F.trim("value")
     paras = lines.where(v != "").select("doc_id", "seq", v.alias("text"), F.array(F.lit("")).alias("heading_path"))
@@ -347,8 +353,9 @@ def dense_topk_per_label(spark, d):
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def tumbling_events(spark, d):
-    x = table(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
-    return x.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    rows = table(spark, d, "events").withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.expr("current_timezone()")))
+    made = events.tumbling(rows, "1 day")
+    return made.select(F.from_utc_timestamp("start", F.expr("current_timezone()")).cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 def _records(spark, d):
@@ -357,7 +364,26 @@ def _records(spark, d):
     return x.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("hi"), F.lit("").alias("q"), F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)").alias("a"), "source", "text")
 
 
-@query()
+_LAST = ", ".join(f"max(CASE WHEN t = {t} THEN pos END) OVER (PARTITION BY id, field ORDER BY pos ROWS UNBOUNDED PRECEDING) AS p{t}" for t in range(3))
+
+
+@query(
+    f"""WITH r AS (SELECT doc_id AS id, lower(coalesce(string_split(text, chr(10))[1], '')) AS hi, lower(coalesce(substring(text, length(string_split(text, chr(10))[1]) + 2), '')) AS a FROM documents),
+q(t, term) AS (VALUES (0, 'thand'), (1, 'erin'), (2, 'tion')), n AS (SELECT count(*) AS n FROM r),
+df AS (SELECT t, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM r JOIN q ON contains(hi, term) OR contains(a, term), n GROUP BY t, n), total AS (SELECT sum(idf) AS total FROM df),
+c AS (SELECT id, hi, a FROM r JOIN q ON contains(hi, term) OR contains(a, term) GROUP BY ALL HAVING count(*) = 3),
+f AS (SELECT id, 'hi' AS field, hi AS x, 24.0 AS k, 3.0 AS w FROM c UNION ALL SELECT id, 'a', a, 2000.0, 0.7 FROM c),
+m AS (SELECT id, field, t, regexp_extract_all(x, '\\b' || term || '\\w{{0,4}}\\b') AS hits, string_split_regex(x, '\\b' || term || '\\w{{0,4}}\\b') AS parts FROM f, q),
+p AS (SELECT id, field, t, list_sum(list_transform(parts[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda z: length(z))), 0) AS pos FROM (SELECT *, unnest(range(1, least(len(hits), 120) + 1)) AS i FROM m)),
+o AS (SELECT id, field, pos, {_LAST} FROM p),
+s AS (SELECT id, field, min(pos - least(p0, p1, p2)) FILTER (WHERE (p0 IS NOT NULL)::INT + (p1 IS NOT NULL)::INT + (p2 IS NOT NULL)::INT = present) AS span, any_value(present) AS present FROM o JOIN (SELECT id, field, count(DISTINCT t) AS present FROM p GROUP BY 1, 2) USING (id, field) GROUP BY 1, 2),
+z AS (SELECT id, field, any_value(w) * sum(idf) / (1 + ln(1 + any_value(length(x)) / any_value(k))) AS part, sum(idf) / any_value(total) AS share, 1 / (1 + ln(1 + any_value(length(x)) / any_value(k))) AS norm, any_value(span) AS span, any_value(present) AS present
+      FROM f JOIN s USING (id, field) JOIN (SELECT DISTINCT id, field, t FROM p) USING (id, field) JOIN df USING (t), total GROUP BY id, field),
+y AS (SELECT id, sum(part) AS part, max(CASE WHEN present = 1 THEN 0.12 / 3 ELSE least(1.0, 20 / greatest(span, 20)) * present / 3 END * CASE WHEN field = 'a' THEN 0.55 * norm ELSE 1 END) AS near, max(CASE WHEN field = 'hi' THEN share ELSE 0 END) AS subject FROM z GROUP BY id),
+ph AS (SELECT id, regexp_matches(hi, e) OR regexp_matches(a, e) AS phrase FROM c, (SELECT '\\bthand\\w{{0,4}}[\\s،,;:]+\\berin\\w{{0,4}}[\\s،,;:]+\\btion\\w{{0,4}}' AS e)),
+u AS (SELECT c.id, (coalesce(part, 0) + 2.2 * coalesce(near, 0) * total + CASE WHEN phrase THEN 1.2 * total ELSE 0 END) / total * (0.4 + 0.6 * coalesce(subject, 0)) AS score FROM c LEFT JOIN y USING (id) JOIN ph USING (id), total)
+SELECT id, round(score, 6) AS score, CAST(greatest(1, floor(100 * (1 - exp(-score / 2.2)) + 0.5)) AS INT) AS pct FROM u"""
+)
 def lexical_search(spark, d):
     return retrieve.lexical_search(_records(spark, d), "thand erin tion")
 
@@ -428,3 +454,8 @@ def stratified_sample(spark, d):
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 30")
 def result_page(spark, d):
     return relational.page(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 3)
+
+
+from . import flows, texts  # noqa: E402, F401  their queries register themselves
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
