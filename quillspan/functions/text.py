@@ -97,19 +97,16 @@ def line_sentences(x) -> Column:
 
 
 def words_with_offsets(x) -> Column:
-    """array<struct<word,start,end>> of lower-case ASCII words: each begins where the texts before it end."""
-    low = F.lower(_c(x))
-    gaps = F.split(low, "[a-z0-9]+", -1)
-    found = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
-    empty = F.array().cast("array<struct<word:string,start:int,end:int>>")
-
-    def add(a, p):
-        start = a["at"] + F.length(p["gap"])
-        end = start + F.length(p["word"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(p["word"].alias("word"), start.alias("start"), end.alias("end")))).alias("out"))
-
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda a: a["out"])
+    """array<struct<word,start,end>> of lower-case ASCII words with their places in the text."""
+    import re
+
+    import pandas as pd
+
+    @F.pandas_udf("array<struct<word:string,start:int,end:int>>")
+    def find(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"word": m[0], "start": m.start(), "end": m.end()} for m in re.finditer("[a-z0-9]+", s)] for s in texts])
+
+    return find(F.lower(_c(x)))
 
 
 def thousands(x) -> Column:

@@ -41,7 +41,7 @@ def bundle_with_meta(df: DataFrame, rename: dict[str, str], translated: Column,
 def totals(df: DataFrame, group: str, translated: Column) -> DataFrame:
     """statistics() of every group, and in the row whose group is null of all rows together."""
     n, done = F.count("*"), F.count_if(translated)
-    return df.rollup(group).agg(n.alias("n"), done.alias("translated"), F.round(done / F.greatest(F.lit(1), n), 6).alias("share"), F.countDistinct(group).alias("groups"), F.grouping(group).alias("total"))
+    return df.rollup(group).agg(n.alias("n"), done.alias("translated"), F.round(done / F.greatest(F.lit(1), n), 6).alias("share"), F.countDistinct(group).alias("groups"), F.grouping(group).cast("int").alias("total"))
 
 
 def sizes(df: DataFrame, text: str) -> DataFrame:
