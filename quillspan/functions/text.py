@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,9 +101,6 @@ def line_sentences(x) -> Column:
 
 def words_with_offsets(x) -> Column:
     """array<struct<word,start,end>> of lower-case ASCII words with their places in the text."""
-    import re
-
-    import pandas as pd
 
     @F.pandas_udf("array<struct<word:string,start:int,end:int>>")
     def find(texts: pd.Series) -> pd.Series:
@@ -239,8 +239,6 @@ def confidence(best) -> Column:
 
 def highlight(x, words: list[str]) -> Column:
     """Wraps whole Latin words and Arabic letter sequences (any form, with or without marks) in <mark>, after escaping."""
-    import re
-
     forms = {"ا": "[اأإآٱ]", "ي": "[يىئی]", "و": "[وؤ]", "ه": "[هة]"}
     between = "[ؐ-ًؚ-ٰٟۖ-ۭـ]*"
     parts = [between.join(forms.get(c, re.escape(c)) for c in w) if re.search("[؀-ۿ]", w) else rf"(?<![A-Za-z0-9_]){re.escape(w)}(?![A-Za-z0-9_])" for w in words]

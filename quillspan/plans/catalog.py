@@ -399,7 +399,28 @@ def lexical_similar(spark, d):
     return retrieve.similar_by_words(_records(spark, d), "id", t.ascii_tokens("text"), F.col("source"), 3)
 
 
-@query()
+_BARE = "array_to_string(list_filter(l, lambda c, i: i = 1 OR c <> l[i - 1]), '')"
+
+
+# Every reading's probes in order: the whole, then its beginnings of six words or more and 80 % of its length; the fourth reading takes the whole alone.
+_FOLDED = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH b AS (SELECT item_id, {_FOLDED.format('text')} AS f FROM benchmark),
+v AS (SELECT item_id, f AS r1, replace(f, ' ', '') AS r2, regexp_replace(replace(f, ' ', ''), '[aeiou]', '', 'g') AS r3 FROM b), w AS (SELECT *, {_BARE} AS r4 FROM (SELECT *, string_split(r3, '') AS l FROM v)),
+h AS (SELECT 1 AS r, string_agg(r1, ' ' ORDER BY item_id) AS hay FROM w UNION ALL SELECT 2, string_agg(r2, '' ORDER BY item_id) FROM w UNION ALL SELECT 3, string_agg(r3, '' ORDER BY item_id) FROM w UNION ALL SELECT 4, string_agg(r4, '' ORDER BY item_id) FROM w),
+st AS (SELECT r, item_id, sum(n) OVER (PARTITION BY r ORDER BY item_id) - n AS start FROM (SELECT 1 AS r, item_id, length(r1) + 1 AS n FROM w UNION ALL SELECT 2, item_id, length(r2) FROM w UNION ALL SELECT 3, item_id, length(r3) FROM w UNION ALL SELECT 4, item_id, length(r4) FROM w)),
+q AS (SELECT doc_id, i AS pos, {_FOLDED.format('z[i + 1]')} AS f FROM (SELECT doc_id, z, unnest(range(0, len(z))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.?!؟
+]+[.?!؟]?') AS z FROM documents))),
+s AS (SELECT *, string_split(f, ' ') AS words FROM q WHERE f <> ''), u AS (SELECT *, len(words) < 3 AS short, unnest(list_concat([len(words)], range(len(words) - 1, 5, -1))) AS n FROM s),
+p AS (SELECT doc_id, pos, short, len(words) - n AS probe, array_to_string(words[1:n], ' ') AS x FROM u WHERE n = len(words) OR length(array_to_string(words[1:n], ' ')) >= 0.8 * length(f)),
+k AS (SELECT doc_id, pos, short, 1 AS r, probe, x AS needle FROM p UNION ALL SELECT doc_id, pos, short, 2, probe, replace(x, ' ', '') FROM p UNION ALL SELECT doc_id, pos, short, 3, probe, regexp_replace(replace(x, ' ', ''), '[aeiou]', '', 'g') FROM p
+      UNION ALL SELECT doc_id, pos, short, 4, probe, {_BARE} FROM (SELECT doc_id, pos, short, probe, string_split(regexp_replace(replace(x, ' ', ''), '[aeiou]', '', 'g'), '') AS l FROM p WHERE probe = 0)),
+m AS (SELECT doc_id, pos, r, probe, strpos(hay, needle) - 1 AS place, length(needle) AS n FROM k JOIN h USING (r) WHERE length(needle) >= 12 AND contains(hay, needle) AND NOT (short AND contains(substring(hay, strpos(hay, needle) + 1), needle))),
+o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY r, probe) = 1)
+SELECT doc_id, CAST(pos AS INT) AS pos, max(item_id) FILTER (WHERE start <= place) AS verse_start, max(item_id) FILTER (WHERE start <= place + n - 1) AS verse_end, CAST(o.r AS INT) AS reading FROM o JOIN st ON st.r = o.r GROUP BY doc_id, pos, o.r, place, n"""
+)
 def quotation_cascade(spark, d):
     """Benchmark items as the reference text; every document's sentences are looked up in it in four readings."""
     verses = table(spark, d, "benchmark").select(F.lit(1).cast("long").alias("chapter"), F.col("item_id").alias("verse"), "text")
@@ -408,7 +429,21 @@ def quotation_cascade(spark, d):
     return quotes.identify(rows, index, read=quotes.plain_readings).where("found IS NOT NULL").select("doc_id", "pos", "found.verse_start", "found.verse_end", "found.reading")
 
 
-@query()
+_LAST_CUT = "CASE WHEN contains(w, {0}) THEN length(w) - strpos(reverse(w), {0}) ELSE -1 END"
+
+
+# The tables hold no braces, so every place is level.
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+z AS (SELECT doc_id, i, p[i] AS p FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(x, '[.!?؟؛]*[^.!?؟؛]+[.!?؟؛]*\\s*') AS p FROM d))),
+e AS (SELECT doc_id, i, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS b, length(p) - length(regexp_extract(p, '^[.!?؟؛]*')) AS n FROM z),
+c AS (SELECT doc_id, i, CAST(b - n AS BIGINT) AS a, CAST(b AS BIGINT) AS b, false AS cut FROM e
+      UNION ALL SELECT doc_id, i, a + k + 1, b, true FROM (SELECT doc_id, i, a, b, CASE WHEN k1 > 248 THEN k1 WHEN k2 > 248 THEN k2 WHEN k3 > 248 THEN k3 END AS k FROM (SELECT doc_id, i, a, b, {_LAST_CUT.format("'،'")} AS k1, {_LAST_CUT.format("','")} AS k2, {_LAST_CUT.format("' '")} AS k3 FROM (SELECT c.doc_id, i, a, b, substring(x, CAST(a AS INT) + 1, 620) AS w FROM c JOIN d ON d.doc_id = c.doc_id WHERE b - a > 1240))) WHERE k IS NOT NULL),
+p AS (SELECT DISTINCT doc_id, a AS p FROM c WHERE cut UNION SELECT doc_id, b FROM c),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS s, min(p) AS e FROM p WHERE p >= 620 GROUP BY doc_id UNION ALL SELECT r.doc_id, r.e, min(p.p) FROM r JOIN p ON p.doc_id = r.doc_id AND p.p >= r.e + 620 GROUP BY r.doc_id, r.e),
+t AS (SELECT doc_id, length(x) AS n, coalesce(max(e), 0) AS last FROM d LEFT JOIN r USING (doc_id) GROUP BY doc_id, x)
+SELECT doc_id, CAST(s AS INT) AS start, CAST(e AS INT) AS "end" FROM r UNION ALL SELECT doc_id, CAST(last AS INT), CAST(n AS INT) FROM t WHERE n > last OR n = 0"""
+)
 def paragraph_tiling(spark, d):
     return docs(spark, d).select("doc_id", F.explode(segment.tiling(F.coalesce("text", F.lit("")))).alias("r")).select("doc_id", F.col("r")[0].alias("start"), F.col("r")[1].alias("end"))
 
