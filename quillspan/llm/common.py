@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..cluster import shared_dir, ship
 
 #: Bytes of text that one numpy pass handles at once (a longer text is handled whole).
 CHUNK_BYTES = 1 << 20
@@ -39,21 +36,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; without that setting (local runs only) a temporary one."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    global _own
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="quillspan-")
-        atexit.register(shutil.rmtree, _own, ignore_errors=True)
-    return f"file://{_own}"
-
-
-_own: str | None = None
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillspan/{name}-{uuid.uuid4().hex}"
 
