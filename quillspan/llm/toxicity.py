@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, prepare, read_table, slices
+from .common import bit_set, column, discard, in_set, materialize, prepare, read_table, slices
 from .words import ALNUM, _powers, mix, words
 from .words import _BYTE as BYTE_CODE
 
@@ -100,6 +100,19 @@ def _sample(docs: DataFrame, labels: DataFrame, place: np.ndarray) -> list:
     return rows.mapInArrow(run, "doc_id string, kind int, y int, f binary").groupBy("doc_id", "kind", "y").agg(F.min("f").alias("f")).collect()
 
 
+def _marked(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """y and text of the rows of docs that judged (doc_id, y) names. A bit set of a fixed size keeps most others from being shuffled."""
+    key = F.xxhash64(F.col("doc_id").cast("string"))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(judged, key))
+
+    def run(batches):
+        for x in batches:
+            yield x.filter(pa.array(in_set(bits.value, column(x, "h").to_numpy()))).select(["id", "text"])
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), key.alias("h")).mapInArrow(run, "id string, text string")
+    return materialize(rows.join(judged.select(F.col("doc_id").cast("string").alias("id"), "y"), "id").select("y", "text"), "marked")
+
+
 def _frequencies(docs: DataFrame, wanted: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """In how many texts each feature is (of those wanted, if given), and the number of texts."""
     known = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -168,9 +181,12 @@ def train(docs: DataFrame, labels: DataFrame, steps: int = 300) -> Model:
     if not prior:
         return Model()
     prior = float(np.clip(prior, 0.01, 0.9))
-    # Ids of toxic rows alone are broadcast: shuffling the texts instead takes 1.9 times the input.
-    df_p, n_p = _frequencies(own.join(F.broadcast(judged.where("y = 1").select("doc_id")), "doc_id", "left_semi"))
-    df_u, n_u = _frequencies(own.join(F.broadcast(judged.where("y = 1 OR y IS NULL").select("doc_id")), "doc_id", "left_anti"), df_p > 0)
+    marked = _marked(own, judged.where("y = 1 OR y IS NULL"))
+    df_p, n_p = _frequencies(marked.where("y = 1"))
+    df_u, n_u = _frequencies(own, df_p > 0)
+    df_x, n_x = _frequencies(marked, df_p > 0)  # toxic, or of no known label
+    df_u, n_u = df_u - df_x, n_u - n_x
+    discard(marked)
     if not n_p or not n_u:
         return Model()
     rate_p, rate_u = df_p / n_p, (df_u + 0.5) / n_u
