@@ -35,7 +35,7 @@ MISS = 1e-6
 #: Documents and shingles in one block of a unit of open buckets, and documents in a unit before its buckets stand alone.
 BLOCK_DOCS, BLOCK_SHINGLES, UNIT_DOCS = 1024, 500_000, 16_384
 #: Pairs of one leader that one task gets its text for.
-PAIRS = 4096
+PAIRS = 256
 #: Standard errors by which a signature's estimate may fall short before a pair is dropped unseen.
 MARGIN = 6
 
