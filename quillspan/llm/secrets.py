@@ -282,11 +282,19 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
     return out
 
 
+_trained: dict[str, Forest] = {}
+
+
 def train(spark: SparkSession, findings: list[tuple[str, str, int]] | DataFrame | None = None, vocabulary_name: str = "word_bpe_49k.json") -> Forest:
     """A forest from labelled findings (text around one candidate, path, is_secret). Of more than FINDINGS those of the
-    smallest hashes are read, whatever their order or partitions."""
+    smallest hashes are read, whatever their order or partitions. Without findings the ones built by rule are taken, once for
+    each driver process."""
+    if findings is None:
+        if vocabulary_name not in _trained:
+            _trained[vocabulary_name] = train(spark, labelled_findings(), vocabulary_name)
+        return _trained[vocabulary_name]
     if not isinstance(findings, DataFrame):
-        findings = spark.createDataFrame(labelled_findings() if findings is None else findings, "text string, path string, is_secret int")
+        findings = spark.createDataFrame(findings, "text string, path string, is_secret int")
     usable = findings.select("text", "path", "is_secret").where(F.col("is_secret").isNotNull() & F.col("text").rlike(CANDIDATE))
     sample = usable.orderBy(F.xxhash64("text", "path", "is_secret"), "text", "path", "is_secret").limit(FINDINGS).coalesce(4)
     first = F.element_at(_parts(F.col("text")), 1)
