@@ -140,3 +140,15 @@ def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def id_or_sentinel(col):
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID).cast("long"))
+
+
+class _Crc32:
+    """crc32 as DuckDB SQL: crc32_sql(text) needs the one-row table t of `table`, and text of ASCII characters."""
+
+    table = "SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))"
+
+    def __call__(self, text: str) -> str:
+        return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+crc32_sql = _Crc32()

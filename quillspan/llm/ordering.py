@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_or_sentinel, partitions
+from .common import NULL_ID, id_or_sentinel, materialize, partitions
 
 #: Ranges for each partition: enough that hashing ranges to partitions comes out even.
 RANGES = 3
@@ -42,3 +42,18 @@ def ranged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list
 
 def real_id(col):
     return F.when(F.col(col) != NULL_ID, F.col(col))
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """rows with idx, their places from 0 among the rows of their group by order (nulls first), and n, how many those are.
+
+    group has no nulls. The rows are dealt to ordered ranges of (group, *order) and written once, so no group meets in a task; a row's
+    place is that in its range, corrected by the sizes of the group's earlier ranges and of the range's earlier groups."""
+    ranges = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    kept = materialize(ranges.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}), name)
+    cells = kept.groupBy(group, "_p").agg(F.count("*").alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = before(Window.partitionBy(group).orderBy("_p")) - before(Window.partitionBy("_p").orderBy(group))
+    cells = cells.select(group, "_p", shift.alias("_shift"), F.sum("_n").over(Window.partitionBy(group)).alias("n"))
+    place = F.col("_m").bitwiseAND((1 << 33) - 1) + F.col("_shift")
+    return kept.join(cells, [group, "_p"]).withColumn("idx", place).drop("_p", "_m", "_shift")
