@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import written
+
 
 def narrowest_range(facts: DataFrame, ranges: DataFrame, on: list[str], value: str, key: list[str], low: str = "lo", high: str = "hi", title: str = "title", order: str = "ord") -> DataFrame:
     """Each fact with the title of the narrowest range that holds its value (ties by order), "" without one.
@@ -115,3 +117,15 @@ def nearest_point(points: DataFrame, queries: DataFrame, x: str, name: str, key:
 
 def page(df: DataFrame, order: list, number: int, size: int = 10) -> DataFrame:
     return df.orderBy(*order).offset(number * size).limit(size)
+
+
+def ordered_totals(df: DataFrame, order: list[str], sizes: dict[str, Column]) -> DataFrame:
+    """df with, for each name, the sum of a size over all earlier rows by order. The rows are dealt to ordered ranges and written once, so no
+    task has them all; a range adds the sums of those before it, one row for each."""
+    ranges = df.withColumns({f"_z_{k}": v.cast("long") for k, v in sizes.items()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = written(ranges.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}), "ordered")
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = parts.groupBy("_p").agg(*[F.sum(f"_z_{k}").alias(f"_y_{k}") for k in sizes])
+    sums = sums.select("_p", *[before(Window.orderBy("_p"), f"_y_{k}").alias(f"_x_{k}") for k in sizes])  # a row for each range
+    own = parts.withColumns({f"_w_{k}": before(Window.partitionBy("_p").orderBy("_m"), f"_z_{k}") for k in sizes}).join(F.broadcast(sums), "_p")
+    return own.select(*df.columns, *[(F.col(f"_w_{k}") + F.col(f"_x_{k}")).alias(k) for k in sizes])

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import quotes, relational, retrieve, segment, spans
+from ..operators import quotes, relational, retrieve, seeds, segment
 from ..sources import publish
 from ..sources.readers import table
 from ..streaming import events
@@ -399,34 +399,111 @@ def lexical_similar(spark, d):
     return retrieve.similar_by_words(_records(spark, d), "id", t.ascii_tokens("text"), F.col("source"), 3)
 
 
+#: White space as Unicode has it.
+_WHITE = "\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _BARE = "array_to_string(list_filter(l, lambda c, i: i = 1 OR c <> l[i - 1]), '')"
 
 
-# Every reading's probes in order: the whole, then its beginnings of six words or more and 80 % of its length; the fourth reading takes the whole alone.
+# Every reading's probes in order: the whole, what follows an opening formula, then its beginnings of six words or more and 80 % of its length;
+# the fourth reading takes the whole alone. `verses`: chapter, verse, text; `said`: its key columns, text; `fold`, `bare`: text to reading
+# 1 and, uncollapsed, to reading 4; `thin`: reading 2 to 3.
 _FOLDED = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_NO_VOWELS = "regexp_replace({0}, '[aeiou]', '', 'g')"
 
 
-@query(
-    f"""WITH b AS (SELECT item_id, {_FOLDED.format('text')} AS f FROM benchmark),
-v AS (SELECT item_id, f AS r1, replace(f, ' ', '') AS r2, regexp_replace(replace(f, ' ', ''), '[aeiou]', '', 'g') AS r3 FROM b), w AS (SELECT *, {_BARE} AS r4 FROM (SELECT *, string_split(r3, '') AS l FROM v)),
-h AS (SELECT 1 AS r, string_agg(r1, ' ' ORDER BY item_id) AS hay FROM w UNION ALL SELECT 2, string_agg(r2, '' ORDER BY item_id) FROM w UNION ALL SELECT 3, string_agg(r3, '' ORDER BY item_id) FROM w UNION ALL SELECT 4, string_agg(r4, '' ORDER BY item_id) FROM w),
-st AS (SELECT r, item_id, sum(n) OVER (PARTITION BY r ORDER BY item_id) - n AS start FROM (SELECT 1 AS r, item_id, length(r1) + 1 AS n FROM w UNION ALL SELECT 2, item_id, length(r2) FROM w UNION ALL SELECT 3, item_id, length(r3) FROM w UNION ALL SELECT 4, item_id, length(r4) FROM w)),
-q AS (SELECT doc_id, i AS pos, {_FOLDED.format('z[i + 1]')} AS f FROM (SELECT doc_id, z, unnest(range(0, len(z))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.?!؟
-]+[.?!؟]?') AS z FROM documents))),
-s AS (SELECT *, string_split(f, ' ') AS words FROM q WHERE f <> ''), u AS (SELECT *, len(words) < 3 AS short, unnest(list_concat([len(words)], range(len(words) - 1, 5, -1))) AS n FROM s),
-p AS (SELECT doc_id, pos, short, len(words) - n AS probe, array_to_string(words[1:n], ' ') AS x FROM u WHERE n = len(words) OR length(array_to_string(words[1:n], ' ')) >= 0.8 * length(f)),
-k AS (SELECT doc_id, pos, short, 1 AS r, probe, x AS needle FROM p UNION ALL SELECT doc_id, pos, short, 2, probe, replace(x, ' ', '') FROM p UNION ALL SELECT doc_id, pos, short, 3, probe, regexp_replace(replace(x, ' ', ''), '[aeiou]', '', 'g') FROM p
-      UNION ALL SELECT doc_id, pos, short, 4, probe, {_BARE} FROM (SELECT doc_id, pos, short, probe, string_split(regexp_replace(replace(x, ' ', ''), '[aeiou]', '', 'g'), '') AS l FROM p WHERE probe = 0)),
-m AS (SELECT doc_id, pos, r, probe, strpos(hay, needle) - 1 AS place, length(needle) AS n FROM k JOIN h USING (r) WHERE length(needle) >= 12 AND contains(hay, needle) AND NOT (short AND contains(substring(hay, strpos(hay, needle) + 1), needle))),
-o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY r, probe) = 1)
-SELECT doc_id, CAST(pos AS INT) AS pos, max(item_id) FILTER (WHERE start <= place) AS verse_start, max(item_id) FILTER (WHERE start <= place + n - 1) AS verse_end, CAST(o.r AS INT) AS reading FROM o JOIN st ON st.r = o.r GROUP BY doc_id, pos, o.r, place, n"""
-)
+def _cascade_sql(verses: str, said: str, keys: str, fold: str, thin: str, bare: str, formulas: list[str] = ()) -> str:
+    formula = " ".join(f"WHEN starts_with(f, {x}) AND length(f) > length({x}) + 12 THEN trim(substring(f, length({x}) + 1))" for x in (fold.format(f"'{y}'") for y in formulas))
+    without = f"CASE {formula} END" if formula else "NULL::VARCHAR"
+    return f"""WITH b AS MATERIALIZED (SELECT chapter, verse, row_number() OVER (ORDER BY chapter, verse) AS k, {fold.format('text')} AS r1, {bare.format('text')} AS r4 FROM ({verses})),
+v AS (SELECT *, replace(r1, ' ', '') AS r2, {thin.format("replace(r1, ' ', '')")} AS r3 FROM b), w AS (SELECT * REPLACE ({_BARE} AS r4) FROM (SELECT *, string_split(r4, '') AS l FROM v)),
+h AS (SELECT 1 AS r, string_agg(r1, ' ' ORDER BY k) AS hay FROM w UNION ALL SELECT 2, string_agg(r2, '' ORDER BY k) FROM w UNION ALL SELECT 3, string_agg(r3, '' ORDER BY k) FROM w UNION ALL SELECT 4, string_agg(r4, '' ORDER BY k) FROM w),
+st AS (SELECT r, k, chapter, verse, sum(n) OVER (PARTITION BY r ORDER BY k) - n AS start FROM (SELECT 1 AS r, k, chapter, verse, length(r1) + 1 AS n FROM w UNION ALL SELECT 2, k, chapter, verse, length(r2) FROM w UNION ALL SELECT 3, k, chapter, verse, length(r3) FROM w UNION ALL SELECT 4, k, chapter, verse, length(r4) FROM w)),
+s AS MATERIALIZED (SELECT {keys}, f, f4, string_split(f, ' ') AS words FROM (SELECT {keys}, {fold.format('text')} AS f, {bare.format('text')} AS f4 FROM ({said})) WHERE f <> ''), u AS (SELECT *, len(words) < 3 AS short, unnest(list_concat([len(words)], range(len(words) - 1, 5, -1))) AS n FROM s),
+p AS (SELECT {keys}, short, f4, 2 * (len(words) - n) AS probe, array_to_string(words[1:n], ' ') AS x FROM u WHERE n = len(words) OR length(array_to_string(words[1:n], ' ')) >= 0.8 * length(f)
+      UNION ALL SELECT {keys}, len(words) < 3, f4, 1, {without} FROM s),
+k AS (SELECT {keys}, short, 1 AS r, probe, x AS needle FROM p UNION ALL SELECT {keys}, short, 2, probe, replace(x, ' ', '') FROM p UNION ALL SELECT {keys}, short, 3, probe, {thin.format("replace(x, ' ', '')")} FROM p
+      UNION ALL SELECT {keys}, short, 4, probe, {_BARE} FROM (SELECT {keys}, short, probe, string_split(f4, '') AS l FROM p WHERE probe = 0)),
+m AS (SELECT {keys}, r, probe, strpos(hay, needle) - 1 AS place, length(needle) AS n FROM k JOIN h USING (r) WHERE length(needle) >= 12 AND contains(hay, needle) AND NOT (short AND contains(substring(hay, strpos(hay, needle) + 1), needle))),
+o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY r, probe) = 1),
+y AS (SELECT {keys}, o.r, max(k) FILTER (WHERE start <= place) AS k0, max(k) FILTER (WHERE start <= place + n - 1) AS k1 FROM o JOIN st ON st.r = o.r GROUP BY {keys}, o.r, place, n)
+SELECT {keys}, a.chapter, a.verse AS verse_start, CASE WHEN z.chapter = a.chapter THEN z.verse ELSE a.verse END AS verse_end, CAST(r AS INT) AS reading FROM y JOIN b a ON a.k = k0 JOIN b z ON z.k = k1"""
+
+
+_SENTENCES = """SELECT doc_id, CAST(i AS INT) AS pos, z[i + 1] AS text FROM (SELECT doc_id, z, unnest(range(0, len(z))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.?!؟
+]+[.?!؟]?') AS z FROM documents))"""
+
+
+@query(_cascade_sql("SELECT 1 AS chapter, item_id AS verse, text FROM benchmark", _SENTENCES, "doc_id, pos", _FOLDED, _NO_VOWELS, _NO_VOWELS.format(f"replace({_FOLDED}, ' ', '')")).replace("SELECT doc_id, pos, a.chapter, ", "SELECT doc_id, pos, "))
 def quotation_cascade(spark, d):
     """Benchmark items as the reference text; every document's sentences are looked up in it in four readings."""
     verses = table(spark, d, "benchmark").select(F.lit(1).cast("long").alias("chapter"), F.col("item_id").alias("verse"), "text")
-    index = quotes.build_index(verses, quotes.plain_readings)
     rows = docs(spark, d).select("doc_id", F.posexplode(t.sentences("text")).alias("pos", "quote"))
-    return quotes.identify(rows, index, read=quotes.plain_readings).where("found IS NOT NULL").select("doc_id", "pos", "found.verse_start", "found.verse_end", "found.reading")
+    return seeds.identify(rows, seeds.build(verses, quotes.PLAIN)).where("found IS NOT NULL").select("doc_id", "pos", "found.verse_start", "found.verse_end", "found.reading")
+
+
+#: Latin letters as Arabic ones. The verses are spelt with the marks of a vocalised print, the documents plainly.
+_LATIN, _ARABIC = "abcdefghijklmnopqrstuvwxyzáéíóúñäöü", "ابكدهفغحيجقلمنوثصرستعطوخىزائإؤآةأذض"
+_SPELT = (("سا", "سٰ"), ("زا", "زىٰ"), ("كا", "كَوٰا"), ("ه ", "هِۦ "), ("حي", "حۦ"), ("ب", "بَ"), ("ن", "نۡ"))
+#: How the documents differ, by doc_id: as they are, other word limits, no alefs, an open ta, after a formula.
+_VARIANTS = {1: ("و ", "و"), 2: ("ا", ""), 3: ("ه", "ت")}
+_MARK_SQL = "\\x{064B}-\\x{065F}\\x{0640}\\x{0670}\\x{06D6}-\\x{06DC}\\x{06DF}-\\x{06E4}\\x{06E7}-\\x{06ED}"
+_VOWEL_SQL = "\\x{064B}-\\x{065F}\\x{0640}"
+
+
+def _prepared_sql(x: str) -> str:
+    """The rewrites of quotes.prepare without looking ahead: what follows is taken along."""
+    rules = [(f"ى([{_VOWEL_SQL}]*)ٰ([{_VOWEL_SQL}]*)([^\\s{_MARK_SQL}])", "ا\\1\\2\\3")] * 2
+    rules += [(f"و[{_VOWEL_SQL}]*ٰ[{_VOWEL_SQL}]*ا", "ا"), (f"و[{_VOWEL_SQL}]*ٰ[{_VOWEL_SQL}]*ة", "اة"), (f"([اى])([{_VOWEL_SQL}]*)ٰ", "\\1\\2")]
+    rules += [(f"(ه[{_VOWEL_SQL}]*)ۦ([{_MARK_SQL}]*(?:\\s|$))", "\\1\\2"), ("[ۦۧ]", "ي")]
+    for find, put in rules:
+        x = f"regexp_replace({x}, '{find}', '{put}', 'g')"
+    return x
+
+
+def _folded_sql(x: str) -> str:
+    """The index's form of a text without page tags."""
+    marks = "\\x{0610}-\\x{061A}\\x{064B}-\\x{065F}\\x{0670}\\x{06D6}-\\x{06DC}\\x{06DF}-\\x{06E8}\\x{06EA}-\\x{06ED}"
+    x = f"translate(replace(regexp_replace({x}, '[{marks}]', '', 'g'), 'ـ', ''), 'آأإٱىةؤئء', 'اااايهوي')"
+    return f"trim(regexp_replace(regexp_replace({x}, '[^\\x{{0600}}-\\x{{06FF}}\\x{{0750}}-\\x{{077F}}{_WHITE}_\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]', ' ', 'g'), '[{_WHITE}]+', ' ', 'g'))"
+
+
+def _verses_sql() -> str:
+    x = f"translate(lower(text), '{_LATIN}', '{_ARABIC}')"
+    for find, put in _SPELT:
+        x = f"replace({x}, '{find}', '{put}')"
+    return f"SELECT 1 + item_id // 10 AS chapter, item_id % 10 AS verse, {x} AS text FROM benchmark"
+
+
+_PLAIN_AR = f"translate(lower(text), '{_LATIN}', '{_ARABIC}')"
+_SAID_AR = f"""SELECT doc_id, pos, CASE doc_id % 6 {' '.join(f"WHEN {k} THEN replace(x, '{a}', '{b}')" for k, (a, b) in _VARIANTS.items())} WHEN 4 THEN 'بسم الله الرحمن الرحيم ' || x ELSE x END AS text FROM (SELECT doc_id, pos, {_PLAIN_AR} AS x FROM ({_SENTENCES}))
+UNION ALL SELECT -1 - item_id, 0, {_PLAIN_AR} FROM (SELECT item_id, array_to_string(w[-8:], ' ') || ' ' || array_to_string(next[1:8], ' ') AS text FROM (SELECT item_id, w, lead(w) OVER (ORDER BY item_id) AS next FROM (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark)) WHERE next IS NOT NULL)"""
+_FOLD_AR = _folded_sql(f"translate({_prepared_sql('@')}, 'ٰۥ۞۩\u2009', 'ا')").replace("{", "{{").replace("}", "}}").replace("@", "{0}")
+_LOOSE_AR = "replace(replace(replace(" + _folded_sql(f"regexp_replace({_prepared_sql('@')}, '[ئؤ]|[يو][\u0654\u0655]', '', 'g')") + ", 'ت', 'ه'), ' ', ''), 'ا', '')"
+_LOOSE_AR = _LOOSE_AR.replace("{", "{{").replace("}", "}}").replace("@", "{0}")
+
+
+@query(_cascade_sql(_verses_sql(), _SAID_AR, "doc_id, pos", _FOLD_AR, "replace({0}, 'ا', '')", _LOOSE_AR, list(quotes.FORMULAS)))
+def arabic_cascade(spark, d):
+    """The items as vocalised Arabic in chapters of ten; sentences in plain spelling, and what ends an item and begins the next."""
+    def plain(c):
+        return F.translate(F.lower(c), _LATIN, _ARABIC)
+
+    spelt = plain("text")
+    for find, put in _SPELT:
+        spelt = F.replace(spelt, F.lit(find), F.lit(put))
+    items, x = table(spark, d, "benchmark"), F.col("item_id")
+    verses = items.select((1 + F.floor(x / 10)).cast("long").alias("chapter"), (x % 10).alias("verse"), spelt.alias("text"))
+    said = docs(spark, d).select("doc_id", F.posexplode(t.sentences("text")).alias("pos", "s")).withColumn("x", plain("s"))
+    of, quote = F.col("doc_id") % 6, F.col("x")
+    for k, (find, put) in _VARIANTS.items():
+        quote = F.when(of == k, F.replace("x", F.lit(find), F.lit(put))).otherwise(quote)
+    said = said.select("doc_id", "pos", F.when(of == 4, F.concat(F.lit(quotes.FORMULAS[0] + " "), "x")).otherwise(quote).alias("quote"))
+    words = items.select("item_id", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w"))
+    following = words.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("next"))
+    over = F.concat_ws(" ", F.slice("w", F.greatest(F.lit(1), F.size("w") - 7), 8), F.slice("next", 1, 8))
+    borders = words.join(following, "item_id").select((-1 - x).alias("doc_id"), F.lit(0).alias("pos"), plain(over).alias("quote"))
+    found = seeds.identify(said.unionByName(borders), seeds.build(verses, quotes.ARABIC)).where("found IS NOT NULL")
+    return found.select("doc_id", "pos", "found.*")
 
 
 _LAST_CUT = "CASE WHEN contains(w, {0}) THEN length(w) - strpos(reverse(w), {0}) ELSE -1 END"
@@ -448,13 +525,35 @@ def paragraph_tiling(spark, d):
     return docs(spark, d).select("doc_id", F.explode(segment.tiling(F.coalesce("text", F.lit("")))).alias("r")).select("doc_id", F.col("r")[0].alias("start"), F.col("r")[1].alias("end"))
 
 
-@query()
+def _located(runs: str) -> str:
+    """The runs (f1) with their readings and the first one that stands in the reference text; 0: too short to tell."""
+    return f"""SELECT doc_id, pos, i, e, f1, r2, r3, r4, CASE WHEN length(f1) >= 12 AND contains(h1, f1) THEN 1 WHEN length(r2) >= 12 AND contains(h2, r2) THEN 2 WHEN length(r3) >= 12 AND contains(h3, r3) THEN 3 WHEN length(r4) >= 12 AND contains(h4, r4) THEN 4 WHEN length(r4) < 12 THEN 0 END AS hit
+    FROM h, (SELECT *, {_BARE} AS r4 FROM (SELECT *, string_split(r3, '') AS l FROM (SELECT *, regexp_replace(r2, '[aeiou]', '', 'g') AS r3 FROM (SELECT *, replace(f1, ' ', '') AS r2 FROM ({runs})))))"""
+
+
+_JOINED = "array_to_string(list_filter(x[i:{0}], lambda y: y <> ''), ' ')"
+
+
+# Runs of six words that stand in a reading, and every longer one while they do, or while they are too short to tell.
+@query(
+    f"""WITH RECURSIVE b AS (SELECT item_id, {_FOLDED.format('text')} AS f FROM benchmark),
+v AS (SELECT item_id, f AS r1, replace(f, ' ', '') AS r2, regexp_replace(replace(f, ' ', ''), '[aeiou]', '', 'g') AS r3 FROM b), w AS (SELECT *, {_BARE} AS r4 FROM (SELECT *, string_split(r3, '') AS l FROM v)),
+h AS MATERIALIZED (SELECT string_agg(r1, ' ' ORDER BY item_id) AS h1, string_agg(r2, '' ORDER BY item_id) AS h2, string_agg(r3, '' ORDER BY item_id) AS h3, string_agg(r4, '' ORDER BY item_id) AS h4 FROM w),
+st AS (SELECT r, item_id, sum(n) OVER (PARTITION BY r ORDER BY item_id) - n AS start FROM (SELECT 1 AS r, item_id, length(r1) + 1 AS n FROM w UNION ALL SELECT 2, item_id, length(r2) FROM w UNION ALL SELECT 3, item_id, length(r3) FROM w UNION ALL SELECT 4, item_id, length(r4) FROM w)),
+q AS MATERIALIZED (SELECT doc_id, pos, list_transform(x, lambda y: {_FOLDED.format('y')}) AS x FROM (SELECT doc_id, i AS pos, list_filter(string_split_regex(z[i + 1], '[{_WHITE}]+'), lambda y: y <> '') AS x FROM (SELECT doc_id, z, unnest(range(0, len(z))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.?!؟
+]+[.?!؟]?') AS z FROM documents))) WHERE len(x) >= 6),
+r AS ({_located("SELECT doc_id, pos, i, i + 5 AS e, " + _JOINED.format('i + 5') + " AS f1 FROM (SELECT doc_id, pos, x, unnest(range(1, len(x) - 4)) AS i FROM q)")}
+      UNION ALL {_located("SELECT r.doc_id, r.pos, r.i, r.e + 1 AS e, " + _JOINED.format('e + 1') + " AS f1 FROM r JOIN q ON q.doc_id = r.doc_id AND q.pos = r.pos WHERE hit IS NOT NULL AND r.e < len(x)")}),
+o AS (SELECT * FROM (SELECT * FROM r WHERE hit > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY e - i DESC, i) = 1) WHERE length(f1) >= 30),
+p AS (SELECT o.*, strpos([h1, h2, h3, h4][hit], [f1, r2, r3, r4][hit]) - 1 AS place FROM o, h)
+SELECT doc_id, CAST(pos AS INT) AS pos, CAST(i - 1 AS INT) AS first, CAST(e AS INT) AS last, max(item_id) AS verse FROM p JOIN st ON st.r = p.hit AND start <= place GROUP BY doc_id, pos, i, e"""
+)
 def longest_run(spark, d):
     """The longest run of each sentence that stands word for word in the benchmark items."""
     verses = table(spark, d, "benchmark").select(F.lit(1).cast("long").alias("chapter"), F.col("item_id").alias("verse"), "text")
-    known = spark.sparkContext.broadcast(quotes.build_index(verses, quotes.plain_readings))
     rows = docs(spark, d).select("doc_id", F.posexplode(t.sentences("text")).alias("pos", "quote"))
-    return rows.select("doc_id", "pos", spans.runs("quote", known, quotes.plain_readings).alias("run")).where("run.first IS NOT NULL").select("doc_id", "pos", "run.first", "run.last", "run.verse")
+    found = seeds.longest_runs(rows, seeds.build(verses, quotes.PLAIN)).where("run IS NOT NULL")
+    return found.select("doc_id", "pos", "run.first", "run.last", "run.verse")
 
 
 @query("SELECT place, count(*) AS n FROM (SELECT c_nationkey AS place FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1")

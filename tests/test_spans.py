@@ -1,21 +1,21 @@
 from pyspark.sql import functions as F
 
-from quillspan.operators import quotes, small, spans
+from quillspan.operators import quotes, seeds, small, spans
 
 VERSES = [(1, 1, "In the beginning the light was made upon the waters"), (1, 2, "and darkness fled before the morning star"), (2, 1, "A righteous keeper tends the sheep and guards the gate")]
 
 
 def test_original_spans(spark):
-    index = quotes.build_index(spark.createDataFrame(VERSES, "chapter long, verse long, text string"), quotes.plain_readings)
+    index = seeds.build(spark.createDataFrame(VERSES, "chapter long, verse long, text string"), quotes.PLAIN)
     text = "He said {darkness fled before the morning star} and {he told that darkness fled before the morning star a righteous man knew} and {by my word}"
     df = spark.createDataFrame([("a", text), ("b", "no quotation")], "id string, text string")
     over = spark.createDataFrame([("a", "by my word", "2:1")], "id string, quote string, is string")
-    got = spans.original_spans(df, index, "id", overrides=over, read=quotes.plain_readings).orderBy("start").collect()
+    got = spans.original_spans(df, index, "id", overrides=over).orderBy("start").collect()
     assert [r["ref"] for r in got] == ["1:2", "narration", "2:1"] and text[got[0]["start"] : got[0]["end"]] == "{darkness fled before the morning star}"
     words = "he told that darkness fled before the morning star a righteous man knew".split()
     run = got[1]["run"]
     assert words[run["first"] : run["last"]] == "darkness fled before the morning star a righteous".split() and (run["chapter"], run["verse"]) == (1, 2)
-    numbers = spans.number_refs(spans.original_spans(df, index, "id", overrides=over, read=quotes.plain_readings), "id").orderBy("number").collect()
+    numbers = spans.number_refs(spans.original_spans(df, index, "id", overrides=over), "id").orderBy("number").collect()
     assert [(r["ref"], r["number"]) for r in numbers] == [("1:2", 0), ("2:1", 1)]
 
 
