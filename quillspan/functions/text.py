@@ -239,7 +239,7 @@ def confidence(best) -> Column:
 
 def highlight(x, words: list[str]) -> Column:
     """Wraps whole Latin words and Arabic letter sequences (any form, with or without marks) in <mark>, after escaping."""
-    forms = {"ا": "[اأإآٱ]", "ي": "[يىئی]", "و": "[وؤ]", "ه": "[هة]"}
+    forms = {"ا": "[اأإآٱ]", "ي": "[يىئی]", "و": "[وؤ]", "ه": "[هة]"}  # fixed values: the forms of a letter that count as one
     between = "[ؐ-ًؚ-ٰٟۖ-ۭـ]*"
     parts = [between.join(forms.get(c, re.escape(c)) for c in w) if re.search("[؀-ۿ]", w) else rf"(?<![A-Za-z0-9_]){re.escape(w)}(?![A-Za-z0-9_])" for w in words]
     t = escape_html(x)

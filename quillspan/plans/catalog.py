@@ -10,7 +10,7 @@ from ..operators import quotes, relational, retrieve, seeds, segment
 from ..sources import publish
 from ..sources.readers import table
 from ..streaming import events
-from .registry import ORACLE_SQL, QUERIES, docs, query
+from .registry import ORACLE_SQL, QUERIES, WHITE, docs, query
 
 TERMS = ["thand", "erin", "tion", "heer"]
 
@@ -399,8 +399,6 @@ def lexical_similar(spark, d):
     return retrieve.similar_by_words(_records(spark, d), "id", t.ascii_tokens("text"), F.col("source"), 3)
 
 
-#: White space as Unicode has it.
-_WHITE = "\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _BARE = "array_to_string(list_filter(l, lambda c, i: i = 1 OR c <> l[i - 1]), '')"
 
 
@@ -464,7 +462,7 @@ def _folded_sql(x: str) -> str:
     """The index's form of a text without page tags."""
     marks = "\\x{0610}-\\x{061A}\\x{064B}-\\x{065F}\\x{0670}\\x{06D6}-\\x{06DC}\\x{06DF}-\\x{06E8}\\x{06EA}-\\x{06ED}"
     x = f"translate(replace(regexp_replace({x}, '[{marks}]', '', 'g'), 'ـ', ''), 'آأإٱىةؤئء', 'اااايهوي')"
-    return f"trim(regexp_replace(regexp_replace({x}, '[^\\x{{0600}}-\\x{{06FF}}\\x{{0750}}-\\x{{077F}}{_WHITE}_\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]', ' ', 'g'), '[{_WHITE}]+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace({x}, '[^\\x{{0600}}-\\x{{06FF}}\\x{{0750}}-\\x{{077F}}{WHITE}_\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]', ' ', 'g'), '[{WHITE}]+', ' ', 'g'))"
 
 
 def _verses_sql() -> str:
@@ -526,28 +524,36 @@ def paragraph_tiling(spark, d):
 
 
 def _located(runs: str) -> str:
-    """The runs (f1) with their readings and the first one that stands in the reference text; 0: too short to tell."""
-    return f"""SELECT doc_id, pos, i, e, f1, r2, r3, r4, CASE WHEN length(f1) >= 12 AND contains(h1, f1) THEN 1 WHEN length(r2) >= 12 AND contains(h2, r2) THEN 2 WHEN length(r3) >= 12 AND contains(h3, r3) THEN 3 WHEN length(r4) >= 12 AND contains(h4, r4) THEN 4 WHEN length(r4) < 12 THEN 0 END AS hit
-    FROM h, (SELECT *, {_BARE} AS r4 FROM (SELECT *, string_split(r3, '') AS l FROM (SELECT *, regexp_replace(r2, '[aeiou]', '', 'g') AS r3 FROM (SELECT *, replace(f1, ' ', '') AS r2 FROM ({runs})))))"""
+    """The runs (f1) with their readings and the first one that stands in the reference text; 0: too short to tell. What a run begins
+    with is looked up among the reference's runs of 12 characters first."""
+    forms = ("f1", "r2", "r3", "r4")
+    tests = " ".join(f"WHEN g{k}.g IS NOT NULL AND contains(h{k}, {x}) THEN {k}" for k, x in enumerate(forms, 1))
+    joins = " ".join(f"LEFT JOIN g g{k} ON g{k}.r = {k} AND length({x}) >= 12 AND g{k}.g = left({x}, 12)" for k, x in enumerate(forms, 1))
+    return f"""SELECT doc_id, pos, i, e, f1, r2, r3, r4, CASE {tests} WHEN length(r4) < 12 THEN 0 END AS hit
+    FROM (SELECT *, {_BARE} AS r4 FROM (SELECT *, string_split(r3, '') AS l FROM (SELECT *, regexp_replace(r2, '[aeiou]', '', 'g') AS r3 FROM (SELECT *, replace(f1, ' ', '') AS r2 FROM ({runs}))))) {joins}, h"""
 
 
 _JOINED = "array_to_string(list_filter(x[i:{0}], lambda y: y <> ''), ' ')"
 
 
 # Runs of six words that stand in a reading, and every longer one while they do, or while they are too short to tell.
-@query(
-    f"""WITH RECURSIVE b AS (SELECT item_id, {_FOLDED.format('text')} AS f FROM benchmark),
+def _longest_sql(said: str) -> str:
+    return f"""WITH RECURSIVE b AS (SELECT item_id, {_FOLDED.format('text')} AS f FROM benchmark),
 v AS (SELECT item_id, f AS r1, replace(f, ' ', '') AS r2, regexp_replace(replace(f, ' ', ''), '[aeiou]', '', 'g') AS r3 FROM b), w AS (SELECT *, {_BARE} AS r4 FROM (SELECT *, string_split(r3, '') AS l FROM v)),
 h AS MATERIALIZED (SELECT string_agg(r1, ' ' ORDER BY item_id) AS h1, string_agg(r2, '' ORDER BY item_id) AS h2, string_agg(r3, '' ORDER BY item_id) AS h3, string_agg(r4, '' ORDER BY item_id) AS h4 FROM w),
 st AS (SELECT r, item_id, sum(n) OVER (PARTITION BY r ORDER BY item_id) - n AS start FROM (SELECT 1 AS r, item_id, length(r1) + 1 AS n FROM w UNION ALL SELECT 2, item_id, length(r2) FROM w UNION ALL SELECT 3, item_id, length(r3) FROM w UNION ALL SELECT 4, item_id, length(r4) FROM w)),
-q AS MATERIALIZED (SELECT doc_id, pos, list_transform(x, lambda y: {_FOLDED.format('y')}) AS x FROM (SELECT doc_id, i AS pos, list_filter(string_split_regex(z[i + 1], '[{_WHITE}]+'), lambda y: y <> '') AS x FROM (SELECT doc_id, z, unnest(range(0, len(z))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.?!؟
-]+[.?!؟]?') AS z FROM documents))) WHERE len(x) >= 6),
+q0 AS MATERIALIZED (SELECT doc_id, pos, list_transform(x, lambda y: {_FOLDED.format('y')}) AS x FROM (SELECT doc_id, pos, list_filter(string_split_regex(text, '[{WHITE}]+'), lambda y: y <> '') AS x FROM ({said})) WHERE len(x) >= 6),
+g AS MATERIALIZED (SELECT DISTINCT r, hay[i:i + 11] AS g FROM (SELECT r, hay, unnest(range(1, length(hay) - 10)) AS i FROM (SELECT unnest([1, 2, 3, 4]) AS r, unnest([h1, h2, h3, h4]) AS hay FROM h))),
+n AS (SELECT doc_id, pos, unnest([f1, r2, r3, r4]) AS form, unnest([1, 2, 3, 4]) AS r FROM (SELECT *, {_BARE} AS r4 FROM (SELECT *, string_split(r3, '') AS l FROM (SELECT *, regexp_replace(r2, '[aeiou]', '', 'g') AS r3 FROM (SELECT *, replace(f1, ' ', '') AS r2 FROM (SELECT doc_id, pos, array_to_string(list_filter(x, lambda y: y <> ''), ' ') AS f1 FROM q0)))))),
+q AS MATERIALIZED (SELECT q0.* FROM q0 SEMI JOIN (SELECT doc_id, pos FROM (SELECT doc_id, pos, r, form[i:i + 11] AS g FROM (SELECT *, unnest(range(1, length(form) - 10)) AS i FROM n)) SEMI JOIN g USING (r, g)) USING (doc_id, pos)),
 r AS ({_located("SELECT doc_id, pos, i, i + 5 AS e, " + _JOINED.format('i + 5') + " AS f1 FROM (SELECT doc_id, pos, x, unnest(range(1, len(x) - 4)) AS i FROM q)")}
       UNION ALL {_located("SELECT r.doc_id, r.pos, r.i, r.e + 1 AS e, " + _JOINED.format('e + 1') + " AS f1 FROM r JOIN q ON q.doc_id = r.doc_id AND q.pos = r.pos WHERE hit IS NOT NULL AND r.e < len(x)")}),
 o AS (SELECT * FROM (SELECT * FROM r WHERE hit > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY e - i DESC, i) = 1) WHERE length(f1) >= 30),
 p AS (SELECT o.*, strpos([h1, h2, h3, h4][hit], [f1, r2, r3, r4][hit]) - 1 AS place FROM o, h)
 SELECT doc_id, CAST(pos AS INT) AS pos, CAST(i - 1 AS INT) AS first, CAST(e AS INT) AS last, max(item_id) AS verse FROM p JOIN st ON st.r = p.hit AND start <= place GROUP BY doc_id, pos, i, e"""
-)
+
+
+@query(_longest_sql(_SENTENCES))
 def longest_run(spark, d):
     """The longest run of each sentence that stands word for word in the benchmark items."""
     verses = table(spark, d, "benchmark").select(F.lit(1).cast("long").alias("chapter"), F.col("item_id").alias("verse"), "text")
@@ -590,6 +596,6 @@ def result_page(spark, d):
     return relational.page(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 3)
 
 
-from . import flows, texts  # noqa: E402, F401  their queries register themselves
+from . import flows, records, spans, texts  # noqa: E402, F401  their queries register themselves
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

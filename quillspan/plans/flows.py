@@ -13,7 +13,7 @@ from ..functions import text as t
 from ..operators import corrections, quotes, relational, retrieve, segment, small, spans
 from ..sources import publish
 from ..sources.readers import table
-from .registry import docs, query
+from .registry import WHITE, docs, query
 
 
 @query("SELECT doc_id FROM documents WHERE lang = 'en' AND source = (SELECT min(source) FROM documents) AND doc_id IN (SELECT doc_id FROM labels)")
@@ -225,17 +225,17 @@ def _marked(c="text"):
     return F.regexp_replace(c, r"(?<![a-zA-Z0-9_])([a-z]+ [a-z]+ [a-z]+)\.", "{$1}.")
 
 
-_BRACES = f"""m AS (SELECT doc_id, x, regexp_extract_all(x, '\\{{[^{{}}]+\\}}') AS b, string_split_regex(x, '\\{{[^{{}}]+\\}}') AS g FROM (SELECT doc_id, {_MARKED} AS x FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))),
+_BRACES = f"""m AS (SELECT doc_id, x, regexp_extract_all(x, '\\{{[^{{}}]+\\}}') AS b, string_split_regex(x, '\\{{[^{{}}]+\\}}') AS g FROM (SELECT doc_id, {_MARKED} AS x FROM documents)),
 b AS (SELECT doc_id, x, i, b[i] AS b, list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(b[1:i - 1], lambda z: length(z))), 0) AS s FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM m))"""
 
 
-def _ascii_docs(spark, d):
-    return docs(spark, d).where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", _marked().alias("x"))
+def _marked_docs(spark, d):
+    return docs(spark, d).select("doc_id", _marked().alias("x"))
 
 
 @query(f'WITH {_BRACES} SELECT doc_id, CAST(s AS INT) AS start, CAST(s + length(b) AS INT) AS "end", trim(b, \'{{}}\') AS quote FROM b')
 def brace_spans(spark, d):
-    return spans.braces(_ascii_docs(spark, d), ["doc_id"], "x")
+    return spans.braces(_marked_docs(spark, d), ["doc_id"], "x")
 
 
 @query(
@@ -243,13 +243,13 @@ def brace_spans(spark, d):
 r AS (SELECT doc_id, 2 * n AS n, substring(x, CAST(before AS INT) + 1, CAST(s - before AS INT)) AS run, 0 AS kind FROM k
       UNION ALL SELECT doc_id, 2 * n + 1, CASE WHEN verse = 1 THEN '﴿' || trim(b, '{{}}') || '﴾' ELSE '«' || trim(b, '{{}}') || '»' END, CASE WHEN verse = 1 THEN 1 ELSE 2 END FROM k
       UNION ALL SELECT doc_id, 2 * max(n) + 2, substring(any_value(x), CAST(max(e) AS INT) + 1), 0 FROM k GROUP BY 1),
-c AS (SELECT *, regexp_replace(run, '\\s+', ' ', 'g') AS y FROM r WHERE run <> ''),
+c AS (SELECT *, regexp_replace(run, '[{WHITE}]+', ' ', 'g') AS y FROM r WHERE run <> ''),
 o AS (SELECT *, min(CASE WHEN trim(y) <> '' THEN n END) OVER (PARTITION BY doc_id) AS lo, max(CASE WHEN trim(y) <> '' THEN n END) OVER (PARTITION BY doc_id) AS hi FROM c)
-SELECT doc_id, sha256(string_agg(kind || ':' || CASE WHEN n = hi AND kind = 0 THEN regexp_replace(y, '\\s+([.؟?!])$', '\\1') ELSE y END, '|' ORDER BY n)) AS segments FROM o WHERE n BETWEEN lo AND hi GROUP BY 1"""
+SELECT doc_id, sha256(string_agg(kind || ':' || CASE WHEN n = hi AND kind = 0 THEN regexp_replace(y, '[{WHITE}]+([.؟?!])$', '\\1') ELSE y END, '|' ORDER BY n)) AS segments FROM o WHERE n BETWEEN lo AND hi GROUP BY 1"""
 )
 def rendered_runs(spark, d):
     """Every other brace of a document as a verse, the rest as narrations, and the prose between."""
-    found = spans.braces(_ascii_docs(spark, d), ["doc_id", "x"], "x")
+    found = spans.braces(_marked_docs(spark, d), ["doc_id", "x"], "x")
     own = F.struct("start", "end", F.lit(0).alias("ref"), F.lit(0).alias("kind"))
     per = found.groupBy("doc_id", "x").agg(F.array_sort(F.collect_list(own)).alias("s"))
     numbered = F.transform("s", lambda s, i: s.withField("ref", F.when(i % 2 == 0, 0).otherwise(-1)))
@@ -260,15 +260,17 @@ def rendered_runs(spark, d):
 
 @query(
     f"""WITH {_BRACES}, w AS (SELECT doc_id, s, s + length(b) AS e, (length(x) // 3) AS lo, 2 * (length(x) // 3) AS hi FROM b)
-SELECT doc_id, count(*) AS n, sha256(string_agg(CAST(s - lo AS BIGINT) || '-' || CAST(e - lo AS BIGINT), ',' ORDER BY s)) AS x FROM w WHERE s >= lo AND e <= hi GROUP BY 1"""
+SELECT doc_id, count(*) AS n, sha256(string_agg(CAST(s - lo AS BIGINT) || '-' || CAST(e - lo AS BIGINT) || '+' || CAST(s + 1 - lo AS BIGINT) || '-' || CAST(e - 1 - lo AS BIGINT), ',' ORDER BY s)) AS x FROM w WHERE s >= lo AND e <= hi GROUP BY 1"""
 )
 def rebased_spans(spark, d):
-    """The braces in the middle third of every document, counted from where that begins."""
-    found = spans.braces(_ascii_docs(spark, d), ["doc_id", "x"], "x")
-    own = F.struct("start", "end", F.lit(0).alias("ref"), F.lit(0).alias("kind"), F.lit(None).cast("array<struct<start:int,end:int,ref:int>>").alias("runs"))
+    """The braces in the middle third of every document and the runs inside them, counted from where that begins."""
+    found = spans.braces(_marked_docs(spark, d), ["doc_id", "x"], "x")
+    runs = F.array(F.struct((F.col("start") + 1).alias("start"), (F.col("end") - 1).alias("end"), F.lit(0).alias("ref")))
+    own = F.struct("start", "end", F.lit(0).alias("ref"), F.lit(0).alias("kind"), runs.alias("runs"))
     third = F.floor(F.length("x") / 3).cast("int")
     per = found.groupBy("doc_id", "x").agg(F.collect_list(own).alias("s")).select("doc_id", quotes.rebase(F.col("s"), third, 2 * third).alias("s")).where(F.size("s") > 0)
-    said = F.transform("s", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string")))
+    place = lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))
+    said = F.transform("s", lambda r: F.concat(place(r), F.lit("+"), place(r["runs"][0])))
     return per.select("doc_id", F.size("s").cast("long").alias("n"), F.sha2(F.array_join(said, ","), 256).alias("x"))
 
 
@@ -351,8 +353,8 @@ def translated(spark, d):
     return models.translate(rows, cache, "doc_id", "text")[0].select("doc_id", "en", "engine")
 
 
-@query("WITH z AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '([.!?؟؛])\\s+', '\\1' || chr(10), 'g') AS x FROM conversations) SELECT conv_id * 1000 + turn AS k, coalesce(array_to_string(list_filter(list_transform(regexp_split_to_array(upper(x), '\\n+'), lambda s: trim(s, ' ' || chr(9) || chr(13))), lambda s: s <> ''), ' '), '') AS en FROM z WHERE NOT contains(x, 'ß')")
+@query(f"WITH z AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '([.!?؟؛])[{WHITE}]+', '\\1' || chr(10), 'g') AS x FROM conversations) SELECT conv_id * 1000 + turn AS k, coalesce(array_to_string(list_filter(list_transform(regexp_split_to_array(replace(upper(replace(x, 'ß', chr(1))), chr(1), 'SS'), '\\n+'), lambda s: regexp_replace(s, '^[{WHITE}]+|[{WHITE}]+$', '', 'g')), lambda s: s <> ''), ' '), '') AS en FROM z")
 def translated_sentences(spark, d):
-    """Every turn but those with a letter whose capital form is two letters in one engine and one in the other."""
-    rows = table(spark, d, "conversations").where(~F.contains(F.coalesce("text", F.lit("")), F.lit("ß")))
+    """Every turn, with a sharp s in capitals as two letters."""
+    rows = table(spark, d, "conversations")
     return models.translate_sentences(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text"), "k", "text")

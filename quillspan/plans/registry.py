@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.readers import spread, table
 
+#: White space as Unicode has it, in a character class of DuckDB's regular expressions.
+WHITE = "\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 

@@ -183,9 +183,14 @@ def json_dashes(spark, d):
     return table(spark, d, "events").select("event_id", t.clean_json_dashes(raw).alias("j"))
 
 
-@query("SELECT doc_id, sha256(regexp_replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)\\b(thand|tion)\\b', '<mark>\\1</mark>', 'g')) AS x FROM documents WHERE lang = 'en'")
+# A word stands between characters that are no ASCII letters, numbers or underlines; two in a row need two passes, as the first takes the border.
+_ESCAPED = "replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_ONE_WORD = "'(?i)(^|[^A-Za-z0-9_])(thand|tion)($|[^A-Za-z0-9_])', '\\1<mark>\\2</mark>\\3', 'g'"
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(regexp_replace({_ESCAPED}, {_ONE_WORD}), {_ONE_WORD.replace('(^|[^A-Za-z0-9_])', '(^|[^A-Za-z0-9_>])')})) AS x FROM documents")
 def highlights(spark, d):
-    return docs(spark, d).where("lang = 'en'").select("doc_id", F.sha2(t.highlight("text", ["thand", "tion"]), 256).alias("x"))
+    return docs(spark, d).select("doc_id", F.sha2(t.highlight("text", ["thand", "tion"]), 256).alias("x"))
 
 
 # --- headings, topics and openers
@@ -201,11 +206,11 @@ def clean_headings(spark, d):
     return _one(spark, d, heading=segment.clean_heading(raw))
 
 
-_PATH = "[CASE WHEN lang = 'fr' THEN 'كتاب ' || source ELSE source END, CASE WHEN doc_id % 3 = 0 THEN 'فصل' WHEN doc_id % 3 = 1 THEN '' ELSE 'باب ' || lang END, CASE WHEN length(lang) = 2 AND doc_id % 2 = 0 THEN 'مسألة في ' || lang ELSE '[' || lang || ']' END]"
+_PATH = "[CASE WHEN lang = 'fr' THEN 'كتاب ' || source || ' (*)' ELSE '- ' || source || ' :' END, CASE WHEN doc_id % 3 = 0 THEN '- فصل -' WHEN doc_id % 3 = 1 THEN '( ** )' ELSE '[باب ' || lang || ' (*)].' END, CASE WHEN doc_id % 2 = 0 THEN 'مسألة في ' || lang WHEN doc_id % 5 = 0 THEN '(*)' ELSE '[' || lang || ']،' END]"
 
 
 @query(
-    f"""WITH p AS (SELECT doc_id, list_transform({_PATH}, lambda h: CASE WHEN starts_with(h, '[') THEN trim(h, '[]') ELSE h END) AS p FROM documents),
+    f"""WITH p AS (SELECT doc_id, list_transform({_PATH}, lambda h: trim(regexp_replace(h, '\\(\\s*\\*+\\s*\\)', '', 'g'), ' :：،.-–—[]')) AS p FROM documents),
 g AS (SELECT doc_id, p, list_filter(p, lambda h: h <> '' AND NOT regexp_matches(h, '^(فصل|مسألة)( |$)')) AS named, list_filter(p, lambda h: starts_with(h, 'كتاب') OR starts_with(h, 'باب')) AS book FROM p)
 SELECT doc_id, coalesce(named[-1], p[-1]) AS topic, coalesce(book[1], named[1], '') AS category FROM g"""
 )
@@ -218,10 +223,14 @@ _Q = "CASE WHEN length(text) % 3 = 0 THEN 'سئل الشيخ: ' || text WHEN len
 _A = "CASE WHEN length(text) % 3 = 0 THEN 'فأجاب: ' || text WHEN length(text) % 3 = 1 THEN 'أجاب رحمه الله: ' || text ELSE text || ' (**)' END"
 
 
-@query("SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\\(\\s*\\*+\\s*\\)', '', 'g'), '^[ :،\\-–—*\\n]+|[ :،\\-–—*\\n]+$', '', 'g') AS x FROM conversations WHERE text IS NOT NULL AND NOT contains(text, ':')")
+@query(
+    f"""WITH x AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), y AS (SELECT *, strpos(left('وسئل - ' || text, 220), ':') AS colon FROM x),
+z AS (SELECT conv_id, turn, CASE WHEN role = 'user' AND length(text) % 3 = 1 AND colon > 0 THEN substring('وسئل - ' || text, colon + 1) ELSE text END AS x FROM y)
+SELECT conv_id, turn, regexp_replace(regexp_replace(x, '\\(\\s*\\*+\\s*\\)', '', 'g'), '^[ :،\\-–—*\\n]+|[ :،\\-–—*\\n]+$', '', 'g') AS x FROM z"""
+)
 def question_answer_labels(spark, d):
-    """Turns behind labels by rule: what is left without them is the turn."""
-    rows = table(spark, d, "conversations").where("text IS NOT NULL AND NOT contains(text, ':')")
+    """Turns behind labels by rule: what is left without them is the turn, or what follows its first colon where that ends a label."""
+    rows = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     q, a = segment.clean_question(F.expr(_Q)), segment.clean_answer(F.expr(_A))
     return rows.select("conv_id", "turn", F.when(F.col("role") == "user", q).otherwise(a).alias("x"))
 
@@ -266,5 +275,5 @@ def index_entries(spark, d):
     size, key, s = F.col("p_size"), F.col("p_partkey"), lambda c: c.cast("string")
     one = F.concat(F.lit("- "), F.col("p_name"), F.lit(" "), s(size), F.lit(" / "), s(key % 900), F.lit(" - "), s(key % 900 + size - 5))
     many = F.concat("p_name", F.lit(" "), s(size), F.lit(" / "), s(size + 1), F.lit(" / "), s(size + 2))
-    rows = table(spark, d, "part").where((key % 2 == 1) | (key % 900 + size - 5).between(0, 999)).select(key.alias("seq"), F.lit(0).alias("vol"), F.when(key % 2 == 0, one).otherwise(many).alias("text"))
+    rows = table(spark, d, "part").select(key.alias("seq"), F.lit(0).alias("vol"), F.when(key % 2 == 0, one).otherwise(many).alias("text"))
     return segment.interval_dimension(rows)

@@ -3,6 +3,7 @@ import os
 import random
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,11 +89,11 @@ def test_align_equals_brute_force():
         n = r.randint(1, 4)
         m = r.randint(n, 6)
         s = [[r.choice([0, 0.2, 0.35, 0.5, 0.9]) for _ in range(m)] for _ in range(n)]
-        got = quotes.align(s)
+        got = quotes.align(np.array(s))
         assert got == sorted(set(got)) and len(got) == n
         best = max(sum(s[i][c] for i, c in enumerate(cols)) for cols in itertools.combinations(range(m), n))
         assert abs(sum(s[i][c] for i, c in enumerate(got)) - best) < 1e-9
-    assert quotes.align([[0.9], [0.9]]) == [None, None] and quotes.align([[0.1]]) == [0] and quotes.align([[0.5, 0.5]]) == [0]
+    assert quotes.align(np.array([[0.9], [0.9]])) == [None, None] and quotes.align(np.array([[0.1]])) == [0] and quotes.align(np.array([[0.5, 0.5]])) == [0]
 
 
 def test_rebase(spark):

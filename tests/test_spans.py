@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from quillspan.operators import quotes, seeds, small, spans
@@ -19,37 +22,90 @@ def test_original_spans(spark):
     assert [(r["ref"], r["number"]) for r in numbers] == [("1:2", 0), ("2:1", 1)]
 
 
-def test_anchors_grow_over_gaps():
+def _anchor(spark, text, auth):
+    got = spans.anchored(spark.createDataFrame([(1, text)], "id int, text string"), spark.createDataFrame([(1, 0, auth)], "id int, ref int, said string"), "id").collect()
+    return (got[0]["start"], got[0]["end"]) if got else None
+
+
+def test_anchors_grow_over_gaps(spark):
     auth = "one two three four five six seven eight nine ten eleven twelve"
-    text = 'x two THREE other five six seven eight nine ten changed twelve y'
-    a, b = spans.anchored(text, auth)
+    text = "x two THREE other five six seven eight nine ten changed twelve y"
+    a, b = _anchor(spark, text, auth)
     assert text[a:b] == "two THREE other five six seven eight nine ten changed twelve"
-    assert spans.anchored(text + " five six seven eight nine ten", auth) is None
+    assert _anchor(spark, text + " five six seven eight nine ten", auth) is None
     marked = 'he said "so two three four five six seven eight" then'
-    a, b = spans.anchored(marked, auth)
+    a, b = _anchor(spark, marked, auth)
     assert marked[a:b] == "so two three four five six seven eight"
-    assert spans.anchored("nothing alike", auth) is None
+    assert _anchor(spark, "nothing alike", auth) is None and _anchor(spark, None, auth) is None and _anchor(spark, text, None) is None
+
+
+def _grow(auth, words, i, j, step):
+    n, gaps = 0, 3
+    while 0 <= i < len(auth) and 0 <= j < len(words):
+        if auth[i] == words[j]:
+            n, i, j = n + 1, i + step, j + step
+        elif gaps and 0 <= i + step < len(auth) and 0 <= j + step < len(words) and auth[i + step] == words[j + step]:
+            n, gaps, i, j = n + 2, gaps - 1, i + 2 * step, j + 2 * step
+        else:
+            break
+    return n
+
+
+def test_anchors_against_plain_growth(spark):
+    r, rows, refs, want = random.Random(8), [], [], {}
+    for k in range(150):
+        auth = [r.choice("abcdefgh") + r.choice("xyz") for _ in range(r.choice([3, 6, 20, 40]))]
+        words = list(auth)
+        for _ in range(r.randint(0, 8)):
+            words[r.randrange(len(words))] = "q"
+        words = [r.choice("xy") for _ in range(r.randint(0, 3))] + words[r.randint(0, 4) :] + ["z"] * r.randint(0, 2)
+        gap = lambda: r.choice([" ", ", ", "\n", " é ", "--"])
+        text = "É " + "".join(w + gap() for w in words)
+        rows.append((k, text))
+        refs.append((k, 5, " ".join(auth)))
+        at = next((i for i in range(len(auth) - 5) if any(words[j : j + 6] == auth[i : i + 6] for j in range(len(words)))), None)
+        if at is not None:
+            places = [j for j in range(len(words) - 5) if words[j : j + 6] == auth[at : at + 6]]
+            if len(places) == 1:
+                a, z = places[0] - _grow(auth, words, at - 1, places[0] - 1, -1), places[0] + 5 + _grow(auth, words, at + 6, places[0] + 6, 1)
+                found = list(re.finditer("[a-z0-9]+", text.lower()))
+                want[k] = (found[a].start(), found[z].end())
+    got = spans.anchored(spark.createDataFrame(rows, "id int, text string"), spark.createDataFrame(refs, "id int, ref int, said string"), "id").collect()
+    assert {x["id"]: (x["start"], x["end"]) for x in got} == want and len(want) > 50
+
+
+def _translated(spark, rows):
+    """rows: text, [(ref, text)], marks."""
+    texts = spark.createDataFrame([(i, x[0]) for i, x in enumerate(rows)], "id int, text string")
+    refs = spark.createDataFrame([(i, *p) for i, x in enumerate(rows) for p in x[1]], "id int, ref int, said string")
+    marks = spark.createDataFrame([(i, n, m) for i, x in enumerate(rows) for n, m in enumerate(x[2])], "id int, pos int, ref int")
+    return spans.segments(spans.translated_spans(texts, refs, marks, "id"), "text").orderBy("id").collect()
 
 
 def test_translated_spans_and_segments(spark):
     refs = [(0, "the light was made upon the waters"), (1, "darkness fled before the morning star"), (2, "a righteous keeper tends the sheep and guards the gate")]
     text = "He {the light was made upon waters} and {someone spoke} , for a righteous keeper tends the sheep always ."
-    df = spark.createDataFrame([(text, [{"ref": k, "text": x} for k, x in refs], [0, -1])], "text string, refs array<struct<ref:int,text:string>>, marks array<int>")
-    got = spans.segments(spans.translated_spans(df, "text", "refs", "marks"), "text").first()
+    got = _translated(spark, [(text, refs, [0, -1])])[0]
     assert [(s["ref"], s["kind"]) for s in got["spans"]] == [(0, 0), (-1, 0), (2, 1)]
     assert text[got["spans"][2]["start"] : got["spans"][2]["end"]] == "a righteous keeper tends the sheep"
     assert [tuple(x) for x in got["segments"]] == [("He ", 0), ("﴿the light was made upon waters﴾", 1), (" and ", 0), ("«someone spoke»", 2), (" , for ", 0), ("﴿a righteous keeper tends the sheep﴾", 1), (" always.", 0)]
 
 
 def test_aligned_marks_and_odd_segments(spark):
-    refs = [{"ref": 0, "text": "the light was made upon the waters"}, {"ref": 1, "text": "darkness fled before the star"}]
-    schema = "text string, refs array<struct<ref:int,text:string>>, marks array<int>"
+    refs = [(0, "the light was made upon the waters"), (1, "darkness fled before the star")]
     rows = [("{the light was made} {someone spoke}", refs, [0, 1]), ("{darkness fled}", refs, [0, 1]), ("{a} {b}", refs, [0]), (None, refs, []), ("  plain \n words  .", refs, [])]
-    got = spans.segments(spans.translated_spans(spark.createDataFrame(rows, schema), "text", "refs", "marks"), "text").collect()
+    got = _translated(spark, rows)
     assert [[s["ref"] for s in r["spans"]] for r in got] == [[0, 1], [1], [-1, -1], [], []]
     assert [[tuple(x) for x in r["segments"]] for r in got] == [[("﴿the light was made﴾", 1), (" ", 0), ("﴿someone spoke﴾", 1)], [("﴿darkness fled﴾", 1)], [("«a»", 2), (" ", 0), ("«b»", 2)], [], [(" plain words.", 0)]]
 
 
+def test_runs_inside_taken_spans_go(spark):
+    refs = [(0, "one two three four five six seven"), (1, "three four five six seven eight nine"), (2, "six seven eight nine ten eleven twelve")]
+    text = "{no such quotation} one two three four five six seven eight nine ten eleven twelve"
+    got = _translated(spark, [(text, refs, [-1])])[0]["spans"]
+    assert [(s["ref"], s["kind"]) for s in got] == [(-1, 0), (0, 1)]
+
+
 def test_small_operators(spark):
     routes = spark.createDataFrame([("x", "y"), ("y", "z")], "a string, b string")
     assert {r["place"]: r["n"] for r in small.visits(routes).collect()} == {"x": 1, "y": 2, "z": 1}
