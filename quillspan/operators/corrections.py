@@ -15,17 +15,26 @@ SCHEMA = "map<string,struct<by:string,why:string,replace:array<struct<field:stri
 REFERENCE, NARRATION = r"^\d{1,3}:\d{1,3}(-\d{1,3})?$", "narration"
 
 
-def load(spark, folder: str) -> DataFrame:
-    """(file, id, entry) of all *.json files of a folder; none where the folder is missing. Broken JSON and an id in two files are errors."""
+def load(spark, folder: str, files: str = "*.json") -> DataFrame:
+    """(file, id, entry) of all files of a folder that have such names; none where the folder is missing. Broken JSON and an id in two files are errors."""
     if not exists(spark, folder):
         return spark.createDataFrame([], f"file string, id string, entry {SCHEMA.removeprefix('map<string,').removesuffix('>')}")
-    rows = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", SCHEMA, {"mode": "FAILFAST"}).alias("m"))
-    entries = rows.select("file", F.explode("m").alias("id", "entry"))
+    rows = spark.read.option("pathGlobFilter", files).text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("m"))
+    entry = F.from_json("raw", SCHEMA.removeprefix("map<string,").removesuffix(">"), {"mode": "FAILFAST"})
+    entries = rows.select("file", F.explode("m").alias("id", "raw")).select("file", "id", "raw", entry.alias("entry"))
+    entries = entries.select("file", "id", F.col("entry").withField("set", _strings(F.col("raw"), F.col("entry.set"))).alias("entry"))
     if twice := entries.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(5).collect():
         raise ValueError(f"corrected in more than one file: {[r['id'] for r in twice]}")
     return entries
 
 
+def _strings(raw, given):
+    """The fields that an entry sets; those whose value is no JSON string are null."""
+    own = F.try_parse_json(raw)
+    kinds = F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.coalesce(F.schema_of_variant(F.try_variant_get(own, f"$.set.{f}", "variant")), F.lit("VOID")))])
+    return F.transform_values(given, lambda f, v: F.when(~f.isin(*FIELDS) | (F.element_at(kinds, f) == "STRING"), v))
+
+
 def problems(records: DataFrame, entries: DataFrame, key: str = "id", verses: DataFrame | None = None) -> DataFrame:
     """(id, error) for everything that forbids the corrections; empty where they may be applied. With verses (chapter, verse,
     text) a reference must name some."""
@@ -44,8 +53,10 @@ def problems(records: DataFrame, entries: DataFrame, key: str = "id", verses: Da
     replaces = F.coalesce(F.col("entry.replace"), F.array().cast("array<struct<field:string,find:string,with:string>>"))
     folded = known.select(F.col("_id").alias("id"), "entry", "_m", F.aggregate(replaces, state, step).alias("s"))
     a = folded.select("id", F.explode("s.e").alias("error"))
-    b = folded.select("id", F.explode(F.map_keys("entry.set")).alias("f")).where(~F.col("f").isin(fields)).select("id", F.lit("set: field not allowed").alias("error"))
-    q = folded.select("id", F.explode("entry.quotations").alias("q"), t.norm_ws(F.concat_ws(" ", F.try_element_at("s.m", F.lit("qa")), F.try_element_at("s.m", F.lit("aa")))).alias("x"))
+    wrong = F.when(~F.col("f").isin(fields), "set: field not allowed").when(F.col("v").isNull(), "set: not a string")
+    b = folded.select("id", F.explode("entry.set").alias("f", "v")).select("id", wrong.alias("error")).where("error IS NOT NULL")
+    now = F.when(F.col("entry.set").isNull(), F.col("s.m")).otherwise(F.transform_values("s.m", lambda k, v: F.coalesce(F.try_element_at("entry.set", k), v)))
+    q = folded.withColumn("_now", now).select("id", F.explode("entry.quotations").alias("q"), t.norm_ws(F.concat_ws(" ", F.try_element_at("_now", F.lit("qa")), F.try_element_at("_now", F.lit("aa")))).alias("x"))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     said = F.col("q.is") == NARRATION
     c = q.select("id", F.when(blank("q.quote") | blank("q.is"), "quotation: quote or is is missing").when(~said & ~F.col("q.is").rlike(REFERENCE), "quotation: bad reference").when(~F.contains("x", t.norm_ws("q.quote")), "quotation is not in the text").alias("error")).where("error IS NOT NULL")

@@ -94,25 +94,58 @@ def running_starts(df: DataFrame, group: list[str], order: str, length: Column)
     return df.withColumn("start", F.coalesce(F.sum(length).over(w), F.lit(0)))
 
 
-def interpolate(points: DataFrame, queries: DataFrame, x: str, y: str) -> DataFrame:
-    """y at the queries' x on the polygon through points (few, in order of x); constant beyond its ends.
+#: Points that a line or a set of places may have: they go into the plan as literals.
+POINTS = 10_000
+
+
+def _sorted_points(points: DataFrame, x: str, value: str) -> tuple[list, list]:
+    rows = points.select(F.col(x).cast("double").alias("x"), F.col(value).alias("v")).orderBy("x").limit(POINTS + 1).collect()
+    if len(rows) > POINTS:
+        raise ValueError(f"more than {POINTS} points")
+    return [r["x"] for r in rows], [r["v"] for r in rows]
+
+
+def rank_in(ascending: list[float], x: Column) -> Column:
+    """How many of the numbers are at most x, by binary search in a literal array."""
+    if not ascending:
+        return F.lit(0)
+    table = F.lit(ascending)
+
+    def step(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        under = F.get(table, mid) <= x
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & under, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~under, mid).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(ascending)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(ascending).bit_length() + 1)), start, step)["lo"]
+
 
-    The points become segments, each from one to the next; the outer two are open. A query meets one segment."""
-    w = Window.orderBy(x)
-    a, b = (F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.struct(F.lead(x).over(w).alias("x"), F.lead(y).over(w).alias("y")))
-    low = F.when(F.lag(x).over(w).isNull(), F.lit(float("-inf"))).otherwise(F.col(x))
-    segments = points.select(a.alias("_a"), b.alias("_b"), low.alias("_low"), F.coalesce(F.lead(x).over(w), F.lit(float("inf"))).alias("_high"))
-    at = F.least(F.greatest(F.col(x), F.col("_a.x")), F.coalesce(F.col("_b.x"), F.col("_a.x")))
-    slope = F.coalesce((F.col("_b.y") - F.col("_a.y")) / F.nullif(F.col("_b.x") - F.col("_a.x"), F.lit(0.0)), F.lit(0.0))
-    met = queries.join(F.broadcast(segments), (F.col(x) >= F.col("_low")) & (F.col(x) < F.col("_high")))
-    return met.withColumn(y, F.col("_a.y") + slope * (at - F.col("_a.x"))).drop("_a", "_b", "_low", "_high")
+def interpolate(points: DataFrame, queries: DataFrame, x: str, y: str) -> DataFrame:
+    """y at the queries' x on the polygon through points (POINTS at most); constant beyond its ends, null without any."""
+    xs, ys = _sorted_points(points, x, y)
+    if not xs:
+        return queries.withColumn(y, F.lit(None).cast("double"))
+    at = F.least(F.greatest(F.col("_r"), F.lit(1)), F.lit(max(1, len(xs) - 1))) - 1
+    of = lambda values, i: F.get(F.lit([float(v) for v in values]), i)
+    ranked = queries.withColumn("_r", rank_in(xs, F.col(x))).withColumn("_i", at)
+    a, b = F.col("_i"), F.least(F.col("_i") + 1, F.lit(len(xs) - 1))
+    inside = F.least(F.greatest(F.col(x), of(xs, a)), of(xs, b))
+    slope = F.coalesce((of(ys, b) - of(ys, a)) / F.nullif(of(xs, b) - of(xs, a), F.lit(0.0)), F.lit(0.0))
+    return ranked.withColumn(y, of(ys, a) + slope * (inside - of(xs, a))).drop("_r", "_i")
 
 
 def nearest_point(points: DataFrame, queries: DataFrame, x: str, name: str, key: list[str]) -> DataFrame:
-    """For each query the name of the point (of few) whose x is nearest; of equal ones the first by x."""
-    p = F.broadcast(points.select(F.col(x).alias("_x"), F.col(name).alias("_name")))
-    each = queries.crossJoin(p).groupBy(*key).agg(F.min_by("_name", F.struct(F.abs(F.col(x) - F.col("_x")), F.col("_x"))).alias(name))
-    return each
+    """For each query the name of the point (of POINTS at most) whose x is nearest; of equal ones the first by x."""
+    xs, names = _sorted_points(points, x, name)
+    if not xs:
+        return queries.select(*key, F.lit(None).cast("string").alias(name))
+    first = {v: i for i, v in reversed(list(enumerate(xs)))}
+    xs, names = list(first)[::-1], [names[i] for i in list(first.values())[::-1]]  # one of equal places
+    r = queries.withColumn("_r", rank_in(xs, F.col(x)))
+    low, high = F.greatest(F.col("_r") - 1, F.lit(0)), F.least(F.col("_r"), F.lit(len(xs) - 1))
+    off = lambda i: F.abs(F.col(x) - F.get(F.lit(xs), i))
+    return r.select(*key, F.get(F.lit(names), F.when(off(low) <= off(high), low).otherwise(high)).alias(name))
 
 
 def page(df: DataFrame, order: list, number: int, size: int = 10) -> DataFrame:
@@ -129,3 +162,33 @@ def ordered_totals(df: DataFrame, order: list[str], sizes: dict[str, Column]) ->
     sums = sums.select("_p", *[before(Window.orderBy("_p"), f"_y_{k}").alias(f"_x_{k}") for k in sizes])  # a row for each range
     own = parts.withColumns({f"_w_{k}": before(Window.partitionBy("_p").orderBy("_m"), f"_z_{k}") for k in sizes}).join(F.broadcast(sums), "_p")
     return own.select(*df.columns, *[(F.col(f"_w_{k}") + F.col(f"_x_{k}")).alias(k) for k in sizes])
+
+
+#: Words of the shingles that find candidates, and items without a whole word inside that may be sought in every text.
+SHINGLE, TINY_ITEMS = 6, 10_000
+
+
+def contained(texts: DataFrame, items: DataFrame, text_id: str, item_id: str, text: str = "text") -> DataFrame:
+    """(text_id, item_id) of every item that a text has as a substring.
+
+    An item's first and last word may be parts of words; what is between them stands in the text word by word, so its first words, SHINGLE
+    at most, find the candidates by an equal join, for each number of words that items have. Items of two words or fewer
+    have no such words; they are sought in every text, and more than TINY_ITEMS of them are refused."""
+    spaced = lambda df: df.withColumn("_w", F.split(F.trim(text), r"\s+"))
+    cut = spaced(items.where(F.col(text).isNotNull())).withColumn("_w", F.slice("_w", 2, F.greatest(F.lit(0), F.size("_w") - 2)))
+    cut = cut.select(item_id, F.col(text).alias("_item"), "_w", F.least(F.size("_w"), F.lit(SHINGLE)).alias("_k"))
+    sizes = sorted(r["_k"] for r in cut.select("_k").distinct().collect())
+    tiny = cut.where("_k = 0").select(item_id, "_item")
+    found = texts.select(text_id, F.col(text).alias("_x")).join(F.broadcast(_few(tiny, TINY_ITEMS)), F.contains("_x", F.col("_item"))).select(text_id, item_id) if 0 in sizes else None
+    for k in [k for k in sizes if k]:
+        grams = spaced(texts).where(F.size("_w") >= k).select(text_id, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.array_join(F.slice("_w", i, F.lit(k)), " ")))).alias("_gram"))
+        pairs = grams.join(cut.where(F.col("_k") == k).select(item_id, F.array_join(F.slice("_w", 1, k), " ").alias("_gram"), "_item"), "_gram").select(text_id, item_id, "_item").distinct()
+        here = pairs.join(texts.select(text_id, F.col(text).alias("_x")), text_id).where(F.contains("_x", F.col("_item"))).select(text_id, item_id)
+        found = here if found is None else found.unionByName(here)
+    return found if found is not None else texts.select(text_id).withColumn(item_id, F.lit(None).cast(items.schema[item_id].dataType)).where("false")
+
+
+def _few(df: DataFrame, most: int) -> DataFrame:
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to broadcast")
+    return df

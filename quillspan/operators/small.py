@@ -79,3 +79,21 @@ def merge_translations(done: DataFrame, batch: DataFrame, known: DataFrame, key:
     unknown = batch.join(known.select(key), key, "left_anti").agg(F.count("*").alias("n")).select(F.lit("unknown").alias("op"), "n")
     counts = merged.where("op <> 'kept'").groupBy("op").agg(F.count("*").alias("n")).unionByName(unknown)
     return merged.drop("op"), counts
+
+
+def volumes_of(hits: DataFrame, volume: str) -> DataFrame:
+    """One row: how many volumes the hits are from, and how many hits there are."""
+    return hits.agg(F.count_distinct(volume).alias("volumes"), F.count("*").alias("hits"))
+
+
+def listed(df: DataFrame, group: list[str], order: list[str], key: str) -> DataFrame:
+    """place, from 1: the order in which a volume's or a category's rows are listed; equal ones by key."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order, key)).cast("long"))
+
+
+def appended(*lists: DataFrame) -> DataFrame:
+    """All rows of lists with the same columns, in whatever order those stand; repeated rows stay."""
+    out = lists[0]
+    for x in lists[1:]:
+        out = out.unionByName(x)
+    return out

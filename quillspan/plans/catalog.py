@@ -244,16 +244,7 @@ def split_core_rest(spark, d):
 def contains_match(spark, d):
     """Which documents hold a whole item: shingles find the candidates, so no document meets every item but those of fewer than eight words."""
     b, x = table(spark, d, "benchmark"), docs(spark, d)
-    words = lambda df: df.withColumn("w", F.split(F.trim("text"), r"\s+"))
-    inner = lambda df: df.select("*").withColumn("w", F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 2)))
-    items = inner(words(b)).select("item_id", "text", "w")
-    item = items.where(F.size("w") >= 6).select("item_id", F.array_join(F.slice("w", 1, 6), " ").alias("gram"), F.col("text").alias("item"))
-    grams = words(x).where(F.size("w") >= 6).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, F.lit(6)), " ")))).alias("gram"))
-    pairs = grams.join(item, "gram").select("doc_id", "item_id", "item").distinct()
-    long = pairs.join(x.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
-    # Too short for a shingle between the first and the last word, which may be parts of words: each is sought in every document.
-    short = F.broadcast(items.where(F.size("w") < 6).select("item_id", F.col("text").alias("item")))
-    return long.unionByName(x.select("doc_id", "text").join(short, F.contains("text", F.col("item"))).select("doc_id", "item_id"))
+    return relational.contained(x.select("doc_id", "text"), b.select("item_id", "text"), "doc_id", "item_id")
 
 
 _GRAMS = "SELECT {k}, i, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 4)) AS i FROM (SELECT {k}, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM {t}) WHERE len(w) >= 6)"
@@ -333,12 +324,6 @@ def running_starts(spark, d):
     return relational.running_starts(docs(spark, d).select("source", "doc_id", "n_chars"), ["source"], "doc_id", F.col("n_chars")).select("source", "doc_id", "start")
 
 
-@query("SELECT doc_id, replace(replace(text, 'ther', 'THER'), 'THERe', 'there') AS text FROM documents WHERE contains(text, 'ther')")
-def corrections_fold(spark, d):
-    fixes = F.array(F.struct(F.lit("ther").alias("find"), F.lit("THER").alias("with")), F.struct(F.lit("THERe").alias("find"), F.lit("there").alias("with")))
-    return docs(spark, d).where(F.contains("text", F.lit("ther"))).select("doc_id", F.aggregate(fixes, F.col("text"), lambda x, r: F.replace(x, r["find"], r["with"])).alias("text"))
-
-
 @query("SELECT doc_id, CAST((length(text) - length(replace(text, 'the ', ''))) / 4 AS INT) AS n, CAST(length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS INT) AS letters FROM documents")
 def occurrence_count(spark, d):
     return docs(spark, d).select("doc_id", t.occurrences("text", "the ").alias("n"), F.regexp_count("text", F.lit(r"\p{L}")).alias("letters"))

@@ -59,7 +59,7 @@ def largest_category(spark, d):
 @query("SELECT count(DISTINCT source) AS volumes, count(*) AS hits FROM documents WHERE contains(lower(text), 'thand')")
 def volumes_of_hits(spark, d):
     hits = docs(spark, d).where(F.contains(F.lower("text"), F.lit("thand")))
-    return hits.agg(F.countDistinct("source").alias("volumes"), F.count("*").alias("hits"))
+    return small.volumes_of(hits, "source")
 
 
 @query("SELECT source, left(coalesce(text, ''), 30) AS k, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2")
@@ -87,8 +87,8 @@ def page_sizes(spark, d):
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS place FROM documents WHERE lang = 'de'")
 def category_order(spark, d):
-    x = docs(spark, d).where("lang = 'de'")
-    return x.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id")).cast("long").alias("place"))
+    x = docs(spark, d).where("lang = 'de'").select("source", "doc_id", "n_chars")
+    return small.listed(x, ["source"], ["n_chars"], "doc_id").drop("n_chars")
 
 
 @query("SELECT p_partkey, p_size AS vol, row_number() OVER (PARTITION BY p_size ORDER BY (p_partkey * 7) % 50, p_partkey) - 1 AS place FROM part")
@@ -129,7 +129,7 @@ def named_places(spark, d):
 @query("SELECT 'c' || c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier")
 def concatenated(spark, d):
     one = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"))
-    return one.unionByName(table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name")))
+    return small.appended(one, table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name")))
 
 
 @query("SELECT n_nationkey, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")

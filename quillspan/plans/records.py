@@ -1 +1,206 @@
-"""Queries of whole records: question-answer segmentation, passages, files and published tables."""
+"""Queries of whole records: question-answer segmentation, files, vector tables, publishing and memoised translation."""
+
+from __future__ import annotations
+
+import uuid
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import models
+from ..cluster import shared_dir
+from ..functions import text as t
+from ..operators import corrections, retrieve, segment
+from ..sources import publish, readers
+from ..sources.readers import table
+from .registry import WHITE, docs, query
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/quillspan/{name}-{uuid.uuid4().hex}"
+
+
+def _as_files(df: DataFrame, path: str, key: str, value: str) -> str:
+    """A file for each key, whose folder has its name."""
+    publish.write_pages(df.repartition(key), path, key, value)
+    return path
+
+
+# --- question-answer records
+
+
+#: What stands in front of a line, by rule: openers of questions (one with marks), of answers, labels, the beginning of a treatise.
+_OPENERS = {0: "سئل الشيخ: ", 5: "سُئِلَ ", 1: "فأجاب: ", 8: "فأجاب: ", 2: "الجواب:", 11: "الجواب: ", 9: "قال شيخ الإسلام "}
+_KIND = "CASE (doc_id * 7 + seq * 5) % 17 WHEN 0 THEN 'ask' WHEN 5 THEN 'ask' WHEN 1 THEN 'answer' WHEN 8 THEN 'answer' WHEN 2 THEN 'label' WHEN 11 THEN 'inline' WHEN 9 THEN 'treatise' ELSE 'other' END"
+_OPENED = f"CASE (doc_id * 7 + seq * 5) % 17 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _OPENERS.items())} ELSE '' END || CASE WHEN (doc_id * 7 + seq * 5) % 17 = 2 THEN '' ELSE value END"
+_HEADINGS = "['كتاب ' || lang || ' (*)', '- فصل -']"
+_EDGES = "regexp_replace({0}, '^[ :،\\-–—*\\n]+|[ :،\\-–—*\\n]+$', '', 'g')"
+_STRIP = "regexp_replace({0}, '^[" + WHITE.replace("{", "{{").replace("}", "}}") + "]+|[" + WHITE.replace("{", "{{").replace("}", "}}") + "]+$', '', 'g')"
+_NOTES = "regexp_replace({0}, '\\(\\s*\\*+\\s*\\)', '', 'g')"
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT doc_id, lang, unnest(range(0, len(v))) AS seq, unnest(v) AS value FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS v FROM documents)),
+o AS (SELECT doc_id, lang, seq, {_OPENED} AS x, {_KIND} AS kind FROM l),
+k AS MATERIALIZED (SELECT doc_id, lang, seq, x, CASE WHEN kind = 'inline' AND {_STRIP.format('x')} = 'الجواب:' THEN 'label' ELSE kind END AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM o WHERE {_STRIP.format('x')} <> ''),
+slim AS MATERIALIZED (SELECT doc_id, n, kind FROM k),
+s AS (SELECT doc_id, 0::BIGINT AS n, 'seek' AS state, 0 AS rec, NULL::INT AS side, false AS live FROM (SELECT DISTINCT doc_id FROM k)
+      UNION ALL SELECT slim.doc_id, slim.n, CASE WHEN kind = 'ask' THEN 'ask' WHEN state = 'seek' OR kind = 'treatise' THEN 'seek' WHEN state = 'ask' AND kind IN ('answer', 'inline') THEN 'answer' ELSE state END,
+        rec + (kind = 'ask')::INT, CASE WHEN kind = 'ask' THEN 0 WHEN state = 'seek' OR kind = 'treatise' OR (state = 'ask' AND kind = 'label') THEN NULL WHEN state = 'ask' AND kind NOT IN ('answer', 'inline') THEN 0 ELSE 1 END,
+        kind = 'ask' OR (state <> 'seek' AND kind <> 'treatise') FROM s JOIN slim ON slim.doc_id = s.doc_id AND slim.n = s.n + 1),
+p AS (SELECT k.*, s.rec, s.side, CASE WHEN kind = 'inline' AND side = 1 AND row_number() OVER (PARTITION BY k.doc_id, rec, side ORDER BY seq) = 1 THEN regexp_replace(x, '^\\s*الجواب[\\s:：]*', '') ELSE x END AS y FROM k JOIN s ON s.doc_id = k.doc_id AND s.n = k.n WHERE s.live),
+r AS (SELECT doc_id, rec, any_value(lang) AS lang, min(seq) AS first_seq, arg_min(seq, seq) // 5 AS page_start, max(seq) // 5 AS page_end, list(y ORDER BY seq) FILTER (side = 0) AS q, coalesce(list(y ORDER BY seq) FILTER (side = 1), []) AS a FROM p GROUP BY doc_id, rec),
+v AS (SELECT *, len(a) = 0 AND len(q) >= 3 AND list_sum(list_transform(q, lambda z: length(z))) >= 500 AS inferred FROM r),
+j AS (SELECT *, {_STRIP.format("array_to_string(CASE WHEN inferred THEN q[1:2] ELSE q END, chr(10))")} AS q1, {_STRIP.format("array_to_string(CASE WHEN inferred THEN q[3:] ELSE a END, chr(10))")} AS a1 FROM v),
+c AS (SELECT *, {_EDGES.format(_NOTES.format("CASE WHEN starts_with(q1, 'سئل الشيخ:') THEN substring(q1, 11) ELSE q1 END"))} AS question, {_EDGES.format(_NOTES.format("regexp_replace(a1, '^فأجاب:\\s*', '')"))} AS answer FROM j WHERE q1 <> '' AND length(a1) >= 2),
+e AS (SELECT *, 1 + doc_id % 5 AS volume, row_number() OVER (ORDER BY doc_id, first_seq) - 1 AS number FROM c WHERE question <> '' AND length(answer) >= 2),
+i AS (SELECT e.doc_id, e.rec, n_name AS title FROM e JOIN nation ON 1 + n_regionkey = volume AND page_start BETWEEN n_nationkey % 7 AND n_nationkey % 7 + n_nationkey % 4 QUALIFY row_number() OVER (PARTITION BY e.doc_id, e.rec ORDER BY n_nationkey % 4, n_nationkey) = 1)
+SELECT format('itq_{{:05d}}', number) AS id, doc_id, first_seq::INT AS first_seq, volume::INT AS volume, page_start::INT AS page_start, page_end::INT AS page_end, sha256(question) AS question, sha256(answer) AS answer, inferred, 'كتاب ' || lang AS topic, coalesce(title, '') AS treatise FROM e LEFT JOIN i USING (doc_id, rec)"""
+)
+def arabic_records(spark, d):
+    """Lines of every document behind openers by rule as records: vocalised and plain questions, answers, bare and inline labels, treatises."""
+    lines = segment.split_lines(docs(spark, d).select("doc_id", "lang", "text"), ["doc_id", "lang"])
+    paras = lines.select("doc_id", "seq", F.expr(_OPENED).alias("text"), (1 + F.col("doc_id") % 5).cast("int").alias("volume"), F.expr("cast(seq div 5 AS int)").alias("page"), F.expr(_HEADINGS.replace("[", "array(").replace("]", ")")).alias("path"))
+    made = segment.arabic_qa(paras, ["doc_id"], "seq", "text", volume="volume", page="page", path="path")
+    n, start = F.col("n_nationkey"), F.col("n_nationkey") % 7
+    treatises = table(spark, d, "nation").select((1 + F.col("n_regionkey")).cast("int").alias("vol"), start.alias("start"), (start + n % 4).alias("end"), F.concat(F.lit("["), F.col("n_name"), F.lit(" (*)]")).alias("title"), n.alias("ord"))
+    own = segment.records(made, ["doc_id", "first_seq"], treatises)
+    return own.select("id", "doc_id", "first_seq", "volume", "page_start", "page_end", F.sha2("question", 256).alias("question"), F.sha2("answer", 256).alias("answer"), "inferred", "topic", "treatise")
+
+
+# --- files
+
+
+@query("SELECT page_id, (i - 1)::INT AS seq, sha256(v[i]) AS x FROM (SELECT page_id, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT page_id, string_split_regex(CASE WHEN page_id % 3 = 0 THEN coalesce(html, '') ELSE chr(10) || coalesce(html, '') END || chr(10), '\\r?\\n') AS v FROM pages))")
+def marked_files(spark, d):
+    """A file for each page, two of three behind a header: the lines of their bodies."""
+    body = F.coalesce("html", F.lit(""))
+    headed = F.when(F.col("page_id") % 3 == 0, body).otherwise(F.concat(F.lit("title: x\nnote\n" + readers.HEADER_END + "\n"), body))
+    path = _as_files(table(spark, d, "pages").select("page_id", headed.alias("x")), _folder(spark, "marked"), "page_id", "x")
+    rows = readers.marked_text(spark, path)
+    return rows.select(F.regexp_extract("path", "page_id=(\\d+)", 1).cast("long").alias("page_id"), "seq", F.sha2("value", 256).alias("x"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 7 <> 0 THEN count(c_custkey) END AS customers, n_nationkey % 7 = 0 AS broken FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+def tolerant_files(spark, d):
+    """A JSON file of the customers of each nation, every seventh cut short: how many can be read, and which files cannot."""
+    one = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    rows = table(spark, d, "nation").join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    said = rows.groupBy("n_nationkey").agg(F.to_json(F.collect_list(F.when(F.col("c_custkey").isNotNull(), one))).alias("j"))
+    cut = F.when(F.col("n_nationkey") % 7 == 0, F.expr("left(j, length(j) - 1)")).otherwise(F.col("j"))
+    path = _as_files(said.select("n_nationkey", cut.alias("x")), _folder(spark, "tolerant"), "n_nationkey", "x")
+    read = readers.json_files(spark, path, "array<struct<id:long,name:string>>")
+    return read.select(F.regexp_extract("path", "n_nationkey=(\\d+)", 1).cast("int").alias("n_nationkey"), F.when(~F.col("broken"), F.size("value")).cast("long").alias("customers"), "broken")
+
+
+_ENTRY_FILES = "SELECT 'd' || doc_id AS id, 'f' || doc_id % 3 AS part, 'neu ' || lang AS cat FROM documents WHERE lang = 'fr'"
+
+
+@query(f"SELECT id, cat, false AS refused FROM ({_ENTRY_FILES}) UNION ALL SELECT 'twice', NULL, true UNION ALL SELECT 'missing', NULL, false")
+def correction_files(spark, d):
+    """Corrections in three files: all entries; a key that stands in two files is refused, a missing folder has none."""
+    entry = F.struct(F.lit("me").alias("by"), F.lit("w").alias("why"), F.create_map(F.lit("cat"), F.concat(F.lit("neu "), F.col("lang"))).alias("set"))
+    rows = docs(spark, d).where("lang = 'fr'").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), (F.col("doc_id") % 3).alias("part"), entry.alias("entry"))
+
+    def folder(df):
+        files = df.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", "entry")))).alias("value"))
+        return _as_files(files, _folder(spark, "corrections"), "part", "value")
+
+    path = folder(rows)
+    good = corrections.load(spark, path, "*.txt")
+    twice = rows.limit(1).select("id", F.lit(9).cast("long").alias("part"), "entry").unionByName(rows)
+    outcome = []
+    for name, where in (("twice", folder(twice)), ("missing", f"{path}/none")):
+        try:
+            corrections.load(spark, where, "*.txt")
+            outcome.append((name, None, False))
+        except ValueError:
+            outcome.append((name, None, True))
+    return good.select("id", F.col("entry.set")["cat"].alias("cat"), F.lit(False).alias("refused")).unionByName(spark.createDataFrame(outcome, "id string, cat string, refused boolean"))
+
+
+# --- vectors
+
+
+def letter_vectors(texts: list[str]) -> np.ndarray:
+    """Unit vectors of how often each of eight letters stands in a text: an encoder that SQL can repeat."""
+    out = np.array([[x.count(c) for c in "aeiounrt"] for x in texts], np.float64).reshape(-1, 8)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+_LETTERS = ", ".join(f"(length(x) - length(replace(x, '{c}', '')))::DOUBLE" for c in "aeiounrt")
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(coalesce(text, ''), 'PageV(\\d+)P(\\d+)', ' ', 'g'), '\\bms\\d+\\b', ' ', 'g'), 'ـ', ''), '[{WHITE}]+', ' ', 'g')) AS x FROM documents),
+v AS (SELECT doc_id, [{_LETTERS}] AS v FROM c), n AS (SELECT doc_id, list_transform(v, lambda z: (z / greatest(sqrt(list_dot_product(v, v)), 1e-12))::FLOAT::DOUBLE) AS v FROM v),
+q AS (SELECT v AS w FROM n WHERE doc_id = (SELECT min(doc_id) FROM documents))
+SELECT doc_id, round(list_dot_product(v, w), 4) AS score, round(list_sum(v), 4) AS total FROM n, q"""
+)
+def vector_table(spark, d):
+    """Every document encoded in batches, written as a vector table, read back and scored against the first."""
+    path = _folder(spark, "vectors")
+    publish.write_vectors(models.embed(docs(spark, d), "doc_id", "text", letter_vectors), path, "doc_id")
+    stored = spark.read.parquet(path)
+    first = [F.lit(float(x)) for x in stored.orderBy("doc_id").select("embedding").first()[0]]
+    wide = F.transform("embedding", lambda z: z.cast("double"))
+    return stored.select("doc_id", F.round(retrieve.dot("embedding", F.array(*first)), 4).alias("score"), F.round(F.aggregate(wide, F.lit(0.0), lambda a, z: a + z), 4).alias("total"))
+
+
+# --- publishing
+
+
+@query("SELECT n_nationkey, n_name, r_name, 'published' AS outcome FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT -1, NULL, NULL, 'refused' UNION ALL SELECT -2, NULL, NULL, 'as before'")
+def published_outcomes(spark, d):
+    """A join is published; one that lacks a region's nations is refused, and what was published before still stands."""
+    path, nation = _folder(spark, "published"), table(spark, d, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("r_regionkey"))
+    region = table(spark, d, "region").select("r_regionkey", "r_name")
+    publish.write_complete(nation, region, ["r_regionkey"], path)
+    before = spark.read.parquet(path).agg(F.count("*"), F.sum(F.hash("n_nationkey", "r_name"))).first()
+    try:
+        publish.write_complete(nation, region.where("r_regionkey <> 0"), ["r_regionkey"], path)
+        outcome = "published"
+    except ValueError:
+        outcome = "refused"
+    now = spark.read.parquet(path)
+    same = now.agg(F.count("*"), F.sum(F.hash("n_nationkey", "r_name"))).first() == before
+    kind = "n_nationkey int, n_name string, r_name string, outcome string"
+    notes = spark.createDataFrame([(-1, None, None, outcome), (-2, None, None, "as before" if same else "changed")], kind)
+    return now.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", "r_name", F.lit("published").alias("outcome")).unionByName(notes)
+
+
+# --- memoised translation
+
+
+class Picky(models.StubModel):
+    """A model that refuses some texts."""
+
+    name = "picky"
+
+    def complete(self, system: str, user: str, max_tokens: int | None = None) -> str:
+        if "token" in user:
+            raise ValueError("refused")
+        return super().complete(system, user, max_tokens)
+
+
+@query(
+    """WITH x AS (SELECT doc_id, coalesce(text, '') AS x, substring(sha256('stub:' || coalesce(text, '')), 1, 16) AS key, 'the => ' || left(coalesce(text, ''), 3) || chr(10) || chr(10) || coalesce(text, '') AS request, doc_id % 2 = 0 AS early FROM documents),
+k AS (SELECT key, any_value(CASE WHEN contains(request, 'token') THEN 'stub' ELSE 'picky' END) AS engine, any_value(request) AS request, max(early) AS early FROM x GROUP BY key)
+SELECT doc_id, '[' || engine || '] ' || substring(sha256('Translate.' || k.request), 1, 16) AS en, engine, k.early AS remembered FROM x JOIN k USING (key)
+UNION ALL SELECT -1, 'calls of the first run', count(*) FILTER (early)::VARCHAR, true FROM k UNION ALL SELECT -2, 'calls of the second run', count(*) FILTER (NOT early)::VARCHAR, false FROM k"""
+)
+def memoised_translation(spark, d):
+    """Two runs with one stored cache: the first translates half of the documents, the second all, of which it asks only for new
+    texts. Verses are given as pairs; a text that the model refuses goes to a second one."""
+    path = _folder(spark, "cache")
+    rows = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("pairs", F.array(F.struct(F.lit("the").alias("quote"), F.left("text", F.lit(3)).alias("en"))))
+    run = lambda df, cache: models.translate(df, cache, "doc_id", "text", model=Picky(), pairs="pairs", fallback=models.StubModel())
+    first = run(rows.where("doc_id % 2 = 0"), spark.createDataFrame([], "key string, en string, engine string"))[1]
+    publish.publish(first, path)
+    cache = spark.read.parquet(path)
+    made, full = run(rows, cache)
+    asked = [(-1, "calls of the first run", str(cache.count()), True), (-2, "calls of the second run", str(full.count() - cache.count()), False)]
+    known = made.withColumn("_k", t.cache_key("stub", "text")).join(cache.select(F.col("key").alias("_k"), F.lit(True).alias("remembered")), "_k", "left")
+    return known.select("doc_id", "en", "engine", F.coalesce("remembered", F.lit(False)).alias("remembered")).unionByName(spark.createDataFrame(asked, "doc_id long, en string, engine string, remembered boolean"))

@@ -193,6 +193,16 @@ def highlights(spark, d):
     return docs(spark, d).select("doc_id", F.sha2(t.highlight("text", ["thand", "tion"]), 256).alias("x"))
 
 
+_BETWEEN = f"[{_MARKS_WIDE}]*"
+_IN_ARABIC = _BETWEEN.join(["[اأإآٱ]", "[يىئی]"]) + "|" + _BETWEEN.join(["ن", "[اأإآٱ]"])
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(replace(replace(replace({_AR}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '({_IN_ARABIC})', '<mark>\\1</mark>', 'g')) AS x FROM documents")
+def highlights_arabic(spark, d):
+    """Arabic letters in any form, whatever marks stand between them."""
+    return _one(spark, d, x=F.sha2(t.highlight(_arabic(), ["اي", "نا"]), 256))
+
+
 # --- headings, topics and openers
 
 

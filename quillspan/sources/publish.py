@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators.relational import require_complete
 
 
 def split_core_rest(df: DataFrame, key: str, limits: dict[str, int]) -> tuple[DataFrame, DataFrame]:
@@ -93,9 +94,56 @@ def json_object(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda r: r["j"]), ","), F.lit("}")).alias("value"))
 
 
+def _files(spark, path: str):
+    """The store that a path names, and the path in it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def publish(df: DataFrame, path: str, expected: DataFrame | None = None, on: list[str] | None = None, unique: bool = False) -> None:
+    """Puts df at path as Parquet, as a whole or not at all.
+
+    It is written aside, the written rows are checked (every key of expected must be there; none twice, if unique), and only then does
+    the folder take its place; what stood there is moved away first and comes back if that fails. Readers of path see the old
+    table, for a moment none, or the new one."""
+    spark, aside = df.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    fs, staged = _files(spark, aside)
+    try:
+        df.write.parquet(aside)
+        if expected is not None:
+            rows = spark.read.schema(df.schema).parquet(aside).select(*on)
+            missing = expected.select(*on).join(rows, on, "left_anti").limit(5).collect()
+            twice = rows.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").limit(5).collect() if unique else []
+            if missing or twice:
+                raise ValueError(f"not published: without {missing}, twice {twice}")
+        _, final = _files(spark, path)
+        _, old = _files(spark, f"{aside}.old")
+        had = fs.exists(final)
+        if had and not fs.rename(final, old):
+            raise OSError(f"{path} cannot be replaced")
+        if not fs.rename(staged, final):
+            if had:
+                fs.rename(old, final)
+            raise OSError(f"{path} cannot be written")
+        fs.delete(old, True)
+    finally:
+        fs.delete(staged, True)
+
+
 def write_complete(left: DataFrame, right: DataFrame, on: list[str], path: str) -> None:
-    """Writes the join of both, or nothing at all where a left key lacks a partner."""
-    require_complete(left, right, on).write.mode("overwrite").parquet(path)
+    """Publishes the join of both, or nothing at all where a left key lacks a partner."""
+    publish(left.join(right, on), path, left.select(*on).distinct(), on)
+
+
+def write_vectors(vectors: DataFrame, path: str, key: str, vector: str = "embedding", unit: float = 1e-3) -> None:
+    """Publishes a vector table: every row has as many numbers as the others, all finite, of length 1 within `unit` (or all 0)."""
+    v = F.transform(vector, lambda z: z.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, z: a + z * z))
+    checked = vectors.withColumn("_bad", F.coalesce(F.isnan(norm) | ((norm > 0) & (F.abs(norm - 1) > unit)), F.lit(True)))
+    seen = checked.agg(F.count_distinct(F.size(vector)).alias("sizes"), F.max("_bad").alias("bad")).first()
+    if seen["sizes"] > 1 or seen["bad"]:
+        raise ValueError("vectors of different sizes, or without a norm of 1")
+    publish(vectors, path, vectors.select(key), [key], unique=True)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

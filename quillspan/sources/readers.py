@@ -19,11 +19,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def marked_text(spark: SparkSession, path: str, header_end: str = HEADER_END) -> DataFrame:
-    """(file, seq, value): the lines behind the first header end, or all lines without one."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    """(file, path, seq, value): the lines behind the first header end, or all lines without one."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), "value")
     at = F.locate(header_end, F.col("value"))
     body = F.when(at > 0, F.expr(f"substring(value, locate('{header_end}', value) + {len(header_end)})")).otherwise(F.col("value"))
-    return whole.select("file", F.posexplode(F.split(body, "\r?\n")).alias("seq", "value"))
+    return whole.select("file", "path", F.posexplode(F.split(body, "\r?\n")).alias("seq", "value"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -44,6 +44,14 @@ def tolerant_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select(F.from_json("value", schema).alias("value")).where("value IS NOT NULL")
 
 
+def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(path, value, broken): every file of a folder as one JSON value; a broken one has a null value and counts as such. An empty file has no row."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"path string, value {schema}, broken boolean")
+    rows = spark.read.option("ignoreMissingFiles", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").isNull().alias("broken"), "value")
+    return rows.select("path", F.when(~F.col("broken"), F.from_json("value", schema)).alias("value"), "broken")
+
+
 def verses(spark: SparkSession, path: str) -> DataFrame:
     """chapter, name, transliteration, verse, text, translation."""
     chapters = whole_json(spark, path, VERSES).select(F.explode("value").alias("c"))
