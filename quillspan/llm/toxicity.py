@@ -1,12 +1,16 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts (label 1) and unlabelled texts train a linear scorer with the class-prior-corrected, non-negative
-risk of Kiryo et al.: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). Which features count and their weights come from that
-risk alone. A departure from pure positive-unlabelled learning: the labels hold confirmed clean rows too, and a bounded sample
-of both then sets two numbers, scale and offset, so that 0.5 separates the classes; the order of scores is untouched. Inputs of a score are a text's distinct words and word beginnings alone.
+risk of Kiryo et al.: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). The unlabelled texts are training rows as they come, labelled
+or not, toxic or not, so that the prior holds for them; no label of a clean row reaches a weight. Which features there are comes
+before, from a test of how much more often toxic texts have them than all training rows; their weights come from the risk.
+
+Two uses of the clean labels remain, neither in the order of the scores: the prior is the share of toxic rows among the labelled ones, and a
+bounded sample of both kinds sets two numbers, scale and offset, so that 0.5 separates the classes. Inputs of a score are a
+text's distinct words and word beginnings alone.
 
 The class prior and the features' document frequencies come from all rows that are not held out. The samples for the
-gradient steps and the scale are bounded (SAMPLE documents of each kind, those with the smallest hash of doc_id) and never
+gradient steps and the scale are bounded (SAMPLE documents each of toxic, labelled and any rows, those with the smallest hash of doc_id) and never
 held-out rows; scores are given to every document from its whole text.
 
 Defined cases: null and empty texts get the score of a text without features; without labelled toxic rows every score is 0;
@@ -27,7 +31,7 @@ from .common import bit_set, column, discard, in_set, materialize, prepare, read
 from .words import ALNUM, _powers, mix, words
 from .words import _BYTE as BYTE_CODE
 
-#: Documents of each kind (toxic, labelled, unlabelled) that training reads, at most.
+#: Documents of each kind (toxic, labelled, any) that training reads, at most.
 SAMPLE = 4000
 #: Features that the scorer keeps, at most; a feature must be in this many toxic texts.
 FEATURES, LEAST_TEXTS = 6000, 4
@@ -75,14 +79,14 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, place: np.ndarray) -> list:
-    """(kind, y, features) rows, one for each document of a kind; kind 0: labelled at random, 1: toxic, 2: unlabelled.
+    """(kind, y, features) rows, one for each document of a kind; kind 0: labelled at random, 1: toxic, 2: any, labelled or not.
 
     Only the numbers of the features that the scorer keeps come along: 3 * SAMPLE rows of 2 * FEATURES bytes at most."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     first = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     own = known.join(ids, "doc_id", "left_semi")
-    picked = first(own).select("doc_id", "y", F.lit(0).alias("kind")).unionByName(first(own.where("y = 1")).select("doc_id", "y", F.lit(1).alias("kind"))).unionByName(first(ids.join(labels, "doc_id", "left_anti")).select("doc_id", F.lit(-1).alias("y"), F.lit(2).alias("kind")))
+    picked = first(own).select("doc_id", "y", F.lit(0).alias("kind")).unionByName(first(own.where("y = 1")).select("doc_id", "y", F.lit(1).alias("kind"))).unionByName(first(ids).select("doc_id", F.lit(-1).alias("y"), F.lit(2).alias("kind")))
     kept = docs.sparkSession.sparkContext.broadcast(place)
 
     def run(batches):
@@ -181,11 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, steps: int = 300) -> Model:
     if not prior:
         return Model()
     prior = float(np.clip(prior, 0.01, 0.9))
-    marked = _marked(own, judged.where("y = 1 OR y IS NULL"))
-    df_p, n_p = _frequencies(marked.where("y = 1"))
+    marked = _marked(own, judged.where("y = 1"))
+    df_p, n_p = _frequencies(marked)
     df_u, n_u = _frequencies(own, df_p > 0)
-    df_x, n_x = _frequencies(marked, df_p > 0)  # toxic, or of no known label
-    df_u, n_u = df_u - df_x, n_u - n_x
     discard(marked)
     if not n_p or not n_u:
         return Model()
@@ -202,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, steps: int = 300) -> Model:
     rows = sorted(_sample(docs, labels, place), key=lambda r: (r["kind"], r["y"], bytes(r["f"])))
     sets = {k: [np.frombuffer(r["f"], np.uint16) for r in rows if r["kind"] == k] for k in (0, 1, 2)}
     truth = np.array([r["y"] for r in rows if r["kind"] == 0])
-    pos, unl = sets[1], sets[2] + [f for f, y in zip(sets[0], truth) if y == 0]
+    pos, unl = sets[1], sets[2]
     if not pos or not unl:
         return Model()
 
