@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -30,6 +31,7 @@ _CLOSES = {t: ({"p"}, frozenset()) for t in "address article aside blockquote ce
 _CLOSES |= {"li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements of which a bare one around a single other element says nothing of its own.
 _PLAIN = frozenset("div span section center body html".split())
+_ITEMS = frozenset("li td th dt dd".split())
 _SCOPE = frozenset("table td th caption button body html".split())
 
 KINDS = [
@@ -74,9 +76,50 @@ def _groups(attributes: str) -> tuple[int, ...]:
     return tuple(found)
 
 
+class _Open:
+    """The open elements, and where those of each tag are among them, so that no tag walks its ancestors: what it ends is found by its
+    place, and every element is left once."""
+
+    def __init__(self):
+        self.root = Node("#root", None)
+        self.nodes: list[Node] = [self.root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> Node:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        return node
+
+    def _leave(self, place: int) -> Node:
+        """Ends the element there and all inside it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+        return self.nodes[-1]
+
+    def _last(self, tags) -> int:
+        """The place of the innermost open element of these tags, 0 without one."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def end(self, tag: str) -> Node:
+        """An end tag ends the innermost element of its kind, but not across the edge of a table, cell or button."""
+        here = self._last((tag,))
+        return self._leave(here) if here > (0 if tag in _SCOPE else self._last(_SCOPE)) else self.nodes[-1]
+
+    def close(self, tag: str) -> Node:
+        """What a start tag ends: an item the innermost of its kind or else the outermost paragraph, others the outermost of what
+        they end; nothing across the list or table that they are in."""
+        ends, stop = _CLOSES[tag]
+        edge = self._last(stop | (_SCOPE - ends))
+        if tag in _ITEMS and (own := self._last(ends - {"p"})) > edge:
+            return self._leave(own)
+        first = [p[i] for t in ends if (p := self.places.get(t)) and (i := bisect.bisect_right(p, edge)) < len(p)]
+        return self._leave(min(first)) if first else self.nodes[-1]
+
+
 def parse(page: str) -> Node:
     """The tree of a page; text nodes have the tag #text and their raw text. Comments and the elements of _ENDS are left out."""
-    root = now = Node("#root", None)
+    open_ = _Open()
+    root = now = open_.root
     at = 0
     unended: set[str] = set()
     drawn = formula = False
@@ -104,28 +147,15 @@ def parse(page: str) -> Node:
         else:
             continue
         if m[3]:
-            n = now
-            while n is not root and n.tag != tag and (n.tag not in _SCOPE or tag in _SCOPE):
-                n = n.parent
-            if n is not root and n.tag == tag:
-                now = n.parent
+            now = open_.end(tag)
             continue
         if tag in _CLOSES:
-            ends, stop = _CLOSES[tag]
-            n, last = now, None
-            while n is not root and n.tag not in stop and n.tag not in _SCOPE - ends:
-                if n.tag in ends:
-                    last = n
-                    if tag in ("li", "td", "th", "dt", "dd") and n.tag != "p":
-                        break
-                n = n.parent
-            if last is not None:
-                now = last.parent
+            now = open_.close(tag)
         node = Node(tag, now, _groups(attributes) if attributes else ())
         now.children.append(node)
         drawn = drawn or tag in _DRAWN
         if tag not in VOID and not (attributes or "").rstrip().endswith("/"):
-            now = node
+            now = open_.push(node)
     if at < len(page):
         _put(now, page[at:], formula)
     if drawn:

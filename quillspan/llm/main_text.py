@@ -26,7 +26,7 @@ from .boosting import Boosted
 from .common import column, prepare, read_table, slices
 from .html_nodes import HIDDEN, INLINE, features, ordered, parse
 
-TRAINING_PAGES = 600
+TRAINING_PAGES = 750
 
 
 # --- labelled pages
@@ -89,6 +89,9 @@ class _Maker:
         mark = lambda s: m + s
         title = self.words(2, 9).capitalize()
         parts = [self.tag("h1", mark(title))] if r.random() < 0.9 else []
+        if parts and r.random() < 0.2:
+            byline = self.tag(r.choice(["time", "span", "p"]), self.words(1, 3), r.choice([None, "byline", "meta"])) if r.random() < 0.5 else ""
+            parts = [self.tag("header", parts[0] + byline)]
         kind, name = r.random(), self.word()
         for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14])):
             k = r.random()
@@ -113,6 +116,8 @@ class _Maker:
                 parts.append(self.boilerplate(r.choice(["advert", "advert", "side", "notice", "form"])))
         if len(parts) == 0:
             parts = [f"<p>{mark(self.prose())}</p>"]
+        if r.random() < 0.15:
+            parts += [self.tag("section", self.tag(r.choice(["h2", "h2", "h3"]), mark(self.words(1, 6))) + "".join(self.tag("p", mark(self.prose())) for _ in range(r.randint(1, 4)))) for _ in range(r.randint(1, 4))]
         if r.random() < 0.1:
             parts.append(self.boilerplate("talk"))
         body = "".join(parts)
@@ -132,16 +137,27 @@ class _Maker:
             return self.MARK + self.prose()
         if shape < 0.06:
             return self.tag(r.choice(["p", "div", "body"]), self.MARK + self.prose())
+        if shape < 0.17:  # a heading and what follows it, straight in the body or in boxes that say nothing
+            kind = r.choice(["p", "div"])
+            one = self.tag(r.choice(["h1", "h1", "h2"]), self.MARK + self.words(2, 9).capitalize())
+            one += "".join(self.tag("ul", self.tag("li", self.MARK + self.prose())) if r.random() < 0.05 else self.tag(kind, self.MARK + self.prose(), self.word() if kind == "div" else None) for _ in range(r.randint(1, 8)))
+            foot = r.choice(["", "", self.boilerplate("footer"), self.tag("div", "&copy; " + self.words(2, 4))])
+            lead = r.choice(["", "", self.boilerplate("nav"), self.tag("div", self.links(2))])
+            for _ in range(r.choice([0, 0, 1, 2])):
+                one = self.tag(r.choice(["div", "div", "section"]), one, r.choice([None, self.word()]))
+            if r.random() < 0.3:
+                one = self.tag("div", one + self.boilerplate("side"), r.choice([None, self.word()]))
+            return f"<html><body>{lead}{one}{foot}</body></html>"
         before = [self.boilerplate(k) for k in ("nav", "header", "advert", "notice", "side", "form") if r.random() < 0.45]
         after = [self.boilerplate(k) for k in ("talk", "side", "advert", "nav", "notice", "form") if r.random() < 0.35] + ([self.boilerplate("footer")] if r.random() < 0.85 else [])
         r.shuffle(before)
-        if shape < 0.2:  # nothing around the text but a little of the page's furniture, or nothing at all
+        if shape < 0.23:  # nothing around the text but a little of the page's furniture, or nothing at all
             before, after = before[: r.randint(0, 2)], after[len(after) - r.randint(0, min(1, len(after))) :]
         article = self.article(bare=shape < 0.34)
         if 0.3 < shape < 0.4:
             deep = r.choice([1, 1, 2, 3, 12])
             article = "<div>" * deep + article + "</div>" * deep
-        elif 0.2 < shape < 0.25:  # laid out by a table
+        elif 0.23 < shape < 0.27:  # laid out by a table
             rows = [*before, article, *after]
             return "<html><body><table>" + "".join(f"<tr><td>{x}</td></tr>" for x in rows) + "</table></body></html>"
         inner = "".join(before) + article + "".join(after)

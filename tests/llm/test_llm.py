@@ -397,6 +397,61 @@ def test_main_text_takes_time_in_proportion():
         assert time.process_time() - began < 5
 
 
+def test_headings_of_other_shapes():
+    r, model = random.Random(9), main_text.default_model()
+    words = lambda a, b: " ".join("".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(r.randint(a, b)))
+    ps = lambda n: "".join(f"<p>{' '.join(words(5, 18).capitalize() + '.' for _ in range(r.randint(1, 5)))}</p>" for _ in range(n))
+    shapes = [
+        lambda h: f"<html><body><nav><a href=/>{words(1, 1)}</a></nav><article><header><h1>{h}</h1></header>{ps(4)}</article><footer>{words(3, 5)}</footer></body></html>",
+        lambda h: f"<html><body><article class=entry><header><h1>{h}</h1><time>{words(1, 2)}</time></header>{ps(4)}</article></body></html>",
+        lambda h: f"<html><body><section><h2>{h}</h2>{ps(2)}</section><section><h2>x{h}</h2>{ps(3)}</section></body></html>",
+        lambda h: f"<html><body><header><a href=/>{words(1, 2)}</a></header><main><section><h2>{h}</h2>{ps(2)}</section></main><footer>{words(2, 4)}</footer></body></html>",
+        lambda h: f"<html><body><h1>{h}</h1>{ps(3)}</body></html>",
+        lambda h: f"<html><body><div class=wrap><h1>{h}</h1>{ps(3)}</div><div class=footer>{words(3, 4)}</div></body></html>",
+    ]
+    heads = [words(2, 6).capitalize() for _ in range(180)]
+    pages = [shapes[i % len(shapes)](h) for i, h in enumerate(heads)]
+    found = [h in x.split("\n\n") for h, x in zip(heads, main_text.extract(pages, model))]
+    other = list(_shapes(random.Random(78)))
+    found += [h in x.split("\n\n") for (_, h, _), x in zip(other, main_text.extract([p for p, _, _ in other], model))]
+    assert np.mean(found) >= 0.9
+
+
+def test_parsing_takes_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    for page in ("<div>" * 100_000 + "</b>" * 100_000, "<li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000, "<div>" * 50_000 + "<p><div></div>" * 50_000, "<b><table><tr><td>" + "<i>" * 50_000 + "</b>" * 50_000):
+        parse(page)
+    assert time.process_time() - began < 20
+    tree = parse("<b><table><tr><td>x</b>y<td>z</table>w")
+    assert [n.tag for n in ordered(tree)] == ["#root", "b", "table", "tr", "td", "#text", "#text", "td", "#text", "#text"]
+
+
+def test_decoding_against_every_labelling():
+    r = random.Random(12)
+    for _ in range(60):
+        make = lambda depth: "".join(r.choice(["x ", f"<{(t := r.choice(['div', 'p', 'section']))} class=a>{make(depth - 1) if depth else ''}</{t}>"]) for _ in range(r.randint(1, 3)))
+        nodes = ordered(parse(make(2)))
+        if len(nodes) > 13:
+            continue
+        main_text.features(nodes)
+        odds = np.array([r.uniform(-3, 3) for _ in nodes])
+        place = {id(n): i for i, n in enumerate(nodes)}
+        # A chain of only children is one vote, the mean of its odds.
+        top = list(range(len(nodes)))
+        for i, n in enumerate(nodes):
+            if n.parent is not None and n.alone and n.parent.parent is not None:
+                top[i] = top[place[id(n.parent)]]
+        vote = {t: np.mean([odds[i] for i in range(len(nodes)) if top[i] == t]) for t in set(top)}
+        value = lambda keep: sum(-np.log1p(np.exp(-v if keep[t] else v)) for t, v in vote.items())
+        best = max(
+            (k for k in itertools.product([False, True], repeat=len(nodes)) if k[0] and all(k[i] == k[top[i]] for i in range(len(nodes))) and all(not k[i] or k[place[id(n.parent)]] for i, n in enumerate(nodes) if n.parent)),
+            key=value,
+        )
+        assert value(main_text.decode(nodes, odds)) >= value(best) - 1e-9
+
+
 # --- 6
 
 
@@ -465,6 +520,18 @@ def test_toxicity_counts_all_training_rows(spark, monkeypatch):
     assert model.weight[int(toxicity.features(pa.array(["snotter"]))[0][0])] != 0
 
 
+def test_unlabelled_sample_is_of_all_training_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 50)
+    prepare(spark)
+    df = docs_frame(spark, [(i, f"word{i}") for i in range(400)])
+    every = [r["doc_id"] for r in df.where(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(50).collect()]
+    place = np.zeros(1 << toxicity.BITS, np.int32)
+    for share in (0, 2, 3):
+        lab = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(400) if share and i % share == 0] or [(1, 1)], "doc_id long, toxic int")
+        got = sorted(int(r["doc_id"]) for r in toxicity._sample(df, lab, place) if r["kind"] == 2)
+        assert got == sorted(every)
+
+
 # --- 7
 
 
