@@ -2,8 +2,9 @@
 
 Targets: the sources, in order, weigh WEIGHTS, repeating, and share SHARE of all words; a target stops at MOST times its source's words,
 and the excess is shared by weight among the others until none is above. A source gives its documents in an order that a digest of each
-fixes: whole passes, then the longest beginning that fits, then the one document whose size comes nearest to what is
-left (none, if all are further off). So a document is taken MOST times at most and a target is missed by little.
+fixes: whole passes, then a beginning, then one document from behind it. The beginning ends where the longest one that fits does, or up to
+CUTS documents before, whichever leaves what some document fills best (none, if nothing beats the longest beginning alone).
+So a document is taken MOST times at most, and a target is missed by little even where a source has a few documents.
 
 A source's takings, in that order, are cut into blocks of BLOCK documents, its quota. A tree splits the quotas among the shards: at
 each node the left half's blocks are a multivariate hypergeometric draw from the node's, so shards and sources come out exact (numpy draws
@@ -36,6 +37,8 @@ SEED = 13
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a block, blocks of a shard as long as there are at most SHARDS of them, and bundles of sources.
 BLOCK, SHARD_BLOCKS, SHARDS, BUNDLES = 16, 1024, 4096, 256
+#: Documents that a beginning may be shorter than the longest one that fits.
+CUTS = 16
 #: Digits of the digest that make a cell: a source is ranked in up to 4,096 tasks.
 CELL = 3
 #: Primes above any number of blocks, to put blocks in another order.
@@ -136,15 +139,19 @@ def takings(ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = ranks.where("_rank IS NOT NULL").withColumn("_passes", passes).withColumn("_rest", F.col("_target") - F.col("_passes") * F.col("_words"))
     fits = F.col("_before") + F.col("_size") <= F.col("_rest")
     sources = rows.groupBy("_k", "_passes", "_n", "_rest").agg(F.count(F.when(fits, 1)).alias("_m"), F.coalesce(F.sum(F.when(fits, F.col("_size"))), F.lit(0)).alias("_w"))
-    sources = sources.withColumns({"_end": F.col("_passes") * F.col("_n") + F.col("_m"), "_left": F.col("_rest") - F.col("_w")})
-    off = F.abs(F.col("_size") - F.col("_left"))
-    sizes = rows.where(~fits).groupBy("_k", "_size").agg(F.min("_rank").alias("_rank")).join(sources, "_k").where(off < F.col("_left"))
-    nearest = sizes.groupBy("_k").agg(F.min(F.struct(off.alias("off"), "_rank", "_end")).alias("x")).select("_k", F.col("x._rank").alias("_rank"), F.col("x._end").alias("_last"))
+    # Where the beginning may end, and what is then left; a document of any size that stands behind that end may fill it.
+    near = rows.where(fits).join(sources.select("_k", "_m"), "_k").where(F.col("_rank") >= F.col("_m") - CUTS).select("_k", F.col("_rank").alias("_cut"), (F.col("_rest") - F.col("_before")).alias("_left"))
+    cuts = near.unionByName(sources.select("_k", F.col("_m").alias("_cut"), (F.col("_rest") - F.col("_w")).alias("_left")))
+    sizes = rows.groupBy("_k", "_size").agg(F.max("_rank").alias("_rank")).join(cuts, "_k").where(F.col("_rank") >= F.col("_cut"))
+    best = sizes.groupBy("_k").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_left")).alias("off"), (-F.col("_cut")).alias("cut"), "_rank")).alias("x"))
+    ends = sources.join(best, "_k", "left").withColumn("_fill", F.coalesce(F.col("x.off") < F.col("_rest") - F.col("_w"), F.lit(False)))
+    ends = ends.select("_k", F.when(F.col("_fill"), -F.col("x.cut")).otherwise(F.col("_m")).alias("_cut"), F.when(F.col("_fill"), F.col("x._rank")).alias("_rank"), (F.col("_passes") * F.col("_n")).alias("_first"))
+    last = ends.where("_rank IS NOT NULL").select("_k", "_rank", (F.col("_first") + F.col("_cut")).alias("_last"))
     none = F.array().cast("array<long>")
     whole = F.when(F.col("_passes") > 0, F.transform(F.sequence(F.lit(0), F.col("_passes") - 1), lambda p: p * F.col("_n") + F.col("_rank"))).otherwise(none)
-    more = F.when(fits, F.array(F.col("_passes") * F.col("_n") + F.col("_rank"))).when(F.col("_last").isNotNull(), F.array("_last")).otherwise(none)
-    out = rows.join(nearest, ["_k", "_rank"], "left").select("*", F.posexplode(F.concat(whole, more)).alias("_copy", "_at")).drop("_passes", "_rest", "_last")
-    given = sources.join(nearest, "_k", "left").select("_k", (F.col("_end") + F.col("_last").isNotNull().cast("long")).alias("_taken"))
+    more = F.when(F.col("_rank") < F.col("_cut"), F.array(F.col("_passes") * F.col("_n") + F.col("_rank"))).when(F.col("_last").isNotNull(), F.array("_last")).otherwise(none)
+    out = rows.join(ends.select("_k", "_cut"), "_k").join(last, ["_k", "_rank"], "left").select("*", F.posexplode(F.concat(whole, more)).alias("_copy", "_at")).drop("_passes", "_rest", "_last", "_cut")
+    given = ends.select("_k", (F.col("_first") + F.col("_cut") + F.col("_rank").isNotNull().cast("long")).alias("_taken"))
     return out, given
 
 
@@ -184,9 +191,12 @@ p AS (SELECT *, CASE WHEN words > 0 THEN {' + '.join(f'(target >= {i} * words)::
 r AS (SELECT d.*, words, target, passes, target - passes * words AS rest, CASE WHEN size > 0 THEN row_number() OVER (PARTITION BY k ORDER BY size = 0, key) - 1 END AS place,
       coalesce(sum(size) OVER (PARTITION BY k ORDER BY size = 0, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN p USING (k)),
 f AS (SELECT *, size > 0 AND before + size <= rest AS fits FROM r),
-l AS (SELECT k, any_value(rest) - sum(CASE WHEN fits THEN size ELSE 0 END) AS missing FROM f GROUP BY k),
-e AS (SELECT k, place FROM f JOIN l USING (k) WHERE size > 0 AND NOT fits AND abs(size - missing) < missing QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(size - missing), place) = 1)
-SELECT doc_id, size, words AS source_size, target, (size * (CASE WHEN size > 0 THEN passes ELSE 0 END + fits::INT + (e.k IS NOT NULL)::INT))::BIGINT AS taken FROM f LEFT JOIN e ON e.k = f.k AND e.place = f.place
+w AS (SELECT k, count(*) FILTER (fits) AS m, any_value(rest) - sum(CASE WHEN fits THEN size ELSE 0 END) AS missing FROM f WHERE size > 0 GROUP BY k),
+c AS (SELECT f.k, place AS cut, rest - before AS missing FROM f JOIN w USING (k) WHERE fits AND place >= m - {CUTS} UNION ALL SELECT k, m, missing FROM w),
+z AS (SELECT k, size, max(place) AS place FROM f WHERE size > 0 GROUP BY ALL),
+e AS (SELECT z.k, z.place, cut FROM z JOIN c ON c.k = z.k AND z.place >= cut JOIN w ON w.k = z.k WHERE abs(size - c.missing) < w.missing QUALIFY row_number() OVER (PARTITION BY z.k ORDER BY abs(size - c.missing), cut DESC, z.place) = 1)
+SELECT doc_id, size, words AS source_size, target, (size * (CASE WHEN size > 0 THEN passes ELSE 0 END + CASE WHEN size > 0 AND (place < coalesce(e.cut, w.m) OR place = e.place_) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM f LEFT JOIN w ON w.k = f.k LEFT JOIN (SELECT k, place AS place_, cut FROM e) e ON e.k = f.k
 """
 QUERIES = {"op13_mix": op13_mix}
 ORACLE_SQL = {"op13_mix": SQL}

@@ -41,19 +41,14 @@ def brute(given):
         target = 2.0 * words[s] if s in capped else weight[s] * rest / w
         passes = (target >= words[s]) + (target >= 2 * words[s]) if words[s] else 0
         left, full = target - passes * words[s], sorted(x for x in of[s] if x[1])
-        taken, more = {x[2]: passes for x in of[s]}, 0
-        rank = {x[2]: i for i, x in enumerate(full)}
-        others, reached = [], 0
-        for x in full:
-            if reached + x[1] <= left:
-                taken[x[2]] += 1
-                more += x[1]
-            else:
-                others.append(x)
-            reached += x[1]
-        near = min(((abs(x[1] - (left - more)), rank[x[2]], x[2]) for x in others), default=None)
-        if near and near[0] < left - more:
-            taken[near[2]] += 1
+        taken, starts = {x[2]: passes for x in of[s]}, [sum(x[1] for x in full[:i]) for i in range(len(full) + 1)]
+        m = max(i for i in range(len(full) + 1) if starts[i] <= left) if full else 0
+        cuts = range(max(0, m - mixing.CUTS), m + 1)
+        largest = {x[1]: i for i, x in enumerate(full)}
+        near = min(((abs(size - (left - starts[j])), -j, i) for j in cuts for size, i in largest.items() if i >= j), default=None)
+        cut, extra = (-near[1], [near[2]]) if near and near[0] < left - starts[m] else (m, [])
+        for i in [*range(cut), *extra]:
+            taken[full[i][2]] += 1
         out += [(given[x[2]][0], x[1], words[s], round(target, 6), x[1] * taken[x[2]]) for x in of[s]]
     return out
 
@@ -68,7 +63,7 @@ def test_mix_against_brute_force(spark, tmp_path):
     for r in got:
         assert r["taken"] <= 2 * r["size"]
         by.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
-    assert all(abs(sum(v) - target) <= max(0.03 * target, 30) for (_, target), v in by.items())
+    assert sum(abs(sum(v) - target) <= max(0.005 * target, 1) for (_, target), v in by.items()) >= len(by) - 1  # the source of one document has no choice
 
 
 def test_empty_and_wordless(spark, tmp_path):
