@@ -39,6 +39,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, SHARD_BLOCKS, SHARDS, BUNDLES = 16, 1024, 4096, 256
 #: Documents that a beginning may be shorter than the longest one that fits.
 CUTS = 16
+#: Parts that a source's sizes are dealt into, one for so many documents, at most.
+SALTS, SALT_ROWS = 4096, 512
 #: Digits of the digest that make a cell: a source is ranked in up to 4,096 tasks.
 CELL = 3
 #: Primes above any number of blocks, to put blocks in another order.
@@ -140,10 +142,15 @@ def takings(ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = F.col("_before") + F.col("_size") <= F.col("_rest")
     sources = rows.groupBy("_k", "_passes", "_n", "_rest").agg(F.count(F.when(fits, 1)).alias("_m"), F.coalesce(F.sum(F.when(fits, F.col("_size"))), F.lit(0)).alias("_w"))
     # Where the beginning may end, and what is then left; a document of any size that stands behind that end may fill it.
+    # A source of many documents is dealt to several tasks, by size, each with all its cuts.
+    salts = F.least(F.lit(SALTS), F.expr(f"1 + _n div {SALT_ROWS}"))
     near = rows.where(fits).join(sources.select("_k", "_m"), "_k").where(F.col("_rank") >= F.col("_m") - CUTS).select("_k", F.col("_rank").alias("_cut"), (F.col("_rest") - F.col("_before")).alias("_left"))
     cuts = near.unionByName(sources.select("_k", F.col("_m").alias("_cut"), (F.col("_rest") - F.col("_w")).alias("_left")))
-    sizes = rows.groupBy("_k", "_size").agg(F.max("_rank").alias("_rank")).join(cuts, "_k").where(F.col("_rank") >= F.col("_cut"))
-    best = sizes.groupBy("_k").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_left")).alias("off"), (-F.col("_cut")).alias("cut"), "_rank")).alias("x"))
+    cuts = cuts.join(sources.select("_k", "_n"), "_k").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_n")
+    sizes = rows.groupBy("_k", "_n", "_size").agg(F.max("_rank").alias("_rank")).withColumn("_salt", F.col("_size") % salts)
+    sizes = sizes.join(cuts, ["_k", "_salt"]).where(F.col("_rank") >= F.col("_cut"))
+    best = sizes.groupBy("_k", "_salt").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_left")).alias("off"), (-F.col("_cut")).alias("cut"), "_rank")).alias("x"))
+    best = best.groupBy("_k").agg(F.min("x").alias("x"))
     ends = sources.join(best, "_k", "left").withColumn("_fill", F.coalesce(F.col("x.off") < F.col("_rest") - F.col("_w"), F.lit(False)))
     ends = ends.select("_k", F.when(F.col("_fill"), -F.col("x.cut")).otherwise(F.col("_m")).alias("_cut"), F.when(F.col("_fill"), F.col("x._rank")).alias("_rank"), (F.col("_passes") * F.col("_n")).alias("_first"))
     last = ends.where("_rank IS NOT NULL").select("_k", "_rank", (F.col("_first") + F.col("_cut")).alias("_last"))
