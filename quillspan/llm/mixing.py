@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, read_table
+from .common import lookup, materialize, prepare, read_table
 from .ordering import numbered
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -141,10 +141,12 @@ def takings(ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = ranks.where("_rank IS NOT NULL").withColumn("_passes", passes).withColumn("_rest", F.col("_target") - F.col("_passes") * F.col("_words"))
     fits = F.col("_before") + F.col("_size") <= F.col("_rest")
     sources = rows.groupBy("_k", "_passes", "_n", "_rest").agg(F.count(F.when(fits, 1)).alias("_m"), F.coalesce(F.sum(F.when(fits, F.col("_size"))), F.lit(0)).alias("_w"))
+    sources = materialize(sources, "beginnings")
+    total = sources.agg(F.sum("_n")).first()[0] or 0
     # Where the beginning may end, and what is then left; a document of any size that stands behind that end may fill it.
     # A source of many documents is dealt to several tasks, by size, each with all its cuts.
     salts = F.least(F.lit(SALTS), F.expr(f"1 + _n div {SALT_ROWS}"))
-    near = rows.where(fits).join(sources.select("_k", "_m"), "_k").where(F.col("_rank") >= F.col("_m") - CUTS).select("_k", F.col("_rank").alias("_cut"), (F.col("_rest") - F.col("_before")).alias("_left"))
+    near = lookup(rows.where(fits), sources.select("_k", "_n", "_m"), ["_k"], "_n", total, F.col("_key")).where(F.col("_rank") >= F.col("_m") - CUTS).select("_k", F.col("_rank").alias("_cut"), (F.col("_rest") - F.col("_before")).alias("_left"))
     cuts = near.unionByName(sources.select("_k", F.col("_m").alias("_cut"), (F.col("_rest") - F.col("_w")).alias("_left")))
     cuts = cuts.join(sources.select("_k", "_n"), "_k").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_n")
     sizes = rows.groupBy("_k", "_n", "_size").agg(F.max("_rank").alias("_rank")).withColumn("_salt", F.col("_size") % salts)
@@ -152,12 +154,13 @@ def takings(ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = sizes.groupBy("_k", "_salt").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_left")).alias("off"), (-F.col("_cut")).alias("cut"), "_rank")).alias("x"))
     best = best.groupBy("_k").agg(F.min("x").alias("x"))
     ends = sources.join(best, "_k", "left").withColumn("_fill", F.coalesce(F.col("x.off") < F.col("_rest") - F.col("_w"), F.lit(False)))
-    ends = ends.select("_k", F.when(F.col("_fill"), -F.col("x.cut")).otherwise(F.col("_m")).alias("_cut"), F.when(F.col("_fill"), F.col("x._rank")).alias("_rank"), (F.col("_passes") * F.col("_n")).alias("_first"))
+    ends = ends.select("_k", F.when(F.col("_fill"), -F.col("x.cut")).otherwise(F.col("_m")).alias("_cut"), F.when(F.col("_fill"), F.col("x._rank")).alias("_rank"), (F.col("_passes") * F.col("_n")).alias("_first"), "_n")
+    ends = materialize(ends, "ends")
     last = ends.where("_rank IS NOT NULL").select("_k", "_rank", (F.col("_first") + F.col("_cut")).alias("_last"))
     none = F.array().cast("array<long>")
     whole = F.when(F.col("_passes") > 0, F.transform(F.sequence(F.lit(0), F.col("_passes") - 1), lambda p: p * F.col("_n") + F.col("_rank"))).otherwise(none)
     more = F.when(F.col("_rank") < F.col("_cut"), F.array(F.col("_passes") * F.col("_n") + F.col("_rank"))).when(F.col("_last").isNotNull(), F.array("_last")).otherwise(none)
-    out = rows.join(ends.select("_k", "_cut"), "_k").join(last, ["_k", "_rank"], "left").select("*", F.posexplode(F.concat(whole, more)).alias("_copy", "_at")).drop("_passes", "_rest", "_last", "_cut")
+    out = lookup(rows, ends.select("_k", "_n", "_cut"), ["_k"], "_n", total, F.col("_key")).join(last, ["_k", "_rank"], "left").select("*", F.posexplode(F.concat(whole, more)).alias("_copy", "_at")).drop("_passes", "_rest", "_last", "_cut")
     given = ends.select("_k", (F.col("_first") + F.col("_cut") + F.col("_rank").isNotNull().cast("long")).alias("_taken"))
     return out, given
 
