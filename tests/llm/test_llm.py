@@ -756,7 +756,7 @@ def test_registered_queries_run(spark):
 
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     ours = [n for n in queries if n.startswith("op") or n == "pipeline"]
-    assert len(ours) == 11 and set(sql) <= set(queries)
+    assert len(ours) == 14 and set(sql) <= set(queries)
     import duckdb
 
     c = duckdb.connect()
