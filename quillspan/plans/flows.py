@@ -233,6 +233,12 @@ def _marked_docs(spark, d):
     return docs(spark, d).select("doc_id", _marked().alias("x"))
 
 
+def _braced_docs(spark, d):
+    """The texts that have braces, with the array of them: a text stays in its row and meets no other."""
+    own = _marked_docs(spark, d).where(F.contains("x", F.lit("{")))
+    return spans.filled(own, ["doc_id", "x"], spans.brace_array(F.col("x")), "b")
+
+
 @query(f'WITH {_BRACES} SELECT doc_id, CAST(s AS INT) AS start, CAST(s + length(b) AS INT) AS "end", trim(b, \'{{}}\') AS quote FROM b')
 def brace_spans(spark, d):
     return spans.braces(_marked_docs(spark, d), ["doc_id"], "x")
@@ -249,11 +255,9 @@ SELECT doc_id, sha256(string_agg(kind || ':' || CASE WHEN n = hi AND kind = 0 TH
 )
 def rendered_runs(spark, d):
     """Every other brace of a document as a verse, the rest as narrations, and the prose between."""
-    found = spans.braces(_marked_docs(spark, d), ["doc_id", "x"], "x")
-    own = F.struct("start", "end", F.lit(0).alias("ref"), F.lit(0).alias("kind"))
-    per = found.groupBy("doc_id", "x").agg(F.array_sort(F.collect_list(own)).alias("s"))
-    numbered = F.transform("s", lambda s, i: s.withField("ref", F.when(i % 2 == 0, 0).otherwise(-1)))
-    made = spans.segments(per.withColumn("spans", numbered), "x")
+    span = lambda b, i: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.when(i % 2 == 0, 0).otherwise(-1).alias("ref"), F.lit(0).alias("kind"))
+    per = _braced_docs(spark, d).select("doc_id", "x", F.transform("b", span).alias("spans"))
+    made = spans.segments(per, "x")
     said = F.transform("segments", lambda r: F.concat(r["kind"].cast("string"), F.lit(":"), r["run"]))
     return made.select("doc_id", F.sha2(F.array_join(said, "|"), 256).alias("segments"))
 
@@ -264,11 +268,10 @@ SELECT doc_id, count(*) AS n, sha256(string_agg(CAST(s - lo AS BIGINT) || '-' ||
 )
 def rebased_spans(spark, d):
     """The braces in the middle third of every document and the runs inside them, counted from where that begins."""
-    found = spans.braces(_marked_docs(spark, d), ["doc_id", "x"], "x")
-    runs = F.array(F.struct((F.col("start") + 1).alias("start"), (F.col("end") - 1).alias("end"), F.lit(0).alias("ref")))
-    own = F.struct("start", "end", F.lit(0).alias("ref"), F.lit(0).alias("kind"), runs.alias("runs"))
-    third = F.floor(F.length("x") / 3).cast("int")
-    per = found.groupBy("doc_id", "x").agg(F.collect_list(own).alias("s")).select("doc_id", quotes.rebase(F.col("s"), third, 2 * third).alias("s")).where(F.size("s") > 0)
+    run = lambda b: F.array(F.struct((b["start"] + 1).alias("start"), (b["end"] - 1).alias("end"), F.lit(0).alias("ref")))
+    span = lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lit(0).alias("ref"), F.lit(0).alias("kind"), run(b).alias("runs"))
+    own = _braced_docs(spark, d).select("doc_id", F.floor(F.length("x") / 3).cast("int").alias("third"), F.transform("b", span).alias("s"))
+    per = spans.filled(own, ["doc_id"], quotes.rebase(F.col("s"), F.col("third"), 2 * F.col("third")), "s")
     place = lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))
     said = F.transform("s", lambda r: F.concat(place(r), F.lit("+"), place(r["runs"][0])))
     return per.select("doc_id", F.size("s").cast("long").alias("n"), F.sha2(F.array_join(said, ","), 256).alias("x"))

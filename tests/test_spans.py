@@ -120,3 +120,27 @@ def test_small_operators(spark):
     merged, counts = small.merge_translations(done, batch, spark.range(1, 4).select(F.col("id").cast("int").alias("id")))
     assert sorted(map(tuple, merged.collect())) == [(1, "new"), (2, "two")]
     assert {r["op"]: r["n"] for r in counts.collect()} == {"inserted": 1, "replaced": 1, "unknown": 1}
+
+
+def _documents(spark, path, texts):
+    rows = [(i, x, "en", "s", len(x)) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_places_of_many_matches(spark):
+    """More matches than a block of the sums has, with characters of two words in UTF-16 between them."""
+    text = "".join(f"\U0001f600{'-' * (i % 3)}{{q{i}}}" for i in range(200))
+    df = spark.createDataFrame([(1, text), (2, "none {} here"), (3, None)], "id int, text string")
+    got = [(r["start"], r["end"], r["quote"]) for r in spans.braces(df, ["id"]).orderBy("start").collect()]
+    assert got == [(m.start(), m.end(), m[0][1:-1]) for m in re.finditer(r"\{[^{}]+\}", text)]
+
+
+def test_rebased_spans_keep_a_text_in_its_row(spark, tmp_path):
+    """No text is multiplied by its braces or grouped by: after the first dealing out nothing is shuffled."""
+    from quillspan.plans.flows import rebased_spans
+
+    made = rebased_spans(spark, _documents(spark, tmp_path, ["so it was then. " * 90, "no stop"]))
+    assert [(r["doc_id"], r["n"]) for r in made.collect()] == [(0, 30)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Repartition") <= 1
