@@ -144,3 +144,12 @@ def test_rebased_spans_keep_a_text_in_its_row(spark, tmp_path):
     assert [(r["doc_id"], r["n"]) for r in made.collect()] == [(0, 30)]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Repartition") <= 1
+
+
+def test_rendered_runs_keep_a_text_in_its_row(spark, tmp_path):
+    from quillspan.plans.flows import rendered_runs
+
+    made = rendered_runs(spark, _documents(spark, tmp_path, ["so it was then. one two three.", "no stop"]))
+    assert [r["doc_id"] for r in made.collect()] == [0]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Repartition") <= 1
