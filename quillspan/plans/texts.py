@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import segment
+from ..operators import segment, spans
 from ..sources.readers import table
 from .registry import docs, query
 
@@ -172,9 +172,9 @@ e AS (SELECT doc_id, i, word, sum(gap + len) OVER (PARTITION BY doc_id ORDER BY
 SELECT doc_id, count(*) AS n, sha256(string_agg(word || ':' || CAST(e - len AS BIGINT) || '-' || CAST(e AS BIGINT), ',' ORDER BY i)) AS x FROM e GROUP BY 1"""
 )
 def word_offsets(spark, d):
-    w = t.words_with_offsets("text")
-    said = F.transform(w, lambda z: F.concat(z["word"], F.lit(":"), z["start"].cast("string"), F.lit("-"), z["end"].cast("string")))
-    return _one(spark, d, n=F.size(w).cast("long"), x=F.sha2(F.array_join(said, ","), 256)).where("n > 0")
+    own = spans.filled(docs(spark, d), ["doc_id"], t.words_with_offsets("text"), "w")
+    said = F.transform("w", lambda z: F.concat(z["word"], F.lit(":"), z["start"].cast("string"), F.lit("-"), z["end"].cast("string")))
+    return own.select("doc_id", F.size("w").cast("long").alias("n"), F.sha2(F.array_join(said, ","), 256).alias("x"))
 
 
 @query("SELECT event_id, regexp_replace(regexp_replace(regexp_replace('{\"a — b\": \"x' || ', ' || event_type || ', ' || 'y\", \"n\": ' || user_id || ', \"l\": [\"p' || ', ' || 'q\"]}', ' {2,}', ' ', 'g'), '\\s+,', ',', 'g'), 'zzz', '') AS j FROM events")

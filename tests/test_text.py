@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as t
@@ -41,3 +43,13 @@ def test_small_ones(spark):
     assert one(spark, t.ornate_braces("x"), x="a {b}\nc") == 'a <span class="quote">﴿b﴾</span><br>c'
     assert one(spark, t.collapse_doubled("x"), x="allaah") == "alah"
     assert one(spark, t.lookup_phrase("x"), x="a b c d") == "a%20b%20c%20d" and one(spark, t.lookup_phrase("x"), x="a b") is None
+
+
+def test_words_with_offsets_without_python(spark):
+    """Places are code points, whatever stands between the words; no batch of texts is turned into Python objects."""
+    text = "\U0001f600 One, 2two  " * 150 + "é end"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, text string")
+    made = df.select("id", t.words_with_offsets("text").alias("w"))
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: [(z["word"], z["start"], z["end"]) for z in r["w"]] for r in made.collect()}
+    assert got == {1: [(m[0], m.start(), m.end()) for m in re.finditer("[a-z0-9]+", text.lower())], 2: [], 3: []}
