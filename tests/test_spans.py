@@ -153,3 +153,14 @@ def test_rendered_runs_keep_a_text_in_its_row(spark, tmp_path):
     assert [r["doc_id"] for r in made.collect()] == [0]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Repartition") <= 1
+
+
+def test_records_are_aligned_many_in_a_call(spark):
+    """No Python call and pandas frame for each record; a record without marks has narrations alone, one without braces no row."""
+    quoted = spark.createDataFrame([(1, 5, 8, "b c"), (1, 0, 3, "a"), (2, 0, 1, "a"), (None, 0, 1, "x")], "id int, start int, end int, quote string")
+    marks = spark.createDataFrame([(1, 1, 7, "a z"), (1, 2, -1, None), (1, 3, 9, "b c"), (3, 1, 1, "a"), (None, 1, 4, "x")], "id int, pos int, ref int, said string")
+    made = spans.placed(quoted, marks, "id")
+    assert made.columns == ["id", "start", "end", "quote", "ref"]
+    assert "CoGroup" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["id"] or 0, r["start"], r["quote"], r["ref"]) for r in made.collect())
+    assert got == [(0, 0, "x", 4), (1, 0, "a", 7), (1, 5, "b c", 9), (2, 0, "a", -1)]
