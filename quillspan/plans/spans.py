@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions import text as t
 from ..operators import quotes, relational, seeds, spans
 from ..sources.readers import table
@@ -87,6 +88,7 @@ def translation_spans(spark, d):
     changed = F.transform(t.ascii_tokens("text"), lambda w, i: F.when((i + 1) % 9 == 0, "zzz").otherwise(w))
     refs = met.join(items.select("item_id", F.array_join(changed, " ").alias("said")), "item_id")
     refs = refs.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("item_id")) - 1).alias("ref"), "said")
+    refs = written(refs, "refs")  # read several times below
     marks = refs.where("ref % 3 = 0").select("doc_id", (2 * F.col("ref")).alias("pos"), "ref").unionByName(refs.select("doc_id", (2 * F.col("ref") + 1).alias("pos"), F.lit(-1).alias("ref")))
     made = spans.translated_spans(x, refs, marks, "doc_id", "x")
     return made.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")

@@ -164,3 +164,14 @@ def test_records_are_aligned_many_in_a_call(spark):
     assert "CoGroup" not in made._jdf.queryExecution().optimizedPlan().toString()
     got = sorted((r["id"] or 0, r["start"], r["quote"], r["ref"]) for r in made.collect())
     assert got == [(0, 0, "x", 4), (1, 0, "a", 7), (1, 5, "b c", 9), (2, 0, "a", -1)]
+
+
+def test_translation_spans_join_shingles_once(spark, tmp_path):
+    """What items share with documents is found once and read again: the items are not in the plan that is left."""
+    from quillspan.plans.spans import translation_spans
+
+    folder = _documents(spark, tmp_path, ["so one two three four five six seven and it was then. " * 3])
+    spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    made = translation_spans(spark, folder)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "item_id" not in plan and made.where("kind = 0").count() == 3
