@@ -120,3 +120,42 @@ def test_empty_tables(spark):
     assert [r["found"] for r in seeds.identify(rows, reference).collect()] == [None]
     assert [r["run"] for r in seeds.longest_runs(rows, reference).collect()] == [None]
     assert seeds.identify(rows.where("false"), reference).count() == 0
+
+
+def _written(monkeypatch, *modules):
+    """Names and numbers of rows of the tables that are written from now on."""
+    seen = []
+    for module in modules:
+        def write(df, name, put=module.written):
+            table = put(df, name)
+            seen.append((name, table.count()))
+            return table
+
+        monkeypatch.setattr(module, "written", write)
+    return seen
+
+
+@pytest.mark.parametrize("script", [quotes.PLAIN])
+def test_only_texts_that_may_stand_are_written(spark, monkeypatch, script):
+    """A text without runs of the reference is neither written nor shuffled; every row comes back."""
+    x = "بكلام طويل جدا يقال في اول الكتاب ثم يعاد في اخره"
+    y = [f"شيء اخر لا يوجد في الكتاب ابدا ويزيد عليه رقم {i * 7919}" for i in range(200)]
+    reference = seeds.build(spark.createDataFrame([(1, 1, x)], SCHEMA), script)
+    rows = spark.createDataFrame(list(enumerate([x, *y, None, x])), "id long, quote string")
+    seen = _written(monkeypatch, seeds)
+    got = {r["id"]: r["found"] for r in seeds.identify(rows, reference).collect()}
+    assert len(got) == 203 and {i for i, f in got.items() if f} == {0, 202}
+    assert 1 <= dict(seen)["quotations"] <= 5
+    runs = {r["id"]: r["run"] for r in seeds.longest_runs(rows, reference).collect()}
+    assert len(runs) == 203 and {i for i, f in runs.items() if f} == {0, 202}
+    assert "texts" not in dict(seen) and 1 <= dict(seen)["near"] <= 5
+
+
+def test_sieve_loses_no_key(spark):
+    keys = spark.range(3000).selectExpr("1 AS reading", "cast(id AS string) AS gram")
+    by = seeds.sieve(keys)
+    rows = spark.range(30000).selectExpr("1 AS reading", "cast(id AS string) AS gram")
+    key = ["reading", "gram"]
+    assert seeds.sieved(rows, by, key).where("cast(gram AS int) < 3000").count() == 3000
+    assert seeds.sieved(rows, by, key, outside=True).count() > 26500
+    assert seeds.sieved(rows, seeds.sieve(keys.where("false")), key).count() == 0
