@@ -135,7 +135,7 @@ def _written(monkeypatch, *modules):
     return seen
 
 
-@pytest.mark.parametrize("script", [quotes.PLAIN])
+@pytest.mark.parametrize("script", [quotes.PLAIN, quotes.ARABIC])
 def test_only_texts_that_may_stand_are_written(spark, monkeypatch, script):
     """A text without runs of the reference is neither written nor shuffled; every row comes back."""
     x = "بكلام طويل جدا يقال في اول الكتاب ثم يعاد في اخره"
