@@ -175,3 +175,22 @@ def test_translation_spans_join_shingles_once(spark, tmp_path):
     made = translation_spans(spark, folder)
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "item_id" not in plan and made.where("kind = 0").count() == 3
+
+
+def test_originals_write_their_braces_once(spark, monkeypatch):
+    """Quotations of no verse are in no table but that of the braces."""
+    index = seeds.build(spark.createDataFrame(VERSES, "chapter long, verse long, text string"), quotes.PLAIN)
+    text = " ".join(f"{{some other words number {i * 7919} that nobody wrote}}" for i in range(100)) + " {darkness fled before the morning star}"
+    seen = []
+    for module in (seeds, spans):
+        def write(df, name, put=module.written):
+            table = put(df, name)
+            seen.append((name, table.count()))
+            return table
+
+        monkeypatch.setattr(module, "written", write)
+    over = spark.createDataFrame([("a", "some other words  number 0 that nobody wrote", "2:1")], "id string, quote string, is string")
+    got = spans.original_spans(spark.createDataFrame([("a", text)], "id string, text string"), index, "id", overrides=over).orderBy("start").collect()
+    assert [r["ref"] for r in got] == ["2:1", *["narration"] * 99, "1:2"]
+    assert [n for name, n in seen if name == "braces"] == [101]
+    assert all(n <= 5 for name, n in seen if name in ("quotations", "near")) and "texts" not in dict(seen)
