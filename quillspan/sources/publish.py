@@ -159,7 +159,7 @@ def write_volumes(df: DataFrame, path: str, key: str, text: str) -> str:
     """Every row as a text in files of many, one for each partition: its name (key), a line end, the text, and behind each text a
     boundary that no text has, which is returned. As a file for each text costs the driver and the store the same for a line as for a book."""
     boundary = f"\n--{uuid.uuid4().hex}\n"
-    df.select(F.concat(F.col(key).cast("string"), F.lit("\n"), F.coalesce(text, F.lit(""))).alias("value")).write.text(path, lineSep=boundary)
+    df.select(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))).alias("value")).write.text(path, lineSep=boundary)
     return boundary
 
 

@@ -191,7 +191,7 @@ def test_texts_of_a_volume_are_read_as_texts_of_files(spark, tmp_path):
     from quillspan.sources import publish
 
     end = readers.HEADER_END
-    texts = [(1, f"title\n{end}\nbody\r\n\n--x"), (2, "no header"), (3, ""), (4, None), (5, f"a\n{end}b\n{end}"), (2, "again\n"), (6, "\n")]
+    texts = [(1, f"title\n{end}\nbody\r\n\n--x"), (2, "no header"), (3, ""), (4, None), (5, f"a\n{end}b\n{end}"), (2, "again\n"), (6, "\n"), (None, "x")]
     df = spark.createDataFrame(texts, "id long, x string").coalesce(1)
     boundary = publish.write_volumes(df, str(tmp_path / "v"), "id", "x")
     assert len(list((tmp_path / "v").glob("part-*"))) == 1
@@ -200,7 +200,7 @@ def test_texts_of_a_volume_are_read_as_texts_of_files(spark, tmp_path):
         got.setdefault((r["name"], r["seq"]), []).append(r["value"])
     assert {k: sorted(v) for k, v in got.items()} == {
         ("1", 0): [""], ("1", 1): ["body"], ("1", 2): [""], ("1", 3): ["--x"], ("2", 0): ["again", "no header"], ("2", 1): [""], ("3", 0): [""], ("4", 0): [""],
-        ("5", 0): ["b"], ("5", 1): [end], ("6", 0): [""], ("6", 1): [""],
+        (None, 0): ["x"], ("5", 0): ["b"], ("5", 1): [end], ("6", 0): [""], ("6", 1): [""],
     }
 
 
