@@ -159,3 +159,26 @@ def test_sieve_loses_no_key(spark):
     assert seeds.sieved(rows, by, key).where("cast(gram AS int) < 3000").count() == 3000
     assert seeds.sieved(rows, by, key, outside=True).count() > 26500
     assert seeds.sieved(rows, seeds.sieve(keys.where("false")), key).count() == 0
+
+
+def test_only_runs_that_are_sought_leave_the_reference(spark, monkeypatch):
+    """No table has a row for each position of the reference, and of its runs those alone are joined that needles ask for."""
+    seen = _written(monkeypatch, seeds)
+    verses = [(1, i, f"verse number {i * 7919} of the long book that {i * 104729} people know") for i in range(300)]
+    reference = seeds.build(spark.createDataFrame(verses, SCHEMA), quotes.PLAIN)
+    rows = spark.createDataFrame([(verses[7][2],), (verses[250][2].upper(),), ("nowhere in the long book that is",)], "quote string")
+    got = {r["quote"]: tuple(r["found"]) if r["found"] else None for r in seeds.identify(rows, reference).collect()}
+    assert [got[r] for r in (verses[7][2], verses[250][2].upper())] == [(1, 7, 7, 1), (1, 250, 250, 1)] and list(got.values()).count(None) == 1
+    grams = reference.grams.count()
+    assert grams > 40_000 and max(n for _, n in seen) < grams / 10
+    keys = reference.grams.where("reading = 1 AND pos IN (5, 9000)").select("reading", "gram")
+    of = seeds.asked(reference, keys)
+    assert of.join(keys, ["reading", "gram"]).select("pos").distinct().where("pos IN (5, 9000)").count() == 2 and of.count() < 1000
+
+
+def test_runs_of_a_block_are_all_made(spark):
+    texts = ["", "x" * 11, "abcdefghijkl", "".join(chr(0x627 + i % 30) for i in range(523)), "".join(chr(97 + i % 26) for i in range(76))]
+    got = seeds._grams(spark.createDataFrame([(i, 1000 * i, x) for i, x in enumerate(texts)], "key long, at long, x string"), seeds.BLOCK)
+    want = {(i, 1000 * i + k, x[k : k + 12]) for i, x in enumerate(texts) for k in range(min(seeds.BLOCK, len(x) - 11))}
+    rows = [tuple(r) for r in got.select("key", "pos", "gram").collect()]
+    assert len(rows) == len(want) and set(rows) == want
