@@ -27,6 +27,8 @@ from .tokens import encoder, vocabulary
 
 SIZE, END = 1024, 2
 VOCABULARY = "byte_bpe_50k.json"
+#: Bytes of text that are encoded together (a longer text alone); the more, the fewer pieces are met again.
+TOGETHER = 4 << 20
 
 
 def reduce(count: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -155,13 +157,13 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, end: int
     last = int(end).to_bytes(4, "little")
 
     def run(batches):
-        ids, part = encoder(path).ids, TaskContext.get().partitionId()
+        many, part = encoder(path).many, TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", TOGETHER):
                 row, number, start, length, crc = [], [], [], [], []
-                for t, text in enumerate(column(batch, "text").to_pylist()):
-                    own = ids(text or "") + last
+                for t, ids in enumerate(many([text or "" for text in column(batch, "text").to_pylist()])):
+                    own = ids + last
                     n = len(own) // 4
                     at = 0
                     while at < n:

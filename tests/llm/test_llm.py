@@ -654,6 +654,36 @@ def test_packing(spark):
     assert packing.pack(docs_frame(spark, [])).count() == 0
 
 
+def test_pieces_that_are_not_known_are_asked_for_together():
+    e = Encoder(vocabulary("byte_bpe_50k.json"))
+    calls, library = [], e.tokenizer
+    e.whole = lambda text: calls.append(text) or array.array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+    e.known.ask = e.whole
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choice("aeinrstäé") for _ in range(9)) for _ in range(60)) for _ in range(50)]
+    got = e.many(texts)
+    assert not calls and got == [array.array("I", library.encode(x, add_special_tokens=False).ids).tobytes() for x in texts]
+
+
+@pytest.mark.parametrize("keep", [500_000, 20])
+def test_many_texts_as_the_library_has_each(monkeypatch, keep):
+    from quillspan.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEEP", keep)
+    monkeypatch.setattr(tokens, "TOGETHER", 7)
+    e, r = Encoder(vocabulary("byte_bpe_50k.json")), random.Random(9)
+    plain = [*"'streveLlmdS09.-_\n\t\r\x0b\x0c\x00\x1c\x7féß×÷ȯĀ", " ", " ", "  ", "'re", "'ll", "'ve", "word"]
+    other = [*"中²ẞ😀İ\xa0\u2003\u3000", "<|endoftext|>"]
+    for _ in range(1500):
+        texts = ["".join(r.choice(plain + other * (r.random() < 0.2)) for _ in range(r.randint(0, 12))) for _ in range(r.randint(0, 5))]
+        assert e.many(texts) == [e.whole(x) for x in texts], texts
+        raw = [x.encode() for x in texts if x and not tokens._UNPLAIN.search(x)]
+        if raw:
+            data = b"".join(raw)
+            at = tokens.plain_pieces(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, raw[:-1])])).tolist()
+            assert [data[a:b].decode() for a, b in zip(at, [*at[1:], len(data)])] == [p for x in raw for p in tokens._LEADING_PLAIN.findall(x.decode())]
+
+
 # --- 9
 
 
